@@ -97,7 +97,7 @@ def q(select_sql: str) -> str:
     return with_standins(select_sql, EXTRA)
 
 
-def oracle_sql() -> dict[str, str]:
+def rollup_oracles() -> dict[str, str]:
     return {
         "cutoff_txn": q("SELECT * FROM trans_before"),
         "txn_rollup": q(txn_rollup_sql("trans")),
@@ -111,3 +111,126 @@ def oracle_sql() -> dict[str, str]:
         "cutoff_card": q("SELECT * FROM cards_before"),
         "cutoff_card_rollup": q(card_rollup_sql("cards_before")),
     }
+
+
+# ---------------------------------------------------------------------------
+# load, recode and entity queries
+# ---------------------------------------------------------------------------
+
+CLIENT_DISP = """
+    client_disp AS (
+      SELECT d.account_id, d.client_id, c.district_id, d.type_, c.birth_date, c.sex
+      FROM disp d LEFT JOIN clients c ON c.client_id = d.client_id)"""
+
+
+def pair_sql(literal: bool = False) -> str:
+    n_col = "n.n_clients AS user_client_id" if literal else "n.n_clients, u.client_id AS user_client_id"
+    return f"""SELECT o.account_id, o.client_id, o.district_id AS client_district_id,
+      o.birth_date, o.sex, {n_col}, u.district_id AS user_district_id,
+      u.birth_date AS user_bday, u.sex AS user_sex
+    FROM (SELECT * FROM client_disp WHERE type_ = 'OWNER') o
+    LEFT JOIN (SELECT * FROM client_disp WHERE type_ = 'USER') u ON u.account_id = o.account_id
+    LEFT JOIN (SELECT account_id, count(*) AS n_clients FROM client_disp GROUP BY account_id) n
+      ON n.account_id = o.account_id"""
+
+
+MART_CTES = ",".join([
+    CLIENT_DISP,
+    f"\n    client_account AS ({pair_sql()})",
+    f"\n    orders_account AS ({symbol_rollup_sql()})",
+    f"\n    trans_account AS ({txn_rollup_sql('trans')})",
+    f"\n    trans_before_account AS ({txn_rollup_sql('trans_before')})",
+    f"\n    cards_account AS ({card_rollup_sql('cards_linked')})",
+    f"\n    cards_before_account AS ({card_rollup_sql('cards_before')})",
+])
+
+
+def qm(select_sql: str) -> str:
+    return with_standins(select_sql, EXTRA + "," + MART_CTES)
+
+
+def mart_sql(root: str = "accounts", cutoff: bool = True) -> str:
+    tenure = root == "accounts"
+    trans = "trans_before_account" if cutoff else "trans_account"
+    cards = "cards_before_account" if cutoff else "cards_account"
+    key = "a.account_id" if root == "accounts" else "l.account_id"
+    frm = ("accounts a LEFT JOIN loans l ON l.account_id = a.account_id" if root == "accounts"
+           else "loans l LEFT JOIN accounts a ON a.account_id = l.account_id")
+    days = ("CAST(datediff('day', a.date_, l.date_) AS INTEGER) AS days_with_bank,"
+            if tenure else "")
+    age = ("CAST(datediff('day', ca.birth_date, l.date_) / 365 AS DECIMAL(12,4)) AS age_at_loan,"
+           if tenure else "")
+    return f"""SELECT {key} AS account_id, l.loan_id, ca.client_id, a.district_id,
+      l.date_ AS date_loan, l.amount AS amount_loan, l.duration AS duration_loan,
+      l.payments AS payments_loan, l.status_ AS status_loan, l.current AS current_loan,
+      l.good_status AS good_status_loan, a.frequency AS freq_dep_acc, a.date_ AS date_account,
+      {days}
+      ca.client_district_id, ca.birth_date AS bday_client,
+      {age}
+      ca.sex AS sex_client, ca.n_clients, ca.user_client_id, ca.user_district_id,
+      ca.user_bday, ca.user_sex,
+      o.* EXCLUDE (account_id), t.* EXCLUDE (account_id), c.* EXCLUDE (account_id),
+      d.district_id AS district_id_demo, d.district_name, d.region, d.n_inhab, d.n_cities
+    FROM {frm}
+    LEFT JOIN client_account ca ON ca.account_id = {key}
+    LEFT JOIN orders_account o ON o.account_id = {key}
+    LEFT JOIN {trans} t ON t.account_id = {key}
+    LEFT JOIN {cards} c ON c.account_id = {key}
+    LEFT JOIN district d ON d.district_id = a.district_id"""
+
+
+# columns of the account-rooted mart on the stand-ins (for the shape query)
+MART_COLUMNS = 13 + 1 + 2 + 1 + 6 + 15 + 21 + 4 + 5
+
+
+def more_oracles() -> dict[str, str]:
+    return {
+        "birth_parse": q("SELECT client_id, birth_number, district_id, birth_date, sex FROM clients"),
+        "link_clients": qm("SELECT * FROM client_disp"),
+        "role_filter": qm("SELECT * FROM client_disp WHERE type_ = 'USER'"),
+        "owner_user_pair": qm(pair_sql()),
+        "owner_user_pair_literal": qm(pair_sql(literal=True)),
+        "dedup_first": q("""SELECT * EXCLUDE (rn) FROM (
+            SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+              ORDER BY l_shipdate, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+                       l_discount, l_tax, l_returnflag, l_linestatus) AS rn
+            FROM lineitem) WHERE rn = 1"""),
+        "status_flags": q("SELECT loan_id, status_, current, good_status FROM loans"),
+        "load_time_date": q("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date_ FROM orders"),
+        "card_issue_date": q("""SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS issued
+            FROM lineitem"""),
+        "conform_lenient": q("""SELECT p_partkey, p_size AS size,
+              CAST(0 AS INTEGER) AS kind,
+              CAST(p_retailprice AS DECIMAL(10,2)) AS price,
+              CAST(round(p_retailprice) AS INTEGER) AS price_int,
+              CAST(1 AS INTEGER) AS _rejects
+            FROM part"""),
+        "strip_chars": q("SELECT c_custkey, c_mktsegment AS segment FROM customer"),
+        "recode_3": q("SELECT account_id, frequency FROM accounts"),
+        "recode_literal": q("SELECT account_id, frequency FROM accounts"),
+        "recode_many": q("SELECT trans_id, account_id, type_, operation FROM trans"),
+        "recode_disp_type": q("SELECT disp_id, type_ FROM disp"),
+        "mart_loans": qm(mart_sql("loans", cutoff=False)),
+        "mart_accounts": qm(mart_sql("accounts", cutoff=False)),
+        "mart_cutoff": qm(mart_sql("accounts", cutoff=True)),
+        "mart_sorted": qm(mart_sql("accounts", cutoff=True) + " ORDER BY 1"),
+        "mart_head": qm(mart_sql("accounts", cutoff=True) + " ORDER BY 1 LIMIT 5"),
+        "mart_roundtrip": qm(mart_sql("accounts", cutoff=True)),
+        "mart_shape": qm(f"""SELECT count(*) AS n_rows, {MART_COLUMNS} AS n_columns
+            FROM ({mart_sql('accounts', cutoff=True)})"""),
+        "district_match": qm("""SELECT
+              count_if(coalesce(a.district_id = ca.client_district_id, false)) AS match_,
+              count_if(NOT coalesce(a.district_id = ca.client_district_id, false)) AS mismatch
+            FROM accounts a LEFT JOIN client_account ca ON ca.account_id = a.account_id"""),
+        "tenure_age": qm("""SELECT a.account_id,
+              CAST(datediff('day', a.date_, l.date_) AS INTEGER) AS days_with_bank,
+              CAST(datediff('day', ca.birth_date, l.date_) / 365 AS DECIMAL(12,4)) AS age_at_loan
+            FROM accounts a LEFT JOIN loans l ON l.account_id = a.account_id
+            LEFT JOIN client_account ca ON ca.account_id = a.account_id"""),
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    out = rollup_oracles()
+    out.update(more_oracles())
+    return out

@@ -92,3 +92,187 @@ def queries() -> dict[str, Query]:
         "cutoff_card": q_cutoff_card,
         "cutoff_card_rollup": q_cutoff_card_rollup,
     }
+
+
+# ---------------------------------------------------------------------------
+# load, recode and entity queries
+# ---------------------------------------------------------------------------
+
+from lendscope.functions.birth import decode_birth  # noqa: E402
+from lendscope.functions.casts import conform  # noqa: E402
+from lendscope.functions.dates import format_yymmdd, parse_yymmdd, parse_yymmdd_time  # noqa: E402
+from lendscope.functions.recode import (FREQUENCY_CODES, OPERATION_CODES,  # noqa: E402
+                                        TRANS_TYPE_CODES, recode, recode_disp_type, strip_chars)
+from lendscope.operators.audit import match_audit  # noqa: E402
+from lendscope.operators.dedup import dedup_first  # noqa: E402
+from lendscope.operators.entities import link_clients, pair_roles, role_filter  # noqa: E402
+from lendscope.plans import mart as M  # noqa: E402
+from lendscope.sources.marts import load_mart, profile, save  # noqa: E402
+from lendscope.session import scratch_path  # noqa: E402
+
+
+def q_birth_parse(spark, d):
+    return S.standin_clients(spark, d)
+
+
+def _client_disp(spark, d):
+    return link_clients(S.standin_disp(spark, d), S.standin_clients(spark, d))
+
+
+def q_link_clients(spark, d):
+    return _client_disp(spark, d)
+
+
+def q_role_filter(spark, d):
+    return role_filter(_client_disp(spark, d), "USER")
+
+
+def q_owner_user_pair(spark, d):
+    return pair_roles(_client_disp(spark, d))
+
+
+def q_owner_user_pair_literal(spark, d):
+    return pair_roles(_client_disp(spark, d), literal=True)
+
+
+def q_dedup_first(spark, d):
+    li = S.read_table(spark, d, "lineitem")
+    return dedup_first(li, ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey", "l_suppkey"])
+
+
+def q_status_flags(spark, d):
+    return S.standin_loans(spark, d).select("loan_id", "status_", "current", "good_status")
+
+
+def q_load_time_date(spark, d):
+    o = S.read_table(spark, d, "orders", "o_orderkey", "o_orderdate")
+    raw = o.select("o_orderkey", format_yymmdd("o_orderdate").alias("date"))
+    return raw.select("o_orderkey", parse_yymmdd("date").alias("date_"))
+
+
+def q_card_issue_date(spark, d):
+    li = S.read_table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_shipdate")
+    raw = li.select("l_orderkey", "l_linenumber",
+                    F.date_format("l_shipdate", "yyMMdd HH:mm:ss").alias("issued"))
+    return raw.select("l_orderkey", "l_linenumber", parse_yymmdd_time("issued").alias("issued"))
+
+
+def q_conform_lenient(spark, d):
+    p = S.read_table(spark, d, "part", "p_partkey", "p_size", "p_type", "p_retailprice")
+    raw = p.select(F.col("p_partkey").cast("string"), F.col("p_size").cast("string").alias("size"),
+                   F.col("p_type").alias("kind"),
+                   F.col("p_retailprice").cast("string").alias("price"),
+                   F.col("p_retailprice").cast("string").alias("price_int"))
+    return conform(raw, {"p_partkey": "bigint", "size": "int", "kind": "int",
+                         "price": "decimal(10,2)", "price_int": "int"})
+
+
+def q_strip_chars(spark, d):
+    c = S.read_table(spark, d, "customer", "c_custkey", "c_mktsegment")
+    raw = c.select("c_custkey", F.concat(F.lit('"'), "c_mktsegment", F.lit('"\r')).alias("s"))
+    return raw.select("c_custkey", strip_chars("s").alias("segment"))
+
+
+def q_recode_3(spark, d):
+    r = S.raw_accounts(spark, d)
+    return r.select(F.col("account_id").cast("bigint"),
+                    recode("frequency", FREQUENCY_CODES).alias("frequency"))
+
+
+def q_recode_literal(spark, d):
+    r = S.raw_accounts(spark, d)
+    quoted = F.concat(F.lit('"'), F.col("frequency"), F.lit('"'))
+    return r.select(F.col("account_id").cast("bigint"),
+                    recode(quoted, FREQUENCY_CODES, literal=True).alias("frequency"))
+
+
+def q_recode_many(spark, d):
+    r = S.raw_trans(spark, d)
+    return r.select(F.col("trans_id").cast("bigint"), F.col("account_id").cast("bigint"),
+                    recode("type", TRANS_TYPE_CODES).alias("type_"),
+                    recode("operation", OPERATION_CODES).alias("operation"))
+
+
+def q_recode_disp_type(spark, d):
+    r = S.raw_disp(spark, d)
+    raw = F.concat(F.lit('"'), F.col("type"), F.lit('"\r'))
+    return r.select(F.col("disp_id").cast("bigint"), recode_disp_type(raw).alias("type_"))
+
+
+def _tables(spark, d):
+    return S.standin_tables(spark, d)
+
+
+def q_mart_loans(spark, d):
+    return finish(M.mart_loans(_tables(spark, d)))
+
+
+def q_mart_accounts(spark, d):
+    return finish(M.mart_accounts(_tables(spark, d)))
+
+
+def q_mart_cutoff(spark, d):
+    return finish(M.mart_cutoff(_tables(spark, d)))
+
+
+def q_mart_sorted(spark, d):
+    return q_mart_cutoff(spark, d).orderBy("account_id")
+
+
+def q_mart_head(spark, d):
+    return q_mart_cutoff(spark, d).orderBy("account_id").limit(5)
+
+
+def q_mart_roundtrip(spark, d):
+    path = scratch_path(spark, "mart_cutoff")
+    save(q_mart_cutoff(spark, d), path)
+    return load_mart(spark, path)
+
+
+def q_mart_shape(spark, d):
+    return profile(q_mart_cutoff(spark, d))
+
+
+def q_district_match(spark, d):
+    t = _tables(spark, d)
+    return match_audit(t.accounts, M.client_account(t), "account_id", "district_id",
+                       "client_district_id")
+
+
+def q_tenure_age(spark, d):
+    t = _tables(spark, d)
+    return M.tenure_age(t)
+
+
+_base_queries = queries
+
+
+def queries() -> dict[str, Query]:  # noqa: F811
+    out = _base_queries()
+    out.update({
+        "birth_parse": q_birth_parse,
+        "link_clients": q_link_clients,
+        "role_filter": q_role_filter,
+        "owner_user_pair": q_owner_user_pair,
+        "owner_user_pair_literal": q_owner_user_pair_literal,
+        "dedup_first": q_dedup_first,
+        "status_flags": q_status_flags,
+        "load_time_date": q_load_time_date,
+        "card_issue_date": q_card_issue_date,
+        "conform_lenient": q_conform_lenient,
+        "strip_chars": q_strip_chars,
+        "recode_3": q_recode_3,
+        "recode_literal": q_recode_literal,
+        "recode_many": q_recode_many,
+        "recode_disp_type": q_recode_disp_type,
+        "mart_loans": q_mart_loans,
+        "mart_accounts": q_mart_accounts,
+        "mart_cutoff": q_mart_cutoff,
+        "mart_sorted": q_mart_sorted,
+        "mart_head": q_mart_head,
+        "mart_roundtrip": q_mart_roundtrip,
+        "mart_shape": q_mart_shape,
+        "district_match": q_district_match,
+        "tenure_age": q_tenure_age,
+    })
+    return out

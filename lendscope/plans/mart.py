@@ -128,3 +128,13 @@ def mart_accounts(t: BankTables, literal: bool = False) -> DataFrame:
 def mart_cutoff(t: BankTables, literal: bool = False) -> DataFrame:
     """Account-rooted mart over rows dated before each account's loan."""
     return build_mart(t, root="accounts", cutoff=True, literal=literal)
+
+
+def tenure_age(t: BankTables) -> DataFrame:
+    """Days with the bank and owner's age at the loan, per account."""
+    ca = client_account(t).select(KEY, "birth_date")
+    j = (t.accounts.select(KEY, F.col("date_").alias("date_account"))
+         .join(t.loans.select(KEY, F.col("date_").alias("date_loan")), KEY, "left")
+         .join(ca, KEY, "left"))
+    return j.select(KEY, days_between("date_loan", "date_account").alias("days_with_bank"),
+                    years_between("date_loan", "birth_date").alias("age_at_loan"))
