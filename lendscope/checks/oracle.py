@@ -230,7 +230,188 @@ def more_oracles() -> dict[str, str]:
     }
 
 
+
+
+# ---------------------------------------------------------------------------
+# feature preparation and decisions
+# ---------------------------------------------------------------------------
+
+MART_CUT = f"\n    mart AS ({mart_sql('accounts', cutoff=True)})"
+S_AVG = """
+    s AS (SELECT *, (score_0 + score_1 + score_2) / 3 AS avg_score FROM scores)"""
+Q95 = "(SELECT quantile_cont(avg_score, 0.95) FROM s)"
+D68 = "CAST(0.68 AS DOUBLE)"
+LABELS = """(SELECT o_orderkey AS account_id,
+                    CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS good_status_loan
+             FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')) lb"""
+
+
+def qp(select_sql: str) -> str:
+    return with_standins(select_sql, EXTRA + "," + MART_CTES + "," + MART_CUT + "," + S_AVG)
+
+
+FEATURES = [
+    "n_orders", "avg_orders_amount", "std_orders_amount", "n_orders_housing",
+    "avg_orders_housing", "std_orders_housing", "n_orders_insur", "avg_orders_insur",
+    "std_orders_insur", "n_orders_leas", "avg_orders_leas", "std_orders_leas", "n_trans",
+    "n_credit_trans", "sum_credit_trans", "avg_credit_trans", "std_credit_trans",
+    "n_withdrawl_trans", "sum_withdrawl_trans", "avg_withdrawl_trans", "std_withdrawl_trans",
+    "n_cash_deposit", "n_bank_collection", "n_cash_withdrawl", "n_bank_remit",
+    "n_card_withdrawl", "total_credits_amount", "total_withdrawls_amount", "avg_balance",
+    "std_balance", "min_balance", "max_balance", "n_neg_balance", "n_cards", "n_cards_gold",
+    "n_cards_classic", "n_cards_junior", "days_with_bank", "age_at_loan",
+    "freq_dep_acc_monthly", "freq_dep_acc_weekly"]
+INT_FILL = [
+    "n_orders_housing", "n_orders_loan", "n_orders_insur", "n_orders_leas", "n_credit_trans",
+    "n_withdrawl_trans", "n_cash_deposit", "n_bank_collection", "n_cash_withdrawl",
+    "n_bank_remit", "n_card_withdrawl", "n_neg_balance", "current_loan", "good_status_loan"]
+FLOATS = [
+    "avg_orders_leas", "std_orders_leas", "sum_credit_trans", "avg_credit_trans",
+    "sum_withdrawl_trans", "avg_withdrawl_trans", "total_credits_amount",
+    "total_withdrawls_amount", "min_balance", "max_balance", "n_cards_gold", "n_cards_classic",
+    "n_cards_junior"]
+DUMMIES = """CASE WHEN freq_dep_acc = 'monthly' THEN 1 ELSE 0 END AS freq_dep_acc_monthly,
+      CASE WHEN freq_dep_acc = 'weekly' THEN 1 ELSE 0 END AS freq_dep_acc_weekly,
+      CASE WHEN sex_client = 'M' THEN 1 ELSE 0 END AS sex_client_M,
+      CASE WHEN user_sex = 'M' THEN 1 ELSE 0 END AS user_sex_M"""
+TRAIN = """
+    prepared AS (SELECT *, {dummies} FROM mart),
+    labelled AS (SELECT account_id, CAST(coalesce(CAST(good_status_loan AS DOUBLE), 0) AS INTEGER)
+                   AS good_status_loan,
+                   substr(md5(CAST(account_id AS VARCHAR) || '#1'), 1, 8) < '40000000' AS is_test
+                 FROM prepared WHERE loan_id IS NOT NULL),
+    train AS (SELECT account_id, good_status_loan FROM labelled WHERE NOT is_test),
+    cnt AS (SELECT good_status_loan, count(*) AS n FROM train GROUP BY 1),
+    top AS (SELECT max(n) AS m FROM cnt)""".format(dummies=DUMMIES)
+
+
+def qt(select_sql: str) -> str:
+    return with_standins(select_sql,
+                         EXTRA + "," + MART_CTES + "," + MART_CUT + "," + S_AVG + "," + TRAIN)
+
+
+def hist_sql(src: str, x: str, bins_case: str, by: str | None = None) -> str:
+    g = f"{by}, " if by else ""
+    grp = f"GROUP BY {by}" if by else ""
+    on_by = f"s2.{by} = g.{by} AND " if by else ""
+    return f"""SELECT * FROM (WITH h AS (SELECT {g}{x} AS x FROM {src} WHERE {x} IS NOT NULL),
+      mm AS (SELECT {g}min(x) AS lo0, max(x) AS hi0 FROM h {grp}),
+      e AS (SELECT {g}CASE WHEN lo0 = hi0 THEN lo0 - 0.5 ELSE lo0 END AS lo,
+                   CASE WHEN lo0 = hi0 THEN hi0 + 0.5 ELSE hi0 END AS hi, {bins_case} AS nb FROM mm),
+      gb AS (SELECT {g}lo, hi, nb, unnest(range(0, nb)) AS bin FROM e),
+      g AS (SELECT {g}bin, CAST(bin AS DOUBLE) * ((hi - lo) / nb) + lo AS bin_lo,
+                   CASE WHEN bin = nb - 1 THEN hi
+                        ELSE CAST(bin + 1 AS DOUBLE) * ((hi - lo) / nb) + lo END AS bin_hi,
+                   bin = nb - 1 AS last FROM gb)
+    SELECT {g.replace(by + ',', 'g.' + by + ',') if by else ''}g.bin, g.bin_lo, g.bin_hi,
+           count(s2.x) AS count
+    FROM g LEFT JOIN h s2 ON {on_by}s2.x >= g.bin_lo AND (s2.x < g.bin_hi OR (g.last AND s2.x <= g.bin_hi))
+    GROUP BY ALL)"""
+
+
+def report_sql(truth: str, pred: str) -> str:
+    return f"""SELECT * FROM (WITH d AS (SELECT {truth} AS t, {pred} AS p FROM s),
+      cls AS (SELECT t AS c FROM d UNION SELECT p FROM d),
+      per AS (SELECT c, (SELECT count(*) FROM d WHERE t = c) AS support,
+                     (SELECT count(*) FROM d WHERE p = c) AS predicted,
+                     (SELECT count(*) FROM d WHERE t = c AND p = c) AS tp FROM cls),
+      pm AS (SELECT CAST(c AS VARCHAR) AS class_label,
+                    CASE WHEN predicted = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / predicted END AS precision,
+                    CASE WHEN support = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / support END AS recall,
+                    CASE WHEN predicted + support = 0 THEN 0.0
+                         ELSE CAST(2 * tp AS DOUBLE) / (predicted + support) END AS f1_score,
+                    support, tp FROM per)
+    SELECT class_label, precision, recall, f1_score, support FROM pm
+    UNION ALL SELECT 'accuracy', NULL, NULL, CAST(sum(tp) AS DOUBLE) / sum(support),
+                     CAST(sum(support) AS BIGINT) FROM pm
+    UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1_score),
+                     CAST(sum(support) AS BIGINT) FROM pm
+    UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support),
+                     sum(recall * support) / sum(support), sum(f1_score * support) / sum(support),
+                     CAST(sum(support) AS BIGINT) FROM pm)"""
+
+
+def prep_oracles() -> dict[str, str]:
+    feats = ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0) AS {c}" for c in FEATURES)
+    ints = ", ".join(f"CAST(coalesce(CAST({c} AS DOUBLE), 0) AS INTEGER) AS {c}" for c in INT_FILL)
+    floats = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in FLOATS)
+    tiers = f"""SELECT account_id, avg_score,
+        CASE WHEN avg_score >= {Q95} THEN 'pre_approve' WHEN avg_score >= {D68} THEN 'approve'
+             ELSE 'deny' END AS tier FROM s"""
+    return {
+        "split_labelled": qp("SELECT account_id, loan_id IS NOT NULL AS labelled FROM mart"),
+        "get_dummies": qp(f"SELECT account_id, {DUMMIES} FROM mart"),
+        "fill_cast": qp(f"SELECT account_id, {ints}, {floats} FROM mart"),
+        "feature_select": qt(f"SELECT account_id, {feats} FROM prepared"),
+        "train_test_split": qt("SELECT account_id, is_test FROM labelled"),
+        "oversample_ratio": qt("""SELECT account_id, good_status_loan FROM (
+              SELECT t.account_id, t.good_status_loan,
+                     (m // n) + CASE WHEN CAST(('0x' || substr(md5(CAST(t.account_id AS VARCHAR) || '#0'), 1, 8)) AS BIGINT)
+                                          / 4294967296.0 < CAST(m % n AS DOUBLE) / n THEN 1 ELSE 0 END AS copies
+              FROM train t JOIN cnt USING (good_status_loan), top)
+            , unnest(range(0, copies)) AS r(i)"""),
+        "class_weights": qt("""SELECT good_status_loan, n AS n_class,
+              CAST(sum(n) OVER () AS DOUBLE) / (count(*) OVER () * n) AS weight FROM cnt"""),
+        "average_scores": qp("SELECT account_id, score_0, score_1, score_2, avg_score FROM s"),
+        "average_scores_literal": qp("""SELECT account_id, score_0, score_1, score_2,
+              (score_1 + score_2) / 2 AS avg_score FROM s"""),
+        "score_pivot": qp("SELECT account_id, score_0, score_1, score_2 FROM scores"),
+        "score_label_join": qp(f"""SELECT s.account_id, s.avg_score, lb.good_status_loan
+              FROM s JOIN {LABELS} ON lb.account_id = s.account_id"""),
+        "score_label_left": qp(f"""SELECT s.account_id, s.avg_score, lb.good_status_loan
+              FROM s LEFT JOIN {LABELS} ON lb.account_id = s.account_id"""),
+        "threshold_confusion": qp(f"""SELECT
+              count_if(good_status_loan = 1 AND avg_score >= {D68}) AS true_good,
+              count_if(good_status_loan = 0 AND avg_score >= {D68}) AS false_good,
+              count_if(good_status_loan = 0 AND avg_score < {D68}) AS true_bad,
+              count_if(good_status_loan = 1 AND avg_score < {D68}) AS false_bad FROM s"""),
+        "roc_table": qp("""SELECT i AS step, CAST(i AS DOUBLE) * CAST(0.01 AS DOUBLE) AS crit,
+              count_if(good_status_loan = 0 AND avg_score > CAST(i AS DOUBLE) * CAST(0.01 AS DOUBLE))
+                / count_if(good_status_loan = 0) AS FalsePositive,
+              count_if(good_status_loan = 1 AND avg_score > CAST(i AS DOUBLE) * CAST(0.01 AS DOUBLE))
+                / count_if(good_status_loan = 1) AS TruePositive
+            FROM range(0, 101) g(i), s GROUP BY i"""),
+        "roc_points": qp("""SELECT * FROM (SELECT i AS step, CAST(i AS DOUBLE) * CAST(0.01 AS DOUBLE) AS crit,
+              count_if(good_status_loan = 0 AND avg_score > CAST(i AS DOUBLE) * CAST(0.01 AS DOUBLE))
+                / count_if(good_status_loan = 0) AS FalsePositive,
+              count_if(good_status_loan = 1 AND avg_score > CAST(i AS DOUBLE) * CAST(0.01 AS DOUBLE))
+                / count_if(good_status_loan = 1) AS TruePositive
+            FROM range(0, 101) g(i), s GROUP BY i) WHERE step IN (50, 68, 90)"""),
+        "classification_report": qp(report_sql(
+            "good_status_loan", "CASE WHEN avg_score >= 0.5 THEN 1 ELSE 0 END")),
+        "classification_report_swapped": qp(report_sql(
+            "CASE WHEN avg_score >= 0.5 THEN 1 ELSE 0 END", "good_status_loan")),
+        "score_quantile": qp("""SELECT round(quantile_cont(avg_score, 0.95), 9) AS q95,
+              count(avg_score) AS n_scores FROM s"""),
+        "high_confidence": qp("""SELECT count_if(avg_score >= 0.99) AS n_best,
+              count_if(avg_score < 0.99) AS n_others FROM s"""),
+        "preapprove_list": qp(f"SELECT account_id, avg_score FROM s WHERE avg_score >= {Q95}"),
+        "decision_tiers": qp(tiers),
+        "decision_tiers_literal": qp(f"""SELECT *, avg_score >= {Q95} AS pre_approve,
+              avg_score >= {D68} AND avg_score < {Q95} AS approve, avg_score < {D68} AS deny
+            FROM s"""),
+        "tier_counts": qp(f"SELECT tier, count(*) AS n_accounts FROM ({tiers}) GROUP BY tier"),
+        "score_histogram": qp(hist_sql("s", "avg_score", "22")),
+        "tier_histogram": qp(hist_sql(
+            f"({tiers})", "avg_score",
+            "CASE tier WHEN 'pre_approve' THEN 2 WHEN 'approve' THEN 5 ELSE 15 END", by="tier")),
+        "class_profile": qp("""SELECT feature, good_status_loan, count(value) AS n, min(value) AS min,
+              round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q50,
+              round(quantile_cont(value, 0.75), 6) AS q75, max(value) AS max
+            FROM (SELECT good_status_loan, f.feature, f.value FROM mart,
+                    unnest([{'feature': 'n_neg_balance', 'value': CAST(n_neg_balance AS DOUBLE)},
+                            {'feature': 'min_balance', 'value': CAST(min_balance AS DOUBLE)},
+                            {'feature': 'avg_balance', 'value': CAST(avg_balance AS DOUBLE)},
+                            {'feature': 'std_balance', 'value': CAST(std_balance AS DOUBLE)},
+                            {'feature': 'avg_orders_housing', 'value': CAST(avg_orders_housing AS DOUBLE)}
+                           ]) AS u(f)
+                  WHERE loan_id IS NOT NULL)
+            GROUP BY ALL"""),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out = rollup_oracles()
     out.update(more_oracles())
+    out.update(prep_oracles())
     return out

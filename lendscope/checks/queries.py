@@ -276,3 +276,200 @@ def queries() -> dict[str, Query]:  # noqa: F811
         "tenure_age": q_tenure_age,
     })
     return out
+
+
+# ---------------------------------------------------------------------------
+# feature preparation and decisions
+# ---------------------------------------------------------------------------
+
+from lendscope.functions.casts import fill_cast as _fill_cast  # noqa: E402
+from lendscope.plans import decide as D  # noqa: E402
+from lendscope.plans import prep as P  # noqa: E402
+
+
+def _mart(spark, d):
+    return q_mart_cutoff(spark, d)
+
+
+def _labelled_split(spark, d):
+    prepared = P.prepare_mart(_mart(spark, d))
+    labelled, _ = P.split_labelled(prepared)
+    return P.train_test_split(labelled, "account_id", 0.25, seed=1)
+
+
+def _train(spark, d):
+    return (_labelled_split(spark, d).filter(~F.col("is_test"))
+            .select("account_id", "good_status_loan"))
+
+
+def q_split_labelled(spark, d):
+    return _mart(spark, d).select("account_id", F.col("loan_id").isNotNull().alias("labelled"))
+
+
+def q_get_dummies(spark, d):
+    m = _mart(spark, d)
+    return P.get_dummies(m).select("account_id", "freq_dep_acc_monthly", "freq_dep_acc_weekly",
+                                   "sex_client_M", "user_sex_M")
+
+
+def q_fill_cast(spark, d):
+    return _fill_cast(_mart(spark, d), P.INT_FILL_COLUMNS, P.FLOAT_COLUMNS).select(
+        "account_id", *P.INT_FILL_COLUMNS, *P.FLOAT_COLUMNS)
+
+
+def q_feature_select(spark, d):
+    return P.select_features(P.prepare_mart(_mart(spark, d)))
+
+
+def q_train_test_split(spark, d):
+    return _labelled_split(spark, d).select("account_id", "is_test")
+
+
+def q_oversample_ratio(spark, d):
+    return P.oversample(_train(spark, d), "good_status_loan", "account_id", seed=0, mode="ratio")
+
+
+def q_class_weights(spark, d):
+    return P.class_weights(_train(spark, d), "good_status_loan")
+
+
+SCORE_COLS = ["score_0", "score_1", "score_2"]
+
+
+def _scores(spark, d):
+    return D.average_scores(S.standin_scores(spark, d), SCORE_COLS)
+
+
+def _labels(spark, d):
+    o = S.read_table(spark, d, "orders", "o_orderkey", "o_orderstatus", "o_orderpriority")
+    return (o.filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
+             .select(F.col("o_orderkey").alias("account_id"),
+                     F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)
+                     .alias("good_status_loan")))
+
+
+def q_average_scores(spark, d):
+    return _scores(spark, d).select("account_id", *SCORE_COLS, "avg_score")
+
+
+def q_average_scores_literal(spark, d):
+    return D.average_scores(S.standin_scores(spark, d), SCORE_COLS, drop_first=True).select(
+        "account_id", *SCORE_COLS, "avg_score")
+
+
+def q_score_pivot(spark, d):
+    s = S.standin_scores(spark, d)
+    stack = ", ".join(f"{i}, {c}" for i, c in enumerate(SCORE_COLS))
+    long = s.select("account_id", F.expr(f"stack({len(SCORE_COLS)}, {stack}) AS (rep, score)"))
+    return D.score_table(long, "account_id", "rep", "score", n_reps=len(SCORE_COLS))
+
+
+def q_score_label_join(spark, d):
+    return D.score_label_join(_scores(spark, d).select("account_id", "avg_score"),
+                              _labels(spark, d), "account_id", "inner")
+
+
+def q_score_label_left(spark, d):
+    return D.score_label_join(_scores(spark, d).select("account_id", "avg_score"),
+                              _labels(spark, d), "account_id", "left")
+
+
+def q_threshold_confusion(spark, d):
+    return D.confusion(_scores(spark, d))
+
+
+def q_roc_table(spark, d):
+    return D.roc_table(_scores(spark, d))
+
+
+def q_roc_points(spark, d):
+    return D.roc_points(D.roc_table(_scores(spark, d)))
+
+
+def q_classification_report(spark, d):
+    s = D.predict(_scores(spark, d), "avg_score", 0.5, "y_hat")
+    return D.classification_report(s, "good_status_loan", "y_hat")
+
+
+def q_classification_report_swapped(spark, d):
+    s = D.predict(_scores(spark, d), "avg_score", 0.5, "y_hat")
+    return D.classification_report(s, "good_status_loan", "y_hat", swapped=True)
+
+
+def q_score_quantile(spark, d):
+    s = _scores(spark, d)
+    cut = D.preapprove_cut(s)
+    return s.agg(F.count("avg_score").alias("n_scores")).select(
+        F.round(F.lit(cut).cast("double"), 9).alias("q95"), "n_scores")
+
+
+def q_high_confidence(spark, d):
+    return D.high_confidence(_scores(spark, d))
+
+
+def q_preapprove_list(spark, d):
+    return D.preapprove_list(_scores(spark, d))
+
+
+def q_decision_tiers(spark, d):
+    return D.decide(_scores(spark, d)).select("account_id", "avg_score", "tier")
+
+
+def q_decision_tiers_literal(spark, d):
+    return D.decide(_scores(spark, d), literal=True)
+
+
+def q_tier_counts(spark, d):
+    return D.tier_counts(D.decide(_scores(spark, d)))
+
+
+def q_score_histogram(spark, d):
+    return D.histogram(_scores(spark, d), "avg_score", D.POOL_BINS)
+
+
+def q_tier_histogram(spark, d):
+    decided = D.decide(_scores(spark, d))
+    return D.histogram(decided, "avg_score", by="tier", bins_by=D.TIER_BINS)
+
+
+def q_class_profile(spark, d):
+    labelled, _ = P.split_labelled(_mart(spark, d))
+    prof = D.class_profile(labelled)
+    return prof.select(*[F.round(c, 6).alias(c) if c in ("q25", "q50", "q75") else F.col(c)
+                         for c in prof.columns])
+
+
+_base_queries2 = queries
+
+
+def queries() -> dict[str, Query]:  # noqa: F811
+    out = _base_queries2()
+    out.update({
+        "split_labelled": q_split_labelled,
+        "get_dummies": q_get_dummies,
+        "fill_cast": q_fill_cast,
+        "feature_select": q_feature_select,
+        "train_test_split": q_train_test_split,
+        "oversample_ratio": q_oversample_ratio,
+        "class_weights": q_class_weights,
+        "average_scores": q_average_scores,
+        "average_scores_literal": q_average_scores_literal,
+        "score_pivot": q_score_pivot,
+        "score_label_join": q_score_label_join,
+        "score_label_left": q_score_label_left,
+        "threshold_confusion": q_threshold_confusion,
+        "roc_table": q_roc_table,
+        "roc_points": q_roc_points,
+        "classification_report": q_classification_report,
+        "classification_report_swapped": q_classification_report_swapped,
+        "score_quantile": q_score_quantile,
+        "high_confidence": q_high_confidence,
+        "preapprove_list": q_preapprove_list,
+        "decision_tiers": q_decision_tiers,
+        "decision_tiers_literal": q_decision_tiers_literal,
+        "tier_counts": q_tier_counts,
+        "score_histogram": q_score_histogram,
+        "tier_histogram": q_tier_histogram,
+        "class_profile": q_class_profile,
+    })
+    return out
