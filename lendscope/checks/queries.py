@@ -473,3 +473,84 @@ def queries() -> dict[str, Query]:  # noqa: F811
         "class_profile": q_class_profile,
     })
     return out
+
+
+# ---------------------------------------------------------------------------
+# models (no SQL equivalent: checked by row counts and by unit tests)
+# ---------------------------------------------------------------------------
+
+from lendscope.plans import model as ML  # noqa: E402
+from lendscope.session import cut_lineage  # noqa: E402
+
+MODEL_GRID = [0.01, 1.0, 100.0]
+MODEL_FOLDS = 3
+MODEL_REPS = 3
+
+
+def _model_frames(spark, d):
+    """(train, test, pool) assembled frames from the cutoff mart, checkpointed."""
+    prepared = P.prepare_mart(M.mart_cutoff(_tables(spark, d)))
+    labelled, pool = P.split_labelled(prepared)
+    split = P.train_test_split(P.select_features(labelled, keep=("account_id", "good_status_loan")),
+                               "account_id", 0.25, seed=1)
+    train = cut_lineage(ML.assemble(split.filter(~F.col("is_test"))))
+    test = ML.assemble(split.filter(F.col("is_test")))
+    pool_x = ML.assemble(P.select_features(pool), label=None)
+    return train, test, pool_x
+
+
+def q_forest_benchmark(spark, d):
+    train, test, _ = _model_frames(spark, d)
+    weighted = P.with_class_weights(train, "label")
+    rf = ML.fit_forest(weighted, weight_col="weight", num_trees=50)
+    pred = rf.transform(test).select("label", F.col("prediction"))
+    return D.classification_report(pred, "label", "prediction", swapped=False)
+
+
+def q_logit_fit(spark, d):
+    train, _, _ = _model_frames(spark, d)
+    m = ML.fit_logit(P.oversample(train, "label", "account_id", seed=0), C=1.0)
+    coefs = list(zip(P.FEATURE_COLUMNS, m.coefficients.toArray().tolist()))
+    coefs.append(("intercept", float(m.intercept)))
+    return spark.createDataFrame(coefs, "feature string, coefficient double")
+
+
+def q_grid_search(spark, d):
+    train, _, _ = _model_frames(spark, d)
+    res = ML.grid_search(train, MODEL_GRID, folds=MODEL_FOLDS, metric="recall", seed=0)
+    rows = [(float(c), float(v), c == res.best_C) for c, v in res.scores.items()]
+    return spark.createDataFrame(rows, "C double, mean_recall double, best boolean")
+
+
+def _bagged(spark, d):
+    train, test, pool = _model_frames(spark, d)
+    fits = ML.bag(train, MODEL_GRID, reps=MODEL_REPS, folds=MODEL_FOLDS)
+    models = [f.model for f in fits]
+    cols = [f"score_{i}" for i in range(len(models))]
+    return models, cols, test, pool
+
+
+def q_bagged_scores(spark, d):
+    models, cols, _, pool = _bagged(spark, d)
+    return D.average_scores(ML.score(models, pool), cols)
+
+
+def q_model_tiers(spark, d):
+    models, cols, _, pool = _bagged(spark, d)
+    scored = cut_lineage(D.average_scores(ML.score(models, pool), cols))
+    return D.tier_counts(D.decide(scored))
+
+
+_base_queries3 = queries
+
+
+def queries() -> dict[str, Query]:  # noqa: F811
+    out = _base_queries3()
+    out.update({
+        "forest_benchmark": q_forest_benchmark,
+        "logit_fit": q_logit_fit,
+        "grid_search": q_grid_search,
+        "bagged_scores": q_bagged_scores,
+        "model_tiers": q_model_tiers,
+    })
+    return out
