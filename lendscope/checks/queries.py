@@ -28,7 +28,7 @@ def finish(df: DataFrame, digits: int = 4) -> DataFrame:
 
 
 def _trans_before(spark, d):
-    return before_cutoff(S.standin_trans(spark, d), S.standin_loans(spark, d), ts="date_")
+    return before_cutoff(_tables(spark, d).trans, _tables(spark, d).loans, ts="date_")
 
 
 def q_cutoff_txn(spark, d):
@@ -36,7 +36,7 @@ def q_cutoff_txn(spark, d):
 
 
 def q_txn_rollup(spark, d):
-    return finish(txn_rollup(S.standin_trans(spark, d)))
+    return finish(txn_rollup(_tables(spark, d).trans))
 
 
 def q_cutoff_txn_rollup(spark, d):
@@ -44,19 +44,19 @@ def q_cutoff_txn_rollup(spark, d):
 
 
 def q_symbol_rollup(spark, d):
-    return finish(rollup_by_category(S.standin_orders(spark, d)))
+    return finish(rollup_by_category(_tables(spark, d).orders))
 
 
 def q_balance_stats(spark, d):
-    return finish(balance_stats(S.standin_trans(spark, d)))
+    return finish(balance_stats(_tables(spark, d).trans))
 
 
 def q_balance_stats_text(spark, d):
-    return finish(balance_stats(S.standin_trans(spark, d), literal=True))
+    return finish(balance_stats(_tables(spark, d).trans, literal=True))
 
 
 def _linked_cards(spark, d):
-    return link_cards(S.standin_cards(spark, d), S.standin_card_links(spark, d))
+    return link_cards(_tables(spark, d).cards, _tables(spark, d).card_links)
 
 
 def q_card_rollup(spark, d):
@@ -68,7 +68,7 @@ def q_card_rollup_by_type(spark, d):
 
 
 def _cards_before(spark, d):
-    return cards_before_loan(_linked_cards(spark, d), S.standin_loans(spark, d)).drop("_linked")
+    return cards_before_loan(_linked_cards(spark, d), _tables(spark, d).loans).drop("_linked")
 
 
 def q_cutoff_card(spark, d):
@@ -112,11 +112,11 @@ from lendscope.session import scratch_path  # noqa: E402
 
 
 def q_birth_parse(spark, d):
-    return S.standin_clients(spark, d)
+    return _tables(spark, d).clients
 
 
 def _client_disp(spark, d):
-    return link_clients(S.standin_disp(spark, d), S.standin_clients(spark, d))
+    return link_clients(_tables(spark, d).disp, _tables(spark, d).clients)
 
 
 def q_link_clients(spark, d):
@@ -141,7 +141,7 @@ def q_dedup_first(spark, d):
 
 
 def q_status_flags(spark, d):
-    return S.standin_loans(spark, d).select("loan_id", "status_", "current", "good_status")
+    return _tables(spark, d).loans.select("loan_id", "status_", "current", "good_status")
 
 
 def q_load_time_date(spark, d):
@@ -200,7 +200,7 @@ def q_recode_disp_type(spark, d):
 
 
 def _tables(spark, d):
-    return S.standin_tables(spark, d)
+    return S.load_standins(spark, d)
 
 
 def q_mart_loans(spark, d):

@@ -34,11 +34,44 @@ OPERATION_COUNTS = {
 }
 
 
-def mean(x: Column) -> Column:
-    """Mean of the non-NULL values: ``double(sum(x)) / count(x)``."""
+def mean(x: Column, dec: DecimalType | None = None) -> Column:
+    """Mean of the non-NULL values: ``double(sum(x)) / count(x)``.
+
+    With ``dec`` (the decimal type of ``x``) the sum runs on exact unscaled
+    longs (see :func:`exact_sum`); the result is bit-identical.
+    """
+    if _fast(dec):
+        s = F.sum(unscaled(x, dec)).cast("double") / F.lit(float(10 ** dec.scale))
+        return F.try_divide(s, F.count(x))
     return F.try_divide(F.sum(x).cast("double"), F.count(x))
 
 
+def _fast(dec: DecimalType | None) -> bool:
+    return isinstance(dec, DecimalType) and dec.precision <= 15
+
+
+def unscaled(x: Column, dec: DecimalType) -> Column:
+    """Exact unscaled integer of a decimal with precision <= 15 (e.g. cents).
+
+    ``|x| * 10^s < 10^15 < 2^53``, so the double product is within far less
+    than 0.5 of the integer and ``floor(. + 0.5)`` recovers it exactly.
+    """
+    return F.floor(x.cast("double") * F.lit(float(10 ** dec.scale)) + F.lit(0.5))
+
+
+def exact_sum(x: Column, dec: DecimalType | None = None) -> Column:
+    """``sum(x)`` with Spark's result type ``decimal(p + 10, s)``.
+
+    For decimals of precision <= 15 the aggregation buffer is a long of
+    unscaled units instead of a BigDecimal (about twice as fast, same value).
+    """
+    if not _fast(dec):
+        return F.sum(x)
+    p = min(38, dec.precision + 10)
+    total = F.sum(unscaled(x, dec)).cast(f"decimal({p},0)")
+    return (total / F.lit(10 ** dec.scale)).cast(f"decimal({p},{dec.scale})")
+
+
 def std_pop(x: Column) -> Column:
     """Population standard deviation (a single value gives 0.0)."""
     return F.stddev_pop(x.cast("double"))
@@ -48,11 +81,17 @@ def count_when(cond: Column) -> Column:
     return F.count_if(F.coalesce(cond, F.lit(False)))
 
 
-def sum_when(cond: Column, x: Column, default_zero: bool) -> Column:
+def sum_when(cond: Column, x: Column, default_zero: bool,
+             dec: DecimalType | None = None) -> Column:
     """``sum(if(cond, x, 0))`` or, with ``default_zero=False``, ``sum(if(cond, x, NULL))``."""
     if default_zero:
-        return F.sum(F.when(cond, x).otherwise(F.lit(0)))
-    return F.sum(F.when(cond, x))
+        return exact_sum(F.when(cond, x).otherwise(F.lit(0)), dec)
+    return exact_sum(F.when(cond, x), dec)
+
+
+def _dtype(df: DataFrame, col: str) -> DecimalType | None:
+    dt = df.schema[col].dataType
+    return dt if isinstance(dt, DecimalType) else None
 
 
 def rollup_by_category(df: DataFrame, key: str = "account_id", cat: str = "k_symbol",
@@ -66,13 +105,14 @@ def rollup_by_category(df: DataFrame, key: str = "account_id", cat: str = "k_sym
     """
     categories = ORDER_CATEGORIES if categories is None else categories
     x = F.col(amount)
+    dec = _dtype(df, amount)
     aggs = [F.count(F.lit(1)).alias(f"n_{prefix}"),
-            mean(x).alias(f"avg_{prefix}_amount"),
+            mean(x, dec).alias(f"avg_{prefix}_amount"),
             std_pop(x).alias(f"std_{prefix}_amount")]
     for label, value in categories.items():
         hit = F.col(cat) == value
         aggs += [count_when(hit).alias(f"n_{prefix}_{label}"),
-                 mean(F.when(hit, x)).alias(f"avg_{prefix}_{label}"),
+                 mean(F.when(hit, x), dec).alias(f"avg_{prefix}_{label}"),
                  std_pop(F.when(hit, x)).alias(f"std_{prefix}_{label}")]
     return df.groupBy(key).agg(*aggs)
 
@@ -90,7 +130,7 @@ def balance_aggs(balance: str = "balance", literal: bool = False) -> list[Column
         hi = F.max(F.col(balance)).try_cast("decimal(15,2)")
     else:
         lo, hi = F.min(b), F.max(b)
-    return [mean(b).alias("avg_balance"),
+    return [mean(b, DecimalType(15, 2)).alias("avg_balance"),
             std_pop(b).alias("std_balance"),
             lo.alias("min_balance"),
             hi.alias("max_balance"),
@@ -100,21 +140,22 @@ def balance_aggs(balance: str = "balance", literal: bool = False) -> list[Column
 def txn_rollup(df: DataFrame, key: str = "account_id", literal_balance: bool = False) -> DataFrame:
     """The 21 per-account transaction statistics."""
     amt = F.col("amount")
+    dec = _dtype(df, "amount")
     credit = F.col("type_") == "credit"
     withdrawal = F.col("type_") == "withdrawl"
     aggs = [F.count(F.lit(1)).alias("n_trans"),
             count_when(credit).alias("n_credit_trans"),
-            sum_when(credit, amt, True).alias("sum_credit_trans"),
-            mean(F.when(credit, amt)).alias("avg_credit_trans"),
+            sum_when(credit, amt, True, dec).alias("sum_credit_trans"),
+            mean(F.when(credit, amt), dec).alias("avg_credit_trans"),
             std_pop(F.when(credit, amt)).alias("std_credit_trans"),
             count_when(withdrawal).alias("n_withdrawl_trans"),
-            sum_when(withdrawal, amt, True).alias("sum_withdrawl_trans"),
-            mean(F.when(withdrawal, amt)).alias("avg_withdrawl_trans"),
+            sum_when(withdrawal, amt, True, dec).alias("sum_withdrawl_trans"),
+            mean(F.when(withdrawal, amt), dec).alias("avg_withdrawl_trans"),
             std_pop(F.when(withdrawal, amt)).alias("std_withdrawl_trans")]
     aggs += [count_when(F.col("operation") == op).alias(name)
              for name, op in OPERATION_COUNTS.items()]
-    aggs += [sum_when(credit, amt, False).alias("total_credits_amount"),
-             sum_when(withdrawal, amt, False).alias("total_withdrawls_amount")]
+    aggs += [sum_when(credit, amt, False, dec).alias("total_credits_amount"),
+             sum_when(withdrawal, amt, False, dec).alias("total_withdrawls_amount")]
     aggs += balance_aggs("balance", literal_balance)
     return df.groupBy(key).agg(*aggs)
 

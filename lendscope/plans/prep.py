@@ -61,23 +61,45 @@ def levels_of(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> list:
     return sorted(r[0] for r in rows)
 
 
+def levels_of_many(df: DataFrame, cols: Sequence[str],
+                   max_levels: int = MAX_LEVELS) -> dict[str, list]:
+    """Sorted distinct non-NULL values of several columns in one pass."""
+    if not cols:
+        return {}
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v"))
+                                for c in cols]))
+    rows = (df.select(pairs.alias("p")).select("p.c", "p.v").filter(F.col("v").isNotNull())
+              .distinct().limit(max_levels * len(cols) + 1).collect())
+    out: dict[str, list] = {c: [] for c in cols}
+    for r in rows:
+        out[r["c"]].append(r["v"])
+    for c, lv in out.items():
+        if len(lv) > max_levels:
+            raise ValueError(f"{c}: more than {max_levels} levels")
+        out[c] = sorted(lv)
+    return out
+
+
 def get_dummies(df: DataFrame, cols: Sequence[str] = DUMMY_COLUMNS,
                 levels: dict[str, list] | None = None, drop_first: bool = True) -> DataFrame:
     """0/1 indicator columns ``{col}_{level}`` replacing each column.
 
     Levels are sorted; with ``drop_first`` the smallest is left out.  A NULL
     gives 0 in every indicator.  Indicators are appended after the remaining
-    columns.  Pass ``levels`` to reuse the encoding of a training frame.
+    columns.  Pass ``levels`` to reuse the encoding of a training frame;
+    missing ones are found in one distinct pass over all columns.
     """
     levels = dict(levels or {})
+    missing = [c for c in cols if c not in levels]
+    levels.update(levels_of_many(df, missing))
     keep = [F.col(c) for c in df.columns if c not in cols]
     dummies = []
     for c in cols:
-        lv = levels.get(c)
+        lv = levels[c]
         if lv is None:
             lv = levels_of(df, c)
         for level in (lv[1:] if drop_first else lv):
-            dummies.append(F.when(F.col(c) == F.lit(level), 1).otherwise(0)
+            dummies.append(F.when(F.col(c).cast("string") == F.lit(level), 1).otherwise(0)
                            .alias(f"{c}_{level}"))
     return df.select(*keep, *dummies)
 
