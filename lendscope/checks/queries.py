@@ -79,7 +79,7 @@ def q_cutoff_card_rollup(spark, d):
     return card_rollup(_cards_before(spark, d))
 
 
-def queries() -> dict[str, Query]:
+def _rollup_queries() -> dict[str, Query]:
     return {
         "cutoff_txn": q_cutoff_txn,
         "txn_rollup": q_txn_rollup,
@@ -244,12 +244,8 @@ def q_tenure_age(spark, d):
     return M.tenure_age(t)
 
 
-_base_queries = queries
-
-
-def queries() -> dict[str, Query]:  # noqa: F811
-    out = _base_queries()
-    out.update({
+def _entity_queries() -> dict[str, Query]:
+    return {
         "birth_parse": q_birth_parse,
         "link_clients": q_link_clients,
         "role_filter": q_role_filter,
@@ -274,8 +270,7 @@ def queries() -> dict[str, Query]:  # noqa: F811
         "mart_shape": q_mart_shape,
         "district_match": q_district_match,
         "tenure_age": q_tenure_age,
-    })
-    return out
+    }
 
 
 # ---------------------------------------------------------------------------
@@ -439,12 +434,8 @@ def q_class_profile(spark, d):
                          for c in prof.columns])
 
 
-_base_queries2 = queries
-
-
-def queries() -> dict[str, Query]:  # noqa: F811
-    out = _base_queries2()
-    out.update({
+def _decision_queries() -> dict[str, Query]:
+    return {
         "split_labelled": q_split_labelled,
         "get_dummies": q_get_dummies,
         "fill_cast": q_fill_cast,
@@ -471,8 +462,7 @@ def queries() -> dict[str, Query]:  # noqa: F811
         "score_histogram": q_score_histogram,
         "tier_histogram": q_tier_histogram,
         "class_profile": q_class_profile,
-    })
-    return out
+    }
 
 
 # ---------------------------------------------------------------------------
@@ -541,16 +531,19 @@ def q_model_tiers(spark, d):
     return D.tier_counts(D.decide(scored))
 
 
-_base_queries3 = queries
-
-
-def queries() -> dict[str, Query]:  # noqa: F811
-    out = _base_queries3()
-    out.update({
+def _model_queries() -> dict[str, Query]:
+    return {
         "forest_benchmark": q_forest_benchmark,
         "logit_fit": q_logit_fit,
         "grid_search": q_grid_search,
         "bagged_scores": q_bagged_scores,
         "model_tiers": q_model_tiers,
-    })
+    }
+
+
+def queries() -> dict[str, Query]:
+    """Every registered query, by name."""
+    out: dict[str, Query] = {}
+    for part in (_rollup_queries, _entity_queries, _decision_queries, _model_queries):
+        out.update(part())
     return out
