@@ -18,7 +18,7 @@ from lendscope.plans.mart import cards_before_loan, link_cards
 from lendscope.sources import standins as S
 
 Query = Callable[[SparkSession, str], DataFrame]
-FLAGSHIP = "cutoff_txn_rollup"
+FLAGSHIP = "mart_cutoff"
 
 
 def finish(df: DataFrame, digits: int = 4) -> DataFrame:

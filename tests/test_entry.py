@@ -9,7 +9,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def test_entry_smoke(spark):
     df = E.entry(spark)
-    assert df.count() > 0 and "n_trans" in df.columns
+    assert df.count() > 0 and "n_trans" in df.columns and "age_at_loan" in df.columns
 
 
 def test_every_oracle_has_a_query():
