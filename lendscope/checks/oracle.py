@@ -352,6 +352,8 @@ def prep_oracles() -> dict[str, str]:
             , unnest(range(0, copies)) AS r(i)"""),
         "class_weights": qt("""SELECT good_status_loan, n AS n_class,
               CAST(sum(n) OVER () AS DOUBLE) / (count(*) OVER () * n) AS weight FROM cnt"""),
+        "predict_inverted": qp("""SELECT account_id, avg_score,
+              CASE WHEN avg_score < 0.5 THEN 1 ELSE 0 END AS y_hat FROM s"""),
         "average_scores": qp("SELECT account_id, score_0, score_1, score_2, avg_score FROM s"),
         "average_scores_literal": qp("""SELECT account_id, score_0, score_1, score_2,
               (score_1 + score_2) / 2 AS avg_score FROM s"""),

@@ -324,6 +324,19 @@ def q_oversample_ratio(spark, d):
     return P.oversample(_train(spark, d), "good_status_loan", "account_id", seed=0, mode="ratio")
 
 
+def q_oversample_exact(spark, d):
+    return P.oversample(_train(spark, d), "good_status_loan", "account_id", seed=0, mode="exact")
+
+
+def q_oversample_random(spark, d):
+    return P.oversample(_train(spark, d), "good_status_loan", "account_id", seed=0, mode="random")
+
+
+def q_predict_inverted(spark, d):
+    return D.predict(_scores(spark, d), "avg_score", D.PREDICT_THRESHOLD, "y_hat",
+                     inverted=True).select("account_id", "avg_score", "y_hat")
+
+
 def q_class_weights(spark, d):
     return P.class_weights(_train(spark, d), "good_status_loan")
 
@@ -443,6 +456,9 @@ def _decision_queries() -> dict[str, Query]:
         "train_test_split": q_train_test_split,
         "oversample_ratio": q_oversample_ratio,
         "class_weights": q_class_weights,
+        "oversample_exact": q_oversample_exact,
+        "oversample_random": q_oversample_random,
+        "predict_inverted": q_predict_inverted,
         "average_scores": q_average_scores,
         "average_scores_literal": q_average_scores_literal,
         "score_pivot": q_score_pivot,
