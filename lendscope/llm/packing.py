@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -71,8 +72,7 @@ def best_fit(length: np.ndarray, capacity: int, max_docs: int, max_cost: int, sc
     cap, w = np.array([capacity, max_docs, max_cost], float), np.array(weights)
     left, name = np.empty((64, 3)), np.empty(64, np.int64)
     n_open, n_seq = 0, 0
-    least = length[order][::-1].copy() if len(length) else length
-    smallest = float(least[0]) if len(least) else 0.0
+    smallest = float(length.min()) if len(length) else 0.0
     for i in order:
         need = np.array([length[i], 1.0, float(length[i]) ** 2])
         if (need > cap).any():
@@ -113,7 +113,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, max_docs: int =
     rows = pieces(docs, vocabulary, capacity, shards, end_id, with_ids)
     limit = capacity ** 2 if max_cost is None else max_cost
 
-    def place(key, group: pd.DataFrame) -> pd.DataFrame:
+    def place(key: tuple[Any, ...], group: pd.DataFrame) -> pd.DataFrame:
         # arrival order after a shuffle is not fixed: sort, so that a repeated task gives the same result
         group = group.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable", ignore_index=True)
         seq, off = best_fit(group["length"].to_numpy(), capacity, max_docs, limit, score)

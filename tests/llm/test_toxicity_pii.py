@@ -1,0 +1,100 @@
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
+
+from lendscope.llm import pii, toxicity
+
+SF = "/root/testdata/sf0.01"
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        old, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_automaton_is_edit_distance():
+    rng = np.random.default_rng(0)
+    for _ in range(400):
+        a, b = ("".join(rng.choice(list("abc"), rng.integers(0, 7))) for _ in "ab")
+        auto, state = toxicity.Automaton(a, 2), None
+        state = auto.start()
+        for c in b:
+            state = auto.step(state, c)
+        d = edit_distance(a, b)
+        assert auto.distance(state) == (d if d <= 2 else None)
+
+
+def test_trie_and_screen_find_all():
+    terms = ("moron", "worthless", "scum")
+    trie = toxicity.Trie(toxicity.Lexicon(terms, ("lowei",)))
+    for w in ("moron", "moronn", "moon", "wortless", "wrthles", "scam", "scum", "loweiabc", "lowxi", "mor"):
+        ok = any(edit_distance(w, t) <= toxicity.edits(t, False) for t in terms) or w.startswith("lowei")
+        assert (trie.find(w) is not None) == ok, w
+
+
+def test_quotation_window():
+    raw = 'he said "you idiot" but you idiot'.encode()
+    a, b = [m.span() for m in re.finditer(b"idiot", raw)]
+    assert toxicity.quoted(raw, *a) and not toxicity.quoted(raw, *b)
+
+
+def test_held_out_accuracy(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    out = toxicity.score(docs, labels).toPandas()
+    assert len(out) == docs.count() and out.score.between(0, 1).all()
+    both = out.merge(labels.toPandas(), on="doc_id")
+    test = both[[zlib.crc32(str(i).encode()) % 3 == 1 for i in both.doc_id]]
+    assert test.held_out.all()
+    assert (test.predicted == test.toxic).mean() > 0.95  # 260 training texts
+
+
+def test_toxicity_odd_input(spark):
+    docs = spark.createDataFrame([(None, None), (1, ""), (1, ""), (2, "you moron")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
+    out = toxicity.score(docs, labels).toPandas()
+    assert len(out) == 4 and out.score.between(0, 1).all()
+    assert toxicity.score(docs.limit(0), labels).count() == 0
+
+
+MOVE = pii.Permutation(b"k" * 32)
+
+
+def test_feistel_is_a_permutation():
+    for size in (1, 2, 10, 97, 1000):
+        image = [MOVE.forward(i, size) for i in range(size)]
+        assert sorted(image) == list(range(size))
+        assert [MOVE.backward(v, size) for v in image] == list(range(size))
+
+
+def test_formats_stay_valid_and_linked():
+    text = ("card 4111-1111-1111-1111 and 4111111111111111, bad 4111111111111112; iban DE89 3704 0044 0532 0130 00; "
+            "ssn 123-45-6789; born 1984-02-29 or 29/02/1984; host 61.131.143.218; call +1 (469) 555-8958; "
+            'mail tnf.01@mail0.example.com token = "0641917ea4e9feb9cda83477b57ac2654884f485" n 12345')
+    new, kinds = pii.pseudonymize_text(text, MOVE.forward)
+    assert sorted(kinds) == sorted(["card", "card", "iban", "ssn", "date", "date", "ip", "phone", "email", "secret"])
+    for old in ("4111-1111", "4111111111111111", "DE89 3704", "123-45-6789", "1984-02-29", "61.131.143.218", "555-8958",
+                "tnf.01@", "0641917ea4e9"):
+        assert old not in new
+    assert "4111111111111112" in new and "n 12345" in new and len(new) == len(text) + len(
+        re.search(r"host (\S+);", new)[1]) - len("61.131.143.218")
+    a, b = re.search(r"card ([\d-]+) and (\d+)", new).groups()
+    assert a.replace("-", "") == b and pii.luhn(b[:-1]) == int(b[-1])
+    i = re.search(r"iban ([A-Z0-9 ]+);", new)[1].replace(" ", "")
+    assert i[:2] == "DE" and pii._mod97(i[4:] + i[:4]) == 1
+    d1, d2 = re.search(r"born ([\d-]+) or ([\d/]+);", new).groups()
+    assert d1 == "-".join(reversed(d2.split("/"))) and pd.Timestamp(d1)
+    assert pii.pseudonymize_text(text, MOVE.forward) == (new, kinds)
+
+
+def test_pii_frame(spark):
+    docs = spark.createDataFrame([(1, None, 5), (None, "", 5), (2, "x" * 100000 + " 10.1.2.3", 5), (2, "clean 2.5", 5)],
+                                 "doc_id long, text string, pii_found int")
+    out = pii.pseudonymize(docs).toPandas()
+    assert out.pii_found.tolist() == [0, 0, 1, 0] and out.text.iloc[0] is None and out.text.iloc[3] == "clean 2.5"
+    assert pii.pseudonymize(docs.limit(0)).count() == 0
