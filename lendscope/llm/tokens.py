@@ -79,7 +79,7 @@ class Encoder:
                     out.append(b"".join(map(self.memo.__getitem__, pieces)))
                     break
                 except KeyError:
-                    new = set(pieces) - self.memo.keys()
+                    new = {p for p in pieces if p not in self.memo}
                     if len(self.memo) + len(new) > self.limit:
                         new = set(pieces)  # the memo is about to be emptied
                     self._learn(new)

@@ -142,7 +142,7 @@ class Scanner:
                 if found := self.trie.find(w.decode("utf-8", "surrogatepass")):
                     self.hits[w] = found[0]
             self.seen |= new
-        bad = kinds & self.hits.keys()
+        bad = {w for w in kinds if w in self.hits}
         n = Counter()
         if bad:
             pattern = re.compile(b"(?<= )(?:" + b"|".join(map(re.escape, sorted(bad, key=len, reverse=True)))
