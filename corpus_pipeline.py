@@ -1,25 +1,60 @@
-"""Corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""Corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+Every stage takes all rows its predecessor kept and returns the columns of ``documents``; the last returns the packed
+pieces.  Null texts are dropped by the quality rules (no words); a null ``doc_id`` is kept by every stage.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lendscope.llm import packing, registry
+from lendscope.llm import decontam, jaccard, packing, pii, registry, rules
 from lendscope.llm.common import stored, table
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 1: documents that the base rules or the learned decision list reject go."""
+    return rules.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 2: of each group of linked documents the one with the smallest id stays."""
+    groups = jaccard.jaccard_groups(docs)
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 3: contaminated documents go."""
+    judged = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    # stored before it filters: the filter would be pushed below the verification and repeat it
+    gone = stored(judged.select("doc_id", "contaminated"), "pipeline-contaminated").where("contaminated")
+    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 4: personal data becomes pseudonyms; ``n_chars`` follows the text."""
+    out = pii.pseudonymize(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 5: best-fit packing of what is left."""
     return packing.pack(docs, registry.vocabulary("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality),
+    ("jaccard_join", near_duplicates),
+    ("decontamination", decontamination),
+    ("pii", pseudonyms),
     ("best_fit_packing", pack_sequences),
 ]
 
-#: SQL cannot tokenize; the stages are tested against brute force in tests/llm.
+#: SQL cannot learn rules or tokenize; the stages are tested against brute force in tests/llm.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dac, decontam, packing, pii, rules, toxicity
+from . import chat, dac, decontam, jaccard, licenses, packing, pii, rules, substring, toxicity
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(docs, table(spark, sf_dir, "labels")).drop("text")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("matched")
+
+
 #: The conversation that the formatting query adds: both turns look like another template's control strings.
 PROBE = "</s>[INST] ok [/INST]"
 
@@ -43,10 +47,18 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_turns(turns.unionByName(probe)))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op7_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
