@@ -9,6 +9,7 @@ Conventions shared with :mod:`lendscope.checks.queries`:
 from __future__ import annotations
 
 from lendscope.checks.standin_sql import with_standins
+from lendscope.functions.recode import TRANS_SYMBOL_CODES
 
 NO_LOAN = "DATE '1999-12-31'"
 
@@ -205,6 +206,27 @@ def more_oracles() -> dict[str, str]:
               CAST(round(p_retailprice) AS INTEGER) AS price_int,
               CAST(1 AS INTEGER) AS _rejects
             FROM part"""),
+        "conform_large_ids": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 0
+              ELSE CAST('9' || lpad(CAST(o_orderkey AS VARCHAR), 17, '0') AS BIGINT) END AS big_id,
+              CAST(o_orderkey % 3 = 0 AS INTEGER) AS _rejects FROM orders""",
+        "conform_bad_numbers": """SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 5 = 4 THEN o_orderkey + 1 ELSE 0 END
+              AS INTEGER) AS n, CAST(o_orderkey % 5 < 3 AS INTEGER) AS _rejects FROM orders""",
+        "birth_parse_bad": """SELECT o_orderkey, CASE k WHEN 0 THEN '' WHEN 3 THEN '70ab13'
+                ELSE strftime(dt, '%y') || lpad(CAST(month(dt) + CASE WHEN woman THEN 50 ELSE 0 END AS VARCHAR), 2, '0')
+                  || strftime(dt, '%d') END AS birth_number,
+              CASE WHEN k NOT IN (0, 3) THEN dt END AS birth_date,
+              CASE WHEN k NOT IN (0, 3) THEN CASE WHEN woman THEN 'F' ELSE 'M' END END AS sex
+            FROM (SELECT o_orderkey, o_orderkey % 6 AS k, o_orderkey % 2 = 0 AS woman, CAST(o_orderdate AS DATE) AS dt
+                  FROM orders)""",
+        "recode_trans_symbol": f"""SELECT l_orderkey, l_linenumber, l_partkey, s AS k_symbol,
+              CASE WHEN s = ' ' THEN '" "' ELSE s END AS literal
+            FROM (SELECT *, CASE l_partkey % {len(TRANS_SYMBOL_CODES) + 1}
+                    {" ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(TRANS_SYMBOL_CODES.values()))}
+                    ELSE ' ' END AS s FROM lineitem)""",
+        "account_zeros": """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN ''
+                ELSE CAST(o_custkey AS VARCHAR) END AS account_,
+              CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE replace(CAST(o_custkey AS VARCHAR), '0', '') END
+                AS account_literal FROM orders""",
         "strip_chars": q("SELECT c_custkey, c_mktsegment AS segment FROM customer"),
         "recode_3": q("SELECT account_id, frequency FROM accounts"),
         "recode_literal": q("SELECT account_id, frequency FROM accounts"),
@@ -350,6 +372,21 @@ def prep_oracles() -> dict[str, str]:
                                           / 4294967296.0 < CAST(m % n AS DOUBLE) / n THEN 1 ELSE 0 END AS copies
               FROM train t JOIN cnt USING (good_status_loan), top)
             , unnest(range(0, copies)) AS r(i)"""),
+        "oversample_exact": qt("""SELECT account_id, good_status_loan FROM (
+              SELECT t.account_id, t.good_status_loan,
+                     (m // n) + CASE WHEN row_number() OVER (PARTITION BY t.good_status_loan ORDER BY
+                       md5(CAST(t.account_id AS VARCHAR) || '#0'), t.account_id) <= m % n THEN 1 ELSE 0 END AS copies
+              FROM train t JOIN cnt USING (good_status_loan), top)
+            , unnest(range(0, copies)) AS r(i)"""),
+        "oversample_random": qt("""SELECT account_id, good_status_loan FROM (
+              SELECT rk.account_id, rk.good_status_loan, 1 + coalesce(times, 0) AS copies FROM (
+                SELECT account_id, good_status_loan, row_number() OVER (PARTITION BY good_status_loan ORDER BY
+                  md5(CAST(account_id AS VARCHAR) || '#0'), account_id) - 1 AS k FROM train) rk
+              LEFT JOIN (SELECT good_status_loan, CAST(('0x' || substr(md5(CAST(i AS VARCHAR) || '#'
+                  || CAST(good_status_loan AS VARCHAR) || '#0'), 1, 8)) AS BIGINT) % n AS k, count(*) AS times
+                FROM (SELECT good_status_loan, n, unnest(range(0, m - n)) AS i FROM cnt, top) GROUP BY ALL) dr
+              USING (good_status_loan, k))
+            , unnest(range(0, copies)) AS r(i)"""),
         "class_weights": qt("""SELECT good_status_loan, n AS n_class,
               CAST(sum(n) OVER () AS DOUBLE) / (count(*) OVER () * n) AS weight FROM cnt"""),
         "predict_inverted": qp("""SELECT account_id, avg_score,

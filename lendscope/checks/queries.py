@@ -98,11 +98,12 @@ def _rollup_queries() -> dict[str, Query]:
 # load, recode and entity queries
 # ---------------------------------------------------------------------------
 
-from lendscope.functions.birth import decode_birth  # noqa: E402
+from lendscope.functions.birth import birth_number_from_date, decode_birth  # noqa: E402
 from lendscope.functions.casts import conform  # noqa: E402
 from lendscope.functions.dates import format_yymmdd, parse_yymmdd, parse_yymmdd_time  # noqa: E402
 from lendscope.functions.recode import (FREQUENCY_CODES, OPERATION_CODES,  # noqa: E402
-                                        TRANS_TYPE_CODES, recode, recode_disp_type, strip_chars)
+                                        TRANS_SYMBOL_CODES, TRANS_TYPE_CODES, recode, recode_disp_type,
+                                        strip_account_zeros, strip_chars)
 from lendscope.operators.audit import match_audit  # noqa: E402
 from lendscope.operators.dedup import dedup_first  # noqa: E402
 from lendscope.operators.entities import link_clients, pair_roles, role_filter  # noqa: E402
@@ -167,6 +168,52 @@ def q_conform_lenient(spark, d):
                          "price": "decimal(10,2)", "price_int": "int"})
 
 
+def q_conform_large_ids(spark, d):
+    """Ids beyond 2^53, some beyond a long, as text."""
+    o = S.read_table(spark, d, "orders", "o_orderkey")
+    pad = F.lpad(F.col("o_orderkey").cast("string"), 17, "0")
+    raw = o.select(F.col("o_orderkey").cast("string").alias("o_orderkey"),
+                   F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("987"), pad))
+                   .otherwise(F.concat(F.lit("9"), pad)).alias("big_id"))
+    return conform(raw, {"o_orderkey": "bigint", "big_id": "bigint"})
+
+
+def q_conform_bad_numbers(spark, d):
+    """Out of range, not a number, words, empty and rounded integers."""
+    o = S.read_table(spark, d, "orders", "o_orderkey", "o_totalprice")
+    k = F.col("o_orderkey") % 5
+    raw = o.select(F.col("o_orderkey").cast("string").alias("o_orderkey"),
+                   F.when(k == 0, "99999999999").when(k == 1, "NaN").when(k == 2, "x1").when(k == 3, "")
+                   .otherwise(F.concat(F.col("o_orderkey").cast("string"), F.lit(".6"))).alias("n"))
+    return conform(raw, {"o_orderkey": "bigint", "n": "int"})
+
+
+def q_birth_parse_bad(spark, d):
+    """Birth numbers of all orders, every third one empty or malformed."""
+    o = S.read_table(spark, d, "orders", "o_orderkey", "o_orderdate")
+    good = birth_number_from_date(F.col("o_orderdate"), F.col("o_orderkey") % 2 == 0)
+    k = F.col("o_orderkey") % 6
+    raw = o.select("o_orderkey", F.when(k == 0, "").when(k == 3, "70ab13").otherwise(good).alias("birth_number"))
+    return decode_birth(raw)
+
+
+def q_recode_trans_symbol(spark, d):
+    """Transaction symbols: shipping modes play the codes."""
+    li = S.read_table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_shipdate", "l_partkey")
+    codes = [*TRANS_SYMBOL_CODES, " "]
+    code = F.element_at(F.array(*[F.lit(c) for c in codes]), (F.col("l_partkey") % len(codes) + 1).cast("int"))
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", recode(code, TRANS_SYMBOL_CODES).alias("k_symbol"),
+                     recode(F.concat(F.lit('"'), code, F.lit('"')), TRANS_SYMBOL_CODES, literal=True).alias("literal"))
+
+
+def q_account_zeros(spark, d):
+    """Counterparty accounts, both modes; every fourth has none (``0``)."""
+    o = S.read_table(spark, d, "orders", "o_orderkey", "o_custkey")
+    a = F.when(F.col("o_orderkey") % 4 == 0, "0").otherwise(F.col("o_custkey").cast("string"))
+    return o.select("o_orderkey", strip_account_zeros(F.concat(a, F.lit("\r"))).alias("account_"),
+                    strip_account_zeros(a, literal=True).alias("account_literal"))
+
+
 def q_strip_chars(spark, d):
     c = S.read_table(spark, d, "customer", "c_custkey", "c_mktsegment")
     raw = c.select("c_custkey", F.concat(F.lit('"'), "c_mktsegment", F.lit('"\r')).alias("s"))
@@ -200,7 +247,7 @@ def q_recode_disp_type(spark, d):
 
 
 def _tables(spark, d):
-    return S.load_standins(spark, d)
+    return S.standin_tables(spark, d)
 
 
 def q_mart_loans(spark, d):
@@ -256,6 +303,11 @@ def _entity_queries() -> dict[str, Query]:
         "load_time_date": q_load_time_date,
         "card_issue_date": q_card_issue_date,
         "conform_lenient": q_conform_lenient,
+        "conform_large_ids": q_conform_large_ids,
+        "conform_bad_numbers": q_conform_bad_numbers,
+        "birth_parse_bad": q_birth_parse_bad,
+        "recode_trans_symbol": q_recode_trans_symbol,
+        "account_zeros": q_account_zeros,
         "strip_chars": q_strip_chars,
         "recode_3": q_recode_3,
         "recode_literal": q_recode_literal,
@@ -488,10 +540,6 @@ def _decision_queries() -> dict[str, Query]:
 from lendscope.plans import model as ML  # noqa: E402
 from lendscope.session import cut_lineage  # noqa: E402
 
-MODEL_GRID = [0.01, 1.0, 100.0]
-MODEL_FOLDS = 3
-MODEL_REPS = 3
-
 
 def _model_frames(spark, d):
     """(train, test, pool) assembled frames from the cutoff mart, checkpointed."""
@@ -508,7 +556,7 @@ def _model_frames(spark, d):
 def q_forest_benchmark(spark, d):
     train, test, _ = _model_frames(spark, d)
     weighted = P.with_class_weights(train, "label")
-    rf = ML.fit_forest(weighted, weight_col="weight", num_trees=50)
+    rf = ML.fit_forest(weighted, weight_col="weight")
     pred = rf.transform(test).select("label", F.col("prediction"))
     return D.classification_report(pred, "label", "prediction", swapped=False)
 
@@ -523,14 +571,14 @@ def q_logit_fit(spark, d):
 
 def q_grid_search(spark, d):
     train, _, _ = _model_frames(spark, d)
-    res = ML.grid_search(train, MODEL_GRID, folds=MODEL_FOLDS, metric="recall", seed=0)
+    res = ML.grid_search(train, ML.C_GRID_FIRST, metric="recall", seed=0)
     rows = [(float(c), float(v), c == res.best_C) for c, v in res.scores.items()]
     return spark.createDataFrame(rows, "C double, mean_recall double, best boolean")
 
 
 def _bagged(spark, d):
     train, test, pool = _model_frames(spark, d)
-    fits = ML.bag(train, MODEL_GRID, reps=MODEL_REPS, folds=MODEL_FOLDS)
+    fits = ML.bag(train, ML.C_GRID_SECOND)
     models = [f.model for f in fits]
     cols = [f"score_{i}" for i in range(len(models))]
     return models, cols, test, pool

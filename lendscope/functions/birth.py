@@ -23,7 +23,7 @@ def decode_birth(df: DataFrame, col: str = "birth_number", literal: bool = False
     start = 2 if literal else 1
     s = F.col(col)
     yy = F.substring(s, start, 2)
-    mm = F.substring(s, start + 2, 2).cast("int")
+    mm = F.substring(s, start + 2, 2).try_cast("int")
     dd = F.substring(s, start + 4, 2)
     female = mm > FEMALE_MONTH_OFFSET
     month = F.when(female, mm - FEMALE_MONTH_OFFSET).otherwise(mm)

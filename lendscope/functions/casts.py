@@ -27,10 +27,10 @@ def _lenient(raw: Column, type_: str) -> tuple[Column, Column]:
         v = parse_yymmdd_time(s)
         return v, (~empty & v.isNull())
     if t in INTEGRAL:
-        # '3.08' in an int column is rounded, as a lenient loader does.
-        as_num = s.try_cast("double")
-        v = F.round(as_num).cast(t)
-        bad = ~empty & as_num.isNull()
+        # exact for every digit of a long; '3.08' in an int column is rounded, as a
+        # lenient loader does; what is no number or out of range is 0 and a reject
+        v = F.coalesce(s.try_cast(t), F.round(s.try_cast("decimal(38,10)")).try_cast(t))
+        bad = ~empty & v.isNull()
         return F.when(bad | empty, F.lit(0).cast(t)).otherwise(v), bad
     if t.startswith("decimal") or t in ("double", "float"):
         v = s.try_cast(t)

@@ -13,11 +13,6 @@ from pyspark.sql import functions as F
 from lendscope.functions.dates import NO_LOAN_CUTOFF, date_literal
 
 
-def cutoff_table(loans: DataFrame, key: str = "account_id", date: str = "date_") -> DataFrame:
-    """``(key, cutoff)`` from the loans table."""
-    return loans.select(F.col(key), F.col(date).alias("_cutoff"))
-
-
 def before_cutoff(events: DataFrame, cutoffs: DataFrame, key: str = "account_id",
                   ts: str = "date_", cut: str = "date_",
                   default: str = NO_LOAN_CUTOFF) -> DataFrame:
@@ -27,31 +22,19 @@ def before_cutoff(events: DataFrame, cutoffs: DataFrame, key: str = "account_id"
     join outer, so keys without a cutoff are compared to ``default``.  If a
     key had several cutoffs its events would be repeated once per cutoff
     (the source's behaviour); :func:`assert_one_cutoff` checks that.
-    Spark picks broadcast or sort-merge at runtime from the real size of
-    the cutoff side (adaptive execution), and splits skewed keys.
+
+    The key of the result is an expression equal to the key, so that a rollup
+    by it cannot reuse the join's partitioning: it combines its rows in the
+    join's tasks, which adaptive execution may then split for a hot key, and
+    only partial aggregates are shuffled.  (With the plain key the rollup
+    would run in the join's tasks, unsplit, on all rows of the key.)
     """
     c = cutoffs.select(F.col(key), F.col(cut).alias("_cutoff"))
     limit = F.coalesce(F.col("_cutoff"), date_literal(default))
     return (events.join(c, on=key, how="left")
                   .filter(F.col(ts) < limit)
-                  .drop("_cutoff"))
-
-
-def cards_before_cutoff(cards: DataFrame, links: DataFrame, loans: DataFrame,
-                        link_key: str = "disp_id", key: str = "account_id",
-                        ts: str = "issued", cut: str = "date_",
-                        default: str = NO_LOAN_CUTOFF) -> DataFrame:
-    """Two-hop cutoff: card -> link (account) -> loan date.
-
-    Cards whose link row is missing have no account and hence a NULL limit;
-    they are dropped, as the source's filter on the right side does.
-    """
-    l = links.select(F.col(link_key), F.col(key))
-    lc = l.join(loans.select(F.col(key), F.col(cut).alias("_cutoff")), on=key, how="left")
-    limit = F.coalesce(F.col("_cutoff"), date_literal(default))
-    return (cards.join(lc.select(link_key, limit.alias("_limit")), on=link_key, how="left")
-                 .filter(F.col(ts) < F.col("_limit"))
-                 .drop("_limit"))
+                  .drop("_cutoff")
+                  .withColumn(key, F.array_max(F.array(F.col(key)))))
 
 
 def assert_one_cutoff(cutoffs: DataFrame, key: str = "account_id") -> None:

@@ -3,12 +3,14 @@
 Spark's exact ``percentile`` aggregate merges every distinct value of a
 group into a single buffer, which does not scale to billions of scores, and
 ``percentile_approx`` is approximate.  Here each order statistic is found by
-histogram refinement: one distributed pass counts the values of the current
-window in ``bins`` equal-width bins (only ``bins`` counts per window reach
-the driver), the bin holding the wanted rank becomes the next window, and a
-window with one distinct value, or with few enough values to fetch, ends the
-search.  Every pass shrinks the window strictly, so the search terminates;
-on real data it takes two or three passes.
+histogram refinement: a distributed pass counts the values of the current
+windows in equal-width bins (only bin counts per window reach the driver),
+the bin holding the wanted rank becomes the next window, and a window with
+one distinct value ends the search.  One pass serves all groups and ranks;
+every pass shrinks each window strictly, so the search terminates, after two
+or three passes on real data.  The same path runs at every input size.
+
+``MAX_GROUPS`` is a guard: more groups than that raise, nothing is dropped.
 
 Interpolation follows the usual "continuous" definition:
 ``pos = p * (n - 1)``; ``lo + (hi - lo) * (pos - floor(pos))``.
@@ -20,86 +22,87 @@ import math
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 MAX_GROUPS = 10_000
-FETCH_LIMIT = 20_000
 
 
-def _group_match(group_cols: Sequence[str], key: tuple) -> Column:
-    cond = F.lit(True)
-    for c, v in zip(group_cols, key):
-        cond = cond & (F.col(c).isNull() if v is None else (F.col(c) == F.lit(v)))
-    return cond
+def _bin_counts(df: DataFrame, value: str, group_cols: Sequence[str], windows: list[tuple],
+                bins: int) -> dict[int, list[tuple]]:
+    """Per window: ``(bin, count, min, max)`` of the values inside it.
+
+    The windows of a group sit in one row of a small table that is joined on
+    the group columns (null-safe), so a row meets its own group's windows only.
+    """
+    kind = df.schema[value].dataType
+    by_group: dict[tuple, list[tuple]] = {}
+    for i, (g, lo, hi, _) in enumerate(windows):
+        by_group.setdefault(g, []).append((i, lo, hi))
+    wins = StructType([StructField("w", IntegerType()), StructField("lo", kind), StructField("hi", kind)])
+    names = [f"_g{i}" for i in range(len(group_cols))]
+    schema = StructType([*[StructField(n, df.schema[c].dataType) for n, c in zip(names, group_cols)],
+                         StructField("_wins", ArrayType(wins))])
+    table = df.sparkSession.createDataFrame([(*g, w) for g, w in by_group.items()], schema)
+    if group_cols:
+        match = F.lit(True)
+        for n, c in zip(names, group_cols):
+            match = match & df[c].eqNullSafe(F.col(n))
+        # at most MAX_GROUPS rows and two windows per wanted quantile
+        joined = df.join(F.broadcast(table), match)
+    else:
+        joined = df.withColumn("_wins", F.array(*[F.struct(
+            F.lit(i).alias("w"), F.lit(lo).cast(kind).alias("lo"), F.lit(hi).cast(kind).alias("hi"))
+            for i, lo, hi in by_group[()]]))
+    v = F.col(value)
+    inside = joined.select(v, F.explode(F.filter("_wins", lambda w: v.between(w["lo"], w["hi"]))).alias("t"))
+    # exact differences where the type allows it: far apart longs fall back to doubles
+    width = F.coalesce(F.try_subtract("t.hi", "t.lo").cast("double"),
+                       F.col("t.hi").cast("double") - F.col("t.lo").cast("double"))
+    above = F.coalesce(F.try_subtract(v, F.col("t.lo")).cast("double"),
+                       v.cast("double") - F.col("t.lo").cast("double"))
+    b = F.least(F.greatest(F.floor(above / width * F.lit(float(bins))), F.lit(0)), F.lit(bins - 1)).cast("int")
+    rows = (inside.select(F.col("t.w").alias("w"), b.alias("b"), v.alias("_v")).groupBy("w", "b")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect())
+    out: dict[int, list[tuple]] = {}
+    for r in rows:
+        out.setdefault(r["w"], []).append((r["b"], r["n"], r["lo"], r["hi"]))
+    return out
 
 
 def order_statistics(df: DataFrame, value: str, ranks: dict[tuple, set[int]],
                      group_cols: Sequence[str] = (), stats: dict[tuple, tuple] | None = None,
-                     bins: int = 1024, fetch_limit: int = FETCH_LIMIT) -> dict[tuple, dict[int, float]]:
+                     bins: int = 1024) -> dict[tuple, dict[int, float]]:
     """Exact k-th smallest values (0-based ranks) of ``value`` per group.
 
     ``ranks`` maps group key tuple -> ranks wanted; ``stats`` optionally maps
     group key -> (n, min, max) when already known.
     """
     group_cols = list(group_cols)
-    v = F.col(value)
-    if stats is None:
-        stats = group_stats(df, value, group_cols)
+    stats = group_stats(df, value, group_cols) if stats is None else stats
     result: dict[tuple, dict[int, float]] = {g: {} for g in ranks}
-    # window state: (group, lo, hi, below) -> ranks searched in it
-    windows: dict[tuple, set[int]] = {}
-    for g, rs in ranks.items():
-        n, lo, hi = stats[g]
-        windows.setdefault((g, lo, hi, 0, n), set()).update(rs)
-
-    while windows:
-        done = []
-        for w, rs in windows.items():
-            g, lo, hi, below, cnt = w
-            if lo == hi:
-                for r in rs:
-                    result[g][r] = lo
-                done.append(w)
-            elif cnt <= fetch_limit:
-                vals = sorted(row[0] for row in
-                              df.filter(_group_match(group_cols, g) & v.between(lo, hi))
-                                .select(v).collect())
-                for r in rs:
-                    result[g][r] = vals[r - below]
-                done.append(w)
-        for w in done:
-            del windows[w]
+    windows: dict[tuple, set[int]] = {}  # (group, lo, hi, rows below) -> ranks searched in it
+    for g, wanted in ranks.items():
+        _, lo, hi = stats[g]
+        windows.setdefault((g, lo, hi, 0), set()).update(wanted)
+    while True:
+        for (g, lo, _, _), wanted in [(w, r) for w, r in windows.items() if w[1] == w[2]]:
+            result[g].update(dict.fromkeys(wanted, lo))
+        windows = {w: r for w, r in windows.items() if w[1] != w[2]}
         if not windows:
-            break
-        wl = list(windows)
-        nb = max(16, min(bins, 65536 // len(wl)))
-        entries = []
-        for i, (g, lo, hi, _, _) in enumerate(wl):
-            inside = _group_match(group_cols, g) & (v >= F.lit(lo)) & (v <= F.lit(hi))
-            b = F.floor((v.cast("double") - F.lit(float(lo))) / F.lit(float(hi - lo))
-                        * F.lit(float(nb)))
-            b = F.least(F.greatest(b, F.lit(0)), F.lit(nb - 1)).cast("int")
-            entries.append(F.when(inside, F.struct(F.lit(i).alias("w"), b.alias("b"))))
-        tagged = (df.select(F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull()))
-                            .alias("t"), v.alias("_v"))
-                  .groupBy(F.col("t.w").alias("w"), F.col("t.b").alias("b"))
-                  .agg(F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"),
-                       F.max("_v").alias("hi")))
-        per_window: dict[int, list] = {}
-        for row in tagged.collect():
-            per_window.setdefault(row["w"], []).append((row["b"], row["n"], row["lo"], row["hi"]))
-        new_windows: dict[tuple, set[int]] = {}
-        for i, w in enumerate(wl):
-            g, lo, hi, below, cnt = w
-            cum = below
-            for b, n, blo, bhi in sorted(per_window.get(i, [])):
-                hit = {r for r in windows[w] if cum <= r < cum + n}
+            return result
+        searched = list(windows)
+        counts = _bin_counts(df, value, group_cols, searched, max(16, min(bins, 65536 // len(searched))))
+        narrower: dict[tuple, set[int]] = {}
+        for i, w in enumerate(searched):
+            below = w[3]
+            for _, n, lo, hi in sorted(counts.get(i, [])):
+                hit = {r for r in windows[w] if below <= r < below + n}
                 if hit:
-                    new_windows.setdefault((g, blo, bhi, cum, n), set()).update(hit)
-                cum += n
-        windows = new_windows
-    return result
+                    narrower.setdefault((w[0], lo, hi, below), set()).update(hit)
+                below += n
+        windows = narrower
 
 
 def group_stats(df: DataFrame, value: str, group_cols: Sequence[str] = ()) -> dict[tuple, tuple]:

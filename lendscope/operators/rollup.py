@@ -35,21 +35,18 @@ OPERATION_COUNTS = {
 
 
 def mean(x: Column, dec: DecimalType | None = None) -> Column:
-    """Mean of the non-NULL values: ``double(sum(x)) / count(x)``.
-
-    With ``dec`` (the decimal type of ``x``) the sum runs on exact unscaled
-    longs (see :func:`exact_sum`); the result is bit-identical.
-    """
-    if _fast(dec):
-        s = F.sum(unscaled(x, dec)).cast("double") / F.lit(float(10 ** dec.scale))
-        return F.try_divide(s, F.count(x))
-    return F.try_divide(F.sum(x).cast("double"), F.count(x))
+    """Mean of the non-NULL values: ``double(sum(x)) / count(x)``, the sum exact."""
+    return F.try_divide(exact_sum(x, dec).cast("double"), F.count(x))
 
 
 def _fast(dec: DecimalType | None) -> bool:
     return isinstance(dec, DecimalType) and dec.precision <= 15
 
 
+#: Units of the low half of a split amount.
+_HALF = 10 ** 8
+
+
 def unscaled(x: Column, dec: DecimalType) -> Column:
     """Exact unscaled integer of a decimal with precision <= 15 (e.g. cents).
 
@@ -62,13 +59,18 @@ def unscaled(x: Column, dec: DecimalType) -> Column:
 def exact_sum(x: Column, dec: DecimalType | None = None) -> Column:
     """``sum(x)`` with Spark's result type ``decimal(p + 10, s)``.
 
-    For decimals of precision <= 15 the aggregation buffer is a long of
-    unscaled units instead of a BigDecimal (about twice as fast, same value).
+    For decimals of precision <= 15 two long buffers hold the sums of the
+    high and the low digits (each part below 10^8, so 9 * 10^10 rows fit a
+    buffer) instead of one BigDecimal; the halves meet again in decimal.
     """
     if not _fast(dec):
         return F.sum(x)
     p = min(38, dec.precision + 10)
-    total = F.sum(unscaled(x, dec)).cast(f"decimal({p},0)")
+    u = unscaled(x, dec)
+    low = F.pmod(u, F.lit(_HALF))
+    high = ((u - low) / F.lit(_HALF)).cast("long")
+    total = (F.sum(high).cast("decimal(28,0)") * F.lit(_HALF).cast("decimal(9,0)")
+             + F.sum(low).cast("decimal(28,0)")).cast(f"decimal({p},0)")
     return (total / F.lit(10 ** dec.scale)).cast(f"decimal({p},{dec.scale})")
 
 
@@ -182,7 +184,3 @@ def card_rollup(cards: DataFrame, links: DataFrame | None = None, key: str = "ac
     group = [key, "type_"] if per_type else [key]
     out = joined.groupBy(*group).agg(*aggs)
     return out.drop("type_") if per_type else out
-
-
-def is_decimal(df: DataFrame, col: str) -> bool:
-    return isinstance(df.schema[col].dataType, DecimalType)

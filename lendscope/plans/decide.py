@@ -145,11 +145,13 @@ def classification_report(df: DataFrame, truth: str, pred: str, swapped: bool =
     """
     t, p = (pred, truth) if swapped else (truth, pred)
     cells = df.groupBy(F.col(t).alias("t"), F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    by_t = cells.groupBy(F.col("t").alias("c")).agg(
-        F.sum("n").alias("support"),
-        F.sum(F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)).alias("tp"))
-    by_p = cells.groupBy(F.col("p").alias("c")).agg(F.sum("n").alias("predicted"))
-    per = (by_t.join(by_p, "c", "full").fillna(0, ["support", "tp", "predicted"]))
+    # a cell counts once for its true and once for its predicted class
+    sides = cells.select("n", (F.col("t") == F.col("p")).alias("hit"), F.explode(F.array(
+        F.struct(F.col("t").alias("c"), F.lit(True).alias("is_truth")),
+        F.struct(F.col("p").alias("c"), F.lit(False).alias("is_truth")))).alias("side"))
+    per = sides.groupBy("side.c").agg(*[F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).alias(name) for name, cond in (
+        ("support", F.col("side.is_truth")), ("tp", F.col("side.is_truth") & F.col("hit")),
+        ("predicted", ~F.col("side.is_truth")))])
 
     def ratio(a: Column, b: Column) -> Column:
         return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / b)
@@ -234,20 +236,23 @@ def _edges(lo: float, hi: float) -> tuple[float, float]:
     return (lo - 0.5, hi + 0.5) if lo == hi else (lo, hi)
 
 
-def _bin_expr(x: Column, lo: float, hi: float, bins: int) -> Column:
+def _bin_expr(x: Column, lo: Column, hi: Column, bins: Column) -> Column:
     """Equal-width bin of ``x`` on [lo, hi]; the last bin is closed."""
     step = (hi - lo) / bins
 
     def edge(j: Column) -> Column:
-        return F.when(j == bins, F.lit(hi)).otherwise(j.cast("double") * F.lit(step) + F.lit(lo))
+        return F.when(j == bins, hi).otherwise(j.cast("double") * step + lo)
 
-    j = F.least(F.greatest(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(bins))),
-                           F.lit(0)), F.lit(bins - 1))
+    j = F.least(F.greatest(F.floor((x - lo) / (hi - lo) * bins.cast("double")), F.lit(0)), bins - 1)
     j = F.when(x < edge(j), j - 1).otherwise(j)
     j = F.when((j < bins - 1) & (x >= edge(j + 1)), j + 1).otherwise(j)
     return j
 
 
+#: A histogram per group is a report: more groups than this raise.
+MAX_HISTOGRAMS = 1_000
+
+
 def histogram(df: DataFrame, col: str, bins: int = POOL_BINS,
               by: str | None = None, bins_by: dict | None = None) -> DataFrame:
     """Counts in equal-width bins over each group's [min, max].
@@ -257,34 +262,33 @@ def histogram(df: DataFrame, col: str, bins: int = POOL_BINS,
     """
     x = F.col(col).cast("double")
     keys = [by] if by else []
-    mm = df.groupBy(*keys).agg(F.min(x).alias("lo"), F.max(x).alias("hi")).collect()
+    ranges = df.groupBy(*keys).agg(F.min(x).alias("lo"), F.max(x).alias("hi")).limit(MAX_HISTOGRAMS + 1).collect()
+    if len(ranges) > MAX_HISTOGRAMS:
+        raise ValueError(f"more than {MAX_HISTOGRAMS} groups")
     spark = df.sparkSession
-    parts = []
-    for r in mm:
-        if r["lo"] is None:
-            continue
-        g = r[by] if by else None
-        nb = (bins_by or {}).get(g, bins) if by else bins
-        lo, hi = _edges(r["lo"], r["hi"])
-        sub = df.filter(F.col(by) == F.lit(g)) if by else df
-        counts = (sub.filter(x.isNotNull()).select(_bin_expr(x, lo, hi, nb).alias("bin"))
-                     .groupBy("bin").agg(F.count(F.lit(1)).alias("count")))
-        step = (hi - lo) / nb
-        grid = spark.range(0, nb).select(F.col("id").alias("bin"))
-        edge_lo = F.col("bin").cast("double") * F.lit(step) + F.lit(lo)
-        edge_hi = F.when(F.col("bin") == nb - 1, F.lit(hi)).otherwise(
-            (F.col("bin") + 1).cast("double") * F.lit(step) + F.lit(lo))
-        h = (grid.join(F.broadcast(counts), "bin", "left").fillna(0, ["count"])
-                 .select(*([F.lit(g).alias(by)] if by else []), "bin",
-                         edge_lo.alias("bin_lo"), edge_hi.alias("bin_hi"), "count"))
-        parts.append(h)
-    if not parts:
-        return spark.createDataFrame([], f"{by + ' string, ' if by else ''}bin long, "
-                                         "bin_lo double, bin_hi double, count long")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rows = []
+    for i, r in enumerate(ranges):
+        if r["lo"] is not None:
+            g = r[by] if by else None
+            rows.append((i, g, *_edges(r["lo"], r["hi"]), (bins_by or {}).get(g, bins) if by else bins))
+    kind = df.schema[by].dataType.simpleString() if by else "string"
+    groups = spark.createDataFrame(rows, f"_i int, _g {kind}, _lo double, _hi double, _n long")
+    valued = df.filter(x.isNotNull())
+    if by:  # one pass for all groups; the group table has at most MAX_HISTOGRAMS rows
+        valued = valued.join(F.broadcast(groups), df[by].eqNullSafe(F.col("_g")))
+    else:
+        i, _, lo, hi, n = rows[0] if rows else (0, None, 0.0, 1.0, 1)
+        valued = valued.withColumns({"_i": F.lit(i), "_lo": F.lit(lo), "_hi": F.lit(hi), "_n": F.lit(n).cast("long")})
+    counts = (valued.select("_i", _bin_expr(x, F.col("_lo"), F.col("_hi"), F.col("_n")).alias("bin"))
+                    .groupBy("_i", "bin").agg(F.count(F.lit(1)).alias("count")))
+    step = (F.col("_hi") - F.col("_lo")) / F.col("_n")
+    grid = groups.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("bin"))
+    edge_hi = F.when(F.col("bin") == F.col("_n") - 1, F.col("_hi")).otherwise(
+        (F.col("bin") + 1).cast("double") * step + F.col("_lo"))
+    return (grid.join(counts, ["_i", "bin"], "left").fillna(0, ["count"])
+                .select(*([F.col("_g").alias(by)] if by else []), "bin",
+                        (F.col("bin").cast("double") * step + F.col("_lo")).alias("bin_lo"),
+                        edge_hi.alias("bin_hi"), "count"))
 
 
 def class_profile(df: DataFrame, features: Sequence[str] = PROFILE_FEATURES,

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lendscope.functions.dates import days_between, years_between
-from lendscope.operators.cutoff import before_cutoff
+from lendscope.operators.cutoff import assert_one_cutoff, before_cutoff
 from lendscope.operators.entities import link_clients, pair_roles
 from lendscope.operators.rollup import card_rollup, rollup_by_category, txn_rollup
 from lendscope.sources.tables import BankTables
@@ -83,6 +83,8 @@ def build_mart(t: BankTables, root: str = "accounts", cutoff: bool = True,
     tenure   add ``days_with_bank`` and ``age_at_loan`` (default: account root)
     """
     tenure = (root == "accounts") if tenure is None else tenure
+    if cutoff:
+        assert_one_cutoff(t.loans, KEY)  # several loans would repeat the account's rows
     r = rollups(t, cutoff, literal)
     loans = t.loans.select(KEY, *[F.col(a).alias(b) for a, b in LOAN_COLUMNS])
     accts = t.accounts.select(KEY, "district_id", F.col("frequency").alias("freq_dep_acc"),

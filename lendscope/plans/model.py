@@ -26,6 +26,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lendscope.session import cut_lineage
 from lendscope.plans.prep import FEATURE_COLUMNS, KEY, LABEL, hash_prefix, oversample
 
 # The source's penalty grids, repetitions and seeds.
@@ -64,12 +65,18 @@ def reg_param(C: float, n: float) -> float:
     return 1.0 / (C * n)
 
 
-def fit_logit(train: DataFrame, C: float, n: float | None = None, max_iter: int = 100) -> Model:
-    """L2 logistic regression with inverse penalty ``C``."""
+def fit_logit(train: DataFrame, C: float, n: float | None = None, max_iter: int = 2000) -> Model:
+    """L2 logistic regression with inverse penalty ``C``; raises if it does not converge."""
     n = float(train.count()) if n is None else n
     lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=reg_param(C, n),
                             elasticNetParam=0.0, standardization=False, maxIter=max_iter)
-    return lr.fit(train)
+    model = lr.fit(train)
+    if model.summary.totalIterations >= max_iter:
+        raise RuntimeError(f"no convergence within {max_iter} iterations for C={C}")
+    return model
+
+
+METRICS = ("recall", "accuracy")
 
 
 def prob_good(model: Model, df: DataFrame, out: str) -> DataFrame:
@@ -80,6 +87,8 @@ def prob_good(model: Model, df: DataFrame, out: str) -> DataFrame:
 
 
 def _metric(scored: DataFrame, metric: str) -> float:
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}; use one of {METRICS}")
     pred = F.when(F.col("p1") >= 0.5, 1.0).otherwise(0.0)
     y = F.col("label")
     row = scored.agg(F.count_if(pred == y).alias("hit"), F.count(F.lit(1)).alias("n"),
@@ -106,22 +115,30 @@ def grid_search(train: DataFrame, grid: Sequence[float], folds: int = DEFAULT_FO
     (C, fold) fits are independent Spark jobs submitted from ``parallelism``
     driver threads, like ``CrossValidator(parallelism=...)``.  The best ``C``
     (ties: the smallest) is refitted on the whole (resampled) training frame.
-    ``train`` needs ``key``, ``features`` and ``label``.
+    With ``resample_in_fold=False`` the frame is resampled first and then
+    searched (the source's first flow).  Each fold's training frame is stored
+    and counted once.  ``train`` needs ``key``, ``features`` and ``label``.
     """
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}; use one of {METRICS}")
+    if not resample_in_fold:
+        train = cut_lineage(oversample(train, "label", key, seed=seed))
     if len(grid) == 1:
         full = oversample(train, "label", key, seed=seed) if resample_in_fold else train
         return SearchResult(grid[0], fit_logit(full, grid[0]), {})
     fold = F.conv(hash_prefix(F.col(key), seed + 7919), 16, 10).cast("long") % folds
     data = train.withColumn("_fold", fold)
-    fit_parts, held_parts = {}, {}
+    fit_parts, held_parts, sizes = {}, {}, {}
     for k in range(folds):
         part = data.filter(F.col("_fold") != k)
-        fit_parts[k] = oversample(part, "label", key, seed=seed + k) if resample_in_fold else part
+        fit_parts[k] = cut_lineage(
+            oversample(part, "label", key, seed=seed + k) if resample_in_fold else part)
+        sizes[k] = float(fit_parts[k].count())
         held_parts[k] = data.filter(F.col("_fold") == k)
 
     def one(task: tuple[float, int]) -> float:
         C, k = task
-        m = fit_logit(fit_parts[k], C)
+        m = fit_logit(fit_parts[k], C, sizes[k])
         return _metric(prob_good(m, held_parts[k], "p1"), metric)
 
     tasks = [(C, k) for C in grid for k in range(folds)]

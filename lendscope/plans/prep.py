@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lendscope.functions.casts import fill_cast
@@ -154,6 +154,41 @@ def class_counts(df: DataFrame, label: str = LABEL) -> dict:
     return {r[label]: r["count"] for r in rows}
 
 
+def ranked_in_class(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
+    """Add ``_rank``: 0, 1, 2, ... within the class by ``md5(key '#' seed)``, then key.
+
+    No class is sorted in one task: rows are numbered inside 4096 hash ranges,
+    and a running sum over the ranges' counts (a bounded table) gives each
+    range its offset.
+    """
+    h = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}")))
+    rows = df.withColumn("_h", h).withColumn("_range", F.substring("_h", 1, 3))
+    counts = rows.groupBy(label, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(label).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # at most 4096 rows per class, and at most MAX_LEVELS classes
+    offsets = counts.select(label, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = Window.partitionBy(label, "_range").orderBy("_h", key)
+    return (rows.withColumn("_k", F.row_number().over(own)).join(F.broadcast(offsets), [label, "_range"])
+            .withColumn("_rank", F.col("_before") + F.col("_k") - 1).drop("_h", "_range", "_before", "_k"))
+
+
+def drawn_ranks(spark: SparkSession, counts: dict, label: str, seed: int) -> DataFrame:
+    """``(label, _rank, _times)``: draws with replacement up to the largest class.
+
+    Draw number i of class c is row ``md5(i '#' c '#' seed) mod n_c`` (first 8
+    hex digits), so the draws depend on neither partitions nor executors.
+    """
+    top, parts = max(counts.values()), []
+    for c, n in counts.items():
+        h = F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(f"#{c}#{seed}"))), 1, 8)
+        draws = spark.range(top - n).select((F.conv(h, 16, 10).cast("long") % F.lit(n)).alias("_rank"))
+        parts.append(draws.groupBy("_rank").agg(F.count(F.lit(1)).alias("_times")).withColumn(label, F.lit(c)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def oversample(df: DataFrame, label: str = LABEL, key: str = KEY, seed: int = 0,
                mode: str = "ratio") -> DataFrame:
     """Random oversampling of the smaller classes up to the largest one.
@@ -161,43 +196,40 @@ def oversample(df: DataFrame, label: str = LABEL, key: str = KEY, seed: int = 0,
     ``ratio``  every row of class c is repeated ``floor(r)`` times plus once
                more when its hash draw is below ``frac(r)``, r = max/n_c: no
                shuffle, deterministic, class sizes equal in expectation.
-    ``exact``  ``floor(r)`` copies of every row plus the ``max - floor(r)*n_c``
-               rows with the smallest 64-bit hash draws, found by an exact
-               distributed order statistic: class sizes exactly equal (rows
-               whose draws collide at the cut are all kept).
-    ``random`` Spark's Poisson sampling with replacement (seeded).
+    ``exact``  ``floor(r)`` copies of every row plus one of the rows that come
+               first by hash: class sizes exactly equal.
+    ``random`` every row once plus ``max - n_c`` hashed draws with
+               replacement: class sizes exactly equal.
+
+    All three depend on key and seed only, never on the partitioning.
     """
     counts = class_counts(df, label)
+    if not counts:
+        return df
     top = max(counts.values())
-    if mode == "random":
-        parts = []
+    if mode == "ratio":
+        copies = F.lit(1)
+        draw = hash_fraction(F.col(key), seed)
         for c, n in counts.items():
-            part = df.filter(F.col(label) == F.lit(c))
-            parts.append(part if n == top else
-                         part.unionByName(part.sample(True, top / n - 1.0, seed)))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    whole = F.lit(1)
-    extra = F.lit(False)
-    draw = hash_fraction(F.col(key), seed)
-    for c, n in counts.items():
-        k, rem = divmod(top, n)
-        is_c = F.col(label) == F.lit(c)
-        whole = F.when(is_c, F.lit(k)).otherwise(whole)
-        if rem:
-            if mode == "exact":
-                from lendscope.operators.quantile import order_statistics
-                draw64 = F.xxhash64(F.col(key), F.lit(seed))
-                cut = order_statistics(df.filter(is_c).select(draw64.alias("_d")), "_d",
-                                       {(): {rem - 1}})[()][rem - 1]
-                extra = F.when(is_c, draw64 <= F.lit(cut)).otherwise(extra)
-            else:
-                extra = F.when(is_c, draw < F.lit(rem / n)).otherwise(extra)
-    copies = whole + F.when(extra, 1).otherwise(0)
-    return (df.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
-              .drop("_copy"))
+            k, rem = divmod(top, n)
+            times = F.lit(k) + (F.when(draw < F.lit(rem / n), 1).otherwise(0) if rem else F.lit(0))
+            copies = F.when(F.col(label) == F.lit(c), times).otherwise(copies)
+        out = df
+    elif mode in ("exact", "random"):
+        out = ranked_in_class(df, label, key, seed)
+        if mode == "exact":
+            copies = F.lit(1)
+            for c, n in counts.items():
+                k, rem = divmod(top, n)
+                copies = F.when(F.col(label) == F.lit(c), F.lit(k) + F.when(F.col("_rank") < rem, 1).otherwise(0)
+                                ).otherwise(copies)
+        else:
+            out = out.join(drawn_ranks(df.sparkSession, counts, label, seed), [label, "_rank"], "left")
+            copies = (1 + F.coalesce("_times", F.lit(0))).cast("int")
+    else:
+        raise ValueError(f"unknown oversampling mode {mode!r}")
+    return (out.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
+              .select(df.columns))
 
 
 def class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:

@@ -48,11 +48,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     The cluster names it in ``spark.checkpoint.dir``; that setting is always
-    used when present.  Only when it is unset (local tests) a fresh folder
-    under the system temp dir is created and registered.
+    used when present.  Only when it is unset on a local master (tests) a
+    fresh folder under the system temp dir is created and registered; on a
+    cluster that would give each executor a folder of its own, so it raises.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="lendscope-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     sc = spark.sparkContext

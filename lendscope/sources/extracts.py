@@ -8,7 +8,7 @@ double quotes stay inside the text fields and the recodes match quoted codes.
 
 from __future__ import annotations
 
-import os
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,13 +79,31 @@ def read_extract(spark: SparkSession, path: str, columns: list[str], sep: str =
 
 
 def _path(data_dir: str, name: str) -> str:
-    return os.path.join(data_dir, f"{name}.asc")
+    return f"{data_dir.rstrip('/')}/{name}.asc"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Ask the file system that the path names (local, HDFS, object storage)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+#: Position of a row in its extract: file, block, row.
+_ORDER = ["_metadata.file_path", "_metadata.file_block_start"]
 
 
 def load_extract(spark: SparkSession, data_dir: str, name: str, literal: bool = False,
-                 rejects: str | None = None) -> DataFrame:
-    """Read and leniently type one extract by its file name."""
+                 rejects: str | None = None, order: str | None = None) -> DataFrame:
+    """Read and leniently type one extract by its file name.
+
+    ``rejects`` adds the number of fields of a row that did not convert,
+    ``order`` the row's position in file order.
+    """
     raw = read_extract(spark, _path(data_dir, name), EXTRACT_COLUMNS[name], literal=literal)
+    if order:
+        raw = raw.select(*EXTRACT_COLUMNS[name],
+                         F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(_ORDER)],
+                                  F.monotonically_increasing_id().alias("_row")).alias(order))
     if literal:
         # numbers and dates are never quoted; only the last field may keep a CR
         last = EXTRACT_COLUMNS[name][-1]
@@ -94,18 +112,36 @@ def load_extract(spark: SparkSession, data_dir: str, name: str, literal: bool =
     return conform(raw, EXTRACT_TYPES[name], rejects=rejects)
 
 
-def load_bank_tables(spark: SparkSession, data_dir: str, literal: bool = False) -> BankTables:
+def load_rejects(spark: SparkSession, data_dir: str, literal: bool = False) -> DataFrame:
+    """``(extract, n_rows, n_rejected_rows, n_rejects)``: what the lenient load could not convert."""
+    parts = [load_extract(spark, data_dir, name, literal, rejects="_rejects").agg(
+        F.lit(name).alias("extract"), F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col("_rejects") > 0).alias("n_rejected_rows"),
+        F.coalesce(F.sum("_rejects"), F.lit(0)).alias("n_rejects"))
+        for name in EXTRACT_COLUMNS if _exists(spark, _path(data_dir, name))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def load_bank_tables(spark: SparkSession, data_dir: str, literal: bool = False,
+                     allow_missing: Collection[str] = ()) -> BankTables:
     """All extracts in ``data_dir`` as typed, recoded :class:`BankTables`.
 
-    Missing extracts (the transactions file is not always shipped) give an
-    empty table with the right columns.
+    Every extract must be there; ``allow_missing={'trans'}`` accepts an absent
+    transactions file (it is not always shipped) as an empty table.
     """
+    absent = [n for n in EXTRACT_COLUMNS if not _exists(spark, _path(data_dir, n))]
+    if set(absent) - (set(allow_missing) & {"trans"}):
+        raise FileNotFoundError(f"missing extracts in {data_dir}: {', '.join(absent)}")
+    seq = "_load_seq"
+
     def load(name: str) -> DataFrame | None:
-        return load_extract(spark, data_dir, name, literal) if os.path.exists(
-            _path(data_dir, name)) else None
+        return None if name in absent else load_extract(
+            spark, data_dir, name, literal, order=seq if name in ("loan", "client") else None)
 
-    seq = "_load_seq"
-    loans = load("loan").withColumn(seq, F.monotonically_increasing_id())
+    loans = load("loan")
     loans = dedup_first(loans, ["loan_id"], [seq]).drop(seq)
     loans = add_status_flags(loans.withColumn("status_", strip_chars("status_", '"\r')))
 
@@ -114,7 +150,7 @@ def load_bank_tables(spark: SparkSession, data_dir: str, literal: bool = False)
 
     disp = load("disp").withColumn("type_", recode_disp_type("type_", literal=literal))
 
-    clients = load("client").withColumn(seq, F.monotonically_increasing_id())
+    clients = load("client")
     clients = dedup_first(clients, ["client_id"], [seq]).drop(seq)
     clients = decode_birth(clients, "birth_number", literal=literal)
 

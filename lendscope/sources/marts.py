@@ -35,8 +35,3 @@ def profile(df: DataFrame) -> DataFrame:
     """One row: ``n_rows`` (a distributed count) and ``n_columns``."""
     return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
         "n_rows", F.lit(len(df.columns)).alias("n_columns"))
-
-
-def preview(df: DataFrame, key: str, n: int = 5) -> DataFrame:
-    """First ``n`` rows by ``key`` (a top-k, not a full sort)."""
-    return df.orderBy(key).limit(n)

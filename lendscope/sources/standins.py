@@ -3,10 +3,10 @@
 The test tables carry no bank data, so each bank notion is defined on them
 (see FIXTURES.md §3).  Every stand-in first produces the *raw* text form an
 extract would have (codes, ``YYMMDD`` dates, birth numbers) and then runs
-the library's own load path (lenient typing, recodes, birth decoding), so
-the stand-in tables exercise the same code as real extracts.  All of them
-are lazy projections, joins and aggregates of the test tables: their work
-grows with the data.
+the library's own recodes, date and birth decoding; numbers are cast plainly
+(the lenient typing has queries of its own).  All of them are lazy
+projections, joins and aggregates of the test tables: nothing is stored, a
+query reads the tables it needs, and its work grows with the data.
 """
 
 from __future__ import annotations
@@ -263,37 +263,3 @@ def standin_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("o_totalprice") % 250000) / 250000).alias("score_1"),
         ((F.col("o_custkey") % 100).cast("double") / 100).alias("score_2"),
         F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("good_status_loan"))
-
-
-# ---------------------------------------------------------------------------
-# one-time load: stand-in tables written once per session and sf directory
-# ---------------------------------------------------------------------------
-
-_LOADED: dict[tuple, BankTables] = {}
-
-
-def load_standins(spark: SparkSession, sf_dir: str, refresh: bool = False) -> BankTables:
-    """The stand-in bank tables, derived once and stored as Parquet.
-
-    Like loading extracts into database tables once and querying them many
-    times: the tables are written to the shared checkpoint folder (which also
-    cuts their lineage, so a lost executor re-reads Parquet instead of
-    recomputing the derivation) and read back for every later query.
-    """
-    from lendscope.session import scratch_path
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if refresh or key not in _LOADED:
-        from concurrent.futures import ThreadPoolExecutor
-        root = scratch_path(spark, "standins")
-        t = standin_tables(spark, sf_dir)
-        names = ("loans", "accounts", "disp", "clients", "orders", "trans", "cards",
-                 "card_links", "district")
-
-        def write(name: str) -> None:
-            getattr(t, name).write.mode("overwrite").parquet(f"{root}/{name}")
-
-        # independent tables: submit their write jobs concurrently
-        with ThreadPoolExecutor(max_workers=4) as pool:
-            list(pool.map(write, names))
-        _LOADED[key] = BankTables(**{n: spark.read.parquet(f"{root}/{n}") for n in names})
-    return _LOADED[key]
