@@ -214,7 +214,7 @@ def more_oracles() -> dict[str, str]:
         "birth_parse_bad": """SELECT o_orderkey, CASE k WHEN 0 THEN '' WHEN 3 THEN '70ab13'
                 ELSE strftime(dt, '%y') || lpad(CAST(month(dt) + CASE WHEN woman THEN 50 ELSE 0 END AS VARCHAR), 2, '0')
                   || strftime(dt, '%d') END AS birth_number,
-              CASE WHEN k NOT IN (0, 3) THEN dt END AS birth_date,
+              CASE WHEN k NOT IN (0, 3) THEN TRY_CAST('19' || strftime(dt, '%y-%m-%d') AS DATE) END AS birth_date,
               CASE WHEN k NOT IN (0, 3) THEN CASE WHEN woman THEN 'F' ELSE 'M' END END AS sex
             FROM (SELECT o_orderkey, o_orderkey % 6 AS k, o_orderkey % 2 = 0 AS woman, CAST(o_orderdate AS DATE) AS dt
                   FROM orders)""",
@@ -223,7 +223,7 @@ def more_oracles() -> dict[str, str]:
             FROM (SELECT *, CASE l_partkey % {len(TRANS_SYMBOL_CODES) + 1}
                     {" ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(TRANS_SYMBOL_CODES.values()))}
                     ELSE ' ' END AS s FROM lineitem)""",
-        "account_zeros": """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN ''
+        "account_zeros": """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 OR o_custkey = 0 THEN ''
                 ELSE CAST(o_custkey AS VARCHAR) END AS account_,
               CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE replace(CAST(o_custkey AS VARCHAR), '0', '') END
                 AS account_literal FROM orders""",
