@@ -6,8 +6,8 @@ misspelled terms are found without comparing the word with every term.  A hit is
 quotation marks or after a reporting word it counts as quotation, else as abuse.  A logistic model over the hit
 counts gives the score.
 
-At scale: lexicon and model come from a sample of at most ``SAMPLE`` training documents (smallest key hashes); word
-counts are summed per task before the shuffle.  Scoring is map-only over all whole texts; each worker remembers the
+At scale: lexicon and model come from a sample of at most ``SAMPLE`` training documents (smallest key hashes, one of
+each group of copies); word counts are summed per task before the shuffle.  Scoring is map-only over all whole texts; each worker remembers the
 verdict of words it has seen in a bounded memo.
 
 Null or empty text: no hits, the model's base score.  Null ``doc_id``: held out (it has no remainder), scored.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import FOLD, ready
 
-SAMPLE = 12_000
+SAMPLE = 20_000
 MEMO = 1_000_000
 #: Least toxic documents of a term, and their least share among all documents with it.
 SUPPORT, PURITY = 5, 0.9
@@ -176,7 +176,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
               .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return text.join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # at most ``sample`` rows
+    rows = text.join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # at most ``sample`` rows
+    # copies would vote many times for whatever rare words they share: one text per smallest shingle hash
+    rows = rows.withColumn("_words", F.split(F.coalesce("text", F.lit("")), r"\s+"))
+    first = F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_words") - 4, F.lit(1))),
+                                    lambda i: F.xxhash64(F.slice(F.col("_words"), i, 5))))
+    return rows.withColumn("_first", first).dropDuplicates(["_first", "toxic"]).select("text", "toxic")
 
 
 def learn_lexicon(train: DataFrame) -> Lexicon:
@@ -203,10 +208,11 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
     # bounded: the sample has at most SAMPLE documents, and a term needs SUPPORT toxic ones
     grams = {r["gram"]: r["toxic"] for r in sums.orderBy(F.desc("toxic"), "gram").limit(4000).collect()}
     stems = []
-    for g in sorted((g for g in grams if g.endswith("*")), key=len):
+    for g in sorted((g for g in grams if g.endswith("*")), key=lambda g: (len(g), g)):
         beginning = g[:-1]
-        endings = sum(1 for w in grams if not w.endswith("*") and w.startswith(beginning) and w != beginning)
-        if endings >= 3 and not any(beginning.startswith(s) for s in stems):
+        # a stem has many endings: no single word accounts for nearly all of its texts
+        most = max((n for w, n in grams.items() if not w.endswith("*") and w.startswith(beginning)), default=0)
+        if grams[g] >= max(2 * SUPPORT, 1.25 * most) and not any(beginning.startswith(s) for s in stems):
             stems.append(beginning)
     words = [w for w in grams if not w.endswith("*") and len(w) > 3 and not any(w.startswith(s) for s in stems)]
     return Lexicon(tuple(sorted(words)), tuple(sorted(stems)))
