@@ -11,8 +11,8 @@ d(x, y) = 1 - |x and y| / |x or y| is a metric on the documents' shingle sets; a
 3. Recursion.  A small region is joined in full.  A large one elects a pivot and every member learns its exact
    distance D to it.  Members with D <= r are linked to the pivot and so to each other.  By the triangle inequality
    they can link further only to members with D <= 2r (the window): those boundary documents are replicated into the
-   pivot's cell, and the rest of the region (D > r) is a region of its own.  Regions whose documents are connected
-   already are done.  What pivots have not separated after ``ROUNDS`` rounds is joined in full inside its windows.
+   pivot's cell, and the rest of the region (D > r) is a region of its own.  A region whose documents are all linked
+   through its pivot is done.  What pivots have not separated after ``ROUNDS`` rounds is joined in full inside its windows.
 4. Documents with equal sets are one point (the smallest id); components are found by contraction of the links.
 
 At scale: texts are shuffled once, four bytes per shingle travel, sets only of documents that can link at all; a group
@@ -36,7 +36,7 @@ from .common import ready, stored, window_hashes
 from .letters import LETTER, answers, deal, letters, part_words, parted, read_letters, sorted_rows
 
 SHINGLE, PERCENT = 5, 75
-SMALL, ROUNDS = 32, 3
+SMALL, ROUNDS = 4, 2
 STATE = "doc_id long, n long, digest binary, points binary, prefix array<long>"
 
 
@@ -123,7 +123,7 @@ def distances(pairs: DataFrame, points: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, by repeated hooking to the smallest neighbour."""
-    edges = stored(links.select("a", "b").where("a <> b").distinct(), "jaccard-links")
+    edges, seen = stored(links.select("a", "b").where("a <> b").distinct(), "jaccard-links"), None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -132,12 +132,12 @@ def components(links: DataFrame) -> DataFrame:
                   .unionByName(least.select(F.col("a").alias("x"), F.col("m").alias("y"))).where("x <> y"))
         after = stored(hooked.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(),
                        "jaccard-components")
-        # done when every node has one edge, to a node that has none
-        many = after.groupBy("a").count().where("count > 1").limit(1).count()
-        deep = 0 if many else after.join(after.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count()
+        # done when nothing moves: then every node has one edge, to its component's smallest node
+        now = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         edges = after
-        if not many and not deep:
+        if now == seen:
             break
+        seen = now
     roots = edges.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
@@ -175,20 +175,24 @@ def links(state: DataFrame, percent: int = PERCENT) -> DataFrame:
         done = done.unionByName(measured.where(linked).select("a", "b"))
         if turn >= ROUNDS or star.limit(1).count() == 0:
             return done
-        far = 1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
-        seen = star.join(measured.select(F.col("a").alias("pivot"), F.col("b").alias("node"), far.alias("d")),
-                         ["pivot", "node"])
-        # the pivot's cell (members and the window around them), and the region beyond it
+        either = F.col("na") + F.col("nb") - F.col("common")
+        seen = star.drop("label").join(
+            measured.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "common", either.alias("either"),
+                            (1 - F.col("common") / either).alias("d")), ["pivot", "node"])
+        # the pivot's cell (members, linked through it, and the window around them), and the region beyond it
+        member = F.when(100 * F.col("common") >= percent * F.col("either"), F.col("pivot")).otherwise(F.col("node"))
         cell = seen.where(F.col("d") <= 2 * r + 1e-9).select(
-            F.xxhash64("g", "pivot", F.lit(0)).alias("g"), "node", "n", "d")
-        rest = seen.where(F.col("d") > r - 1e-9).select(F.xxhash64("g", "pivot", F.lit(1)).alias("g"), "node", "n", "d")
-        known = components(done)
-        regions = cell.unionByName(rest).join(known, "node", "left").withColumn(
-            "label", F.coalesce("component", "node")).drop("component")
+            F.xxhash64("g", "pivot", F.lit(0)).alias("g"), "node", "n", "d", member.alias("label"))
+        rest = seen.where(F.col("d") > r - 1e-9).select(
+            F.xxhash64("g", "pivot", F.lit(1)).alias("g"), "node", "n", "d", F.col("node").alias("label"))
+        regions, turn = cell.unionByName(rest), turn + 1
+        if turn >= ROUNDS:  # before the last join: what is connected by now need not be compared
+            known = components(done)
+            regions = regions.drop("label").join(known, "node", "left").withColumn(
+                "label", F.coalesce("component", "node")).drop("component")
         open_ = (regions.groupBy("g").agg(F.count("*").alias("size"), F.min("label").alias("lo"),
                                           F.max("label").alias("hi")).where("lo <> hi").select("g", "size"))
         regions = stored(regions.join(open_, "g").select("g", "node", "n", "size", "label", "d"), "jaccard-regions")
-        turn += 1
         if regions.limit(1).count() == 0:
             return done
 
