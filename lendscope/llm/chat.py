@@ -176,3 +176,18 @@ def digest(formatted: DataFrame) -> DataFrame:
             yield close([[*state[:2], state[2].hexdigest(), state[3], state[4].hexdigest(), *state[5:]]])
 
     return ordered.select("conv_id", "formatted", "loss_start", "loss_end", "media_tokens").mapInArrow(run, DIGEST)
+
+
+#: The same digests in DuckDB, for plain text turns and one added conversation.
+SQL = """
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  CAST(sum(18 + 2 * (length(role) + length(text))
+    - length(translate(role, '\\<[', '')) - length(translate(text, '\\<[', ''))) AS BIGINT) AS formatted_chars,
+  CAST(0 AS BIGINT) AS media_tokens
+FROM t GROUP BY conv_id
+"""

@@ -72,4 +72,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontam.SQL}
+    return {"op2_decontamination": decontam.SQL, "op5_chat_formatting": chat.SQL, "op6_substring_dedup": substring.SQL,
+            "op8_jaccard_join": jaccard.SQL}

@@ -189,3 +189,19 @@ def _sealed(mail: DataFrame, kind: str) -> DataFrame:
 def _open(mail: pa.Table) -> pa.Table:
     data = pa.array([d[1:] for d in mail["data"].to_pylist()], pa.binary())
     return mail.set_column(mail.schema.get_field_index("data"), "data", data)
+
+
+#: The same in DuckDB: every window's smallest document, then the words that stay.
+SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS s
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),
+f AS (SELECT s, min(doc_id) AS least FROM win GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS pos FROM win JOIN f USING (s) WHERE doc_id > least),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS pos FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY pos) AS k, count(*) AS n
+         FROM word ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
