@@ -36,6 +36,7 @@ N_REPS = 10
 SEED_STEP = 105
 FOREST_SEED = 400
 DEFAULT_FOLDS = 5
+ROWS_PER_TASK = 50_000
 
 
 def assemble(df: DataFrame, cols: Sequence[str] = FEATURE_COLUMNS, label: str | None = LABEL,
@@ -108,7 +109,7 @@ class SearchResult:
 
 def grid_search(train: DataFrame, grid: Sequence[float], folds: int = DEFAULT_FOLDS,
                 metric: str = "recall", seed: int = 0, resample_in_fold: bool = True,
-                key: str = KEY, parallelism: int = 4) -> SearchResult:
+                key: str = KEY, parallelism: int = 8) -> SearchResult:
     """k-fold search over ``C``; oversampling inside each training fold.
 
     Folds come from a hash of the key (stable under recomputation).  The
@@ -134,6 +135,8 @@ def grid_search(train: DataFrame, grid: Sequence[float], folds: int = DEFAULT_FO
         fit_parts[k] = cut_lineage(
             oversample(part, "label", key, seed=seed + k) if resample_in_fold else part)
         sizes[k] = float(fit_parts[k].count())
+        # every solver step is a job: as many tasks as the rows need, not as the shuffle left
+        fit_parts[k] = fit_parts[k].coalesce(max(1, int(sizes[k]) // ROWS_PER_TASK))
         held_parts[k] = data.filter(F.col("_fold") == k)
 
     def one(task: tuple[float, int]) -> float:

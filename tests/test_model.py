@@ -1,3 +1,5 @@
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lendscope.plans import model as ML
@@ -31,3 +33,25 @@ def test_grid_search_and_forest(spark):
     assert set(res.scores) == {0.01, 10.0} and res.best_C in res.scores
     rf = ML.fit_forest(data, num_trees=5)
     assert rf.transform(data).count() == 300
+
+
+def test_logit_equals_newton_solution(spark):
+    data = ML.assemble(_planted(spark, 300), ["x1", "x2"]).cache()
+    rows = data.collect()
+    x = np.array([[*r.features.toArray(), 1.0] for r in rows])
+    y = np.array([r.label for r in rows])
+    for C in (0.1, 10.0):
+        w, penalty = np.zeros(3), np.diag([1 / C, 1 / C, 0.0])  # the intercept is free
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-x @ w))
+            w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ w)
+        m = ML.fit_logit(data, C)
+        assert np.allclose([*m.coefficients.toArray(), m.intercept], w, atol=2e-3)
+
+
+def test_unknown_metric_and_missing_convergence_raise(spark):
+    data = ML.assemble(_planted(spark, 100), ["x1", "x2"])
+    with pytest.raises(ValueError, match="metric"):
+        ML.grid_search(data, [0.1, 1.0], folds=2, metric="f1")
+    with pytest.raises(RuntimeError, match="convergence"):
+        ML.fit_logit(data, 1.0, max_iter=1)
