@@ -145,6 +145,8 @@ def phone(text: str, move) -> str | None:
         return d[0] in "23456789" and d[3] in "23456789"
 
     new = _walked(digits[-10:], move, b"nanp", valid)
+    if new is None and (head or "(" in text):  # written as a phone number, whatever its area code
+        new = str(move(int(digits[-10:]), 10 ** 10, b"tel")).zfill(10)
     return None if new is None else _refill(text, head + new)
 
 
@@ -215,9 +217,12 @@ RULES: tuple[tuple[str, str, Callable], ...] = (
     ("ssn", r"(?<![\d-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\d-])", ssn),
     ("date", r"(?<![\d./-])(?P<date>\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/-])", date),
     ("ip", r"(?<![\d.])(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?!\.?\d)", address),
-    ("phone", r"(?P<phone>\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)"
+    ("phone", r"(?P<phone>\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
+              r"|\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)"
               r"|(?<!\d)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-]))", phone),
-    ("card", r"(?<![\d-])(?P<card>\d(?:[ -]?\d){12,18})(?![\d-])", card),
+    # a run of digits, or groups with one kind of separator: never two numbers that stand side by side
+    ("card", r"(?<![\d-])(?P<card>\d{13,19}(?!\d)|\d{4}(?: \d{4}){2} \d{1,7}(?!\d)|\d{4}(?:-\d{4}){2}-\d{1,7}(?!\d)"
+             r"|\d{4}[ -]\d{6}[ -]\d{4,5}(?!\d))", card),
 )
 _PATTERN = re.compile("|".join(p for _, p, _ in RULES))
 _RULE = {k: f for k, _, f in RULES}
@@ -232,13 +237,18 @@ def pseudonymize_text(text: str, move: Callable[[int, int, bytes], int]) -> tupl
     pos = 0
     while m := _PATTERN.search(text, pos):
         kind = m.lastgroup
-        new = _RULE[kind](m[kind], move)
+        value = m[kind]
+        new = _RULE[kind](value, move)
+        while new is None and kind == "iban" and " " in value:  # it may have taken the next word along
+            value = value.rsplit(" ", 1)[0]
+            new = _RULE[kind](value, move)
         if new is None:  # not valid: look again behind its first character
             pos = m.start() + 1
             while pos < m.end() and text[pos - 1].isdigit() and text[pos].isdigit() and kind != "iban":
                 pos += 1  # never inside a run of digits
             continue
-        a, b = m.span(kind)
+        a = m.start(kind)
+        b = a + len(value)
         out += [text[at:a], new]
         at = pos = b
         kinds.append(kind)

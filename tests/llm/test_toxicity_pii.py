@@ -92,6 +92,13 @@ def test_formats_stay_valid_and_linked():
     assert pii.pseudonymize_text(text, MOVE.forward) == (new, kinds)
 
 
+def test_values_side_by_side():
+    text = "4451718024887799 27.65.93.188 +1 (469) 555-8958 61.131.143.218 DE89 3704 0044 0532 0130 00 ABC +1 (183) 055-8958"
+    new, kinds = pii.pseudonymize_text(text, MOVE.forward)
+    assert kinds == ["card", "ip", "phone", "ip", "iban", "phone"] and new.split()[-4:-3] == ["ABC"]
+    assert not set(re.findall(r"[\d.]{9,}|\d{3}-\d{4}", text)) & set(re.findall(r"[\d.]{9,}|\d{3}-\d{4}", new))
+
+
 def test_pii_frame(spark):
     docs = spark.createDataFrame([(1, None, 5), (None, "", 5), (2, "x" * 100000 + " 10.1.2.3", 5), (2, "clean 2.5", 5)],
                                  "doc_id long, text string, pii_found int")
