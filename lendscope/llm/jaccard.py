@@ -8,7 +8,8 @@ d(x, y) = 1 - |x and y| / |x or y| is a metric on the documents' shingle sets; a
    inequality says nothing.  So level 0 has one region around each shingle that is among a document's rarest
    n - ceil(threshold * n) + 1 (two linked documents must share one of those): all members are at distance < 1 of
    each other, and distances to a pivot discriminate.
-3. Recursion.  A small region is joined in full.  A large one elects a pivot and every member learns its exact
+3. Recursion.  A small region is joined in full.  A large one elects as pivot its most central member (the one whose
+   shingles occur most elsewhere: of a group of edited copies, the original) and every member learns its exact
    distance D to it.  Members with D <= r are linked to the pivot and so to each other.  By the triangle inequality
    they can link further only to members with D <= 2r (the window): those boundary documents are replicated into the
    pivot's cell, and the rest of the region (D > r) is a region of its own.  A region whose documents are all linked
@@ -36,8 +37,8 @@ from .common import ready, stored, window_hashes
 from .letters import LETTER, answers, deal, letters, part_words, parted, read_letters, sorted_rows
 
 SHINGLE, PERCENT = 5, 75
-SMALL, ROUNDS = 4, 2
-STATE = "doc_id long, n long, digest binary, points binary, prefix array<long>"
+SMALL, ROUNDS = 4, 3
+STATE = "doc_id long, n long, digest binary, points binary, prefix array<long>, weight double"
 
 
 def _sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -85,7 +86,7 @@ def states(docs: DataFrame, size: int, percent: int) -> DataFrame:
         for i, own in zip(ids, sets):
             r, end = rank[end:end + len(own)], end + len(own)
             if i is None or not len(own) or 100 * int((r > 0).sum()) < percent * len(own):
-                out.append((i, len(own), None, None, None))
+                out.append((i, len(own), None, None, None, None))
                 continue
             raw = own.astype("<u8").tobytes()
             digest = hashlib.blake2b(raw, digest_size=16).digest()
@@ -93,11 +94,12 @@ def states(docs: DataFrame, size: int, percent: int) -> DataFrame:
             prefix = own[first[r[first] > 0]].view(np.int64)
             new = digest not in seen  # equal sets of a part: one copy of the set is enough
             seen.add(digest)
-            out.append((i, len(own), digest, raw if new else None, prefix.tolist() if new else None))
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-        cols = zip(*out) if out else [[]] * 5
+            out.append((i, len(own), digest, raw if new else None, prefix.tolist() if new else None,
+                        float(r.mean())))
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.float64())
+        cols = zip(*out) if out else [[]] * 6
         return pa.table([pa.array(list(c), k) for c, k in zip(cols, kinds)],
-                        names=["doc_id", "n", "digest", "points", "prefix"])
+                        names=["doc_id", "n", "digest", "points", "prefix", "weight"])
 
     by_part = rows.groupBy("part")
     ranks = answers(by_part.applyInArrow(ask, LETTER), _occurrences)
@@ -149,11 +151,11 @@ def links(state: DataFrame, percent: int = PERCENT) -> DataFrame:
     copies = named.join(node, "digest").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     one = (named.where(F.col("points").isNotNull())
            .withColumn("k", F.row_number().over(Window.partitionBy("digest").orderBy("doc_id"))).where("k = 1"))
-    points = stored(one.join(node, "digest").select("node", "n", "points", "prefix"), "jaccard-points")
-    regions = points.select(F.explode("prefix").alias("g"), "node", "n")
+    points = stored(one.join(node, "digest").select("node", "n", "points", "prefix", "weight"), "jaccard-points")
+    regions = points.select(F.explode("prefix").alias("g"), "node", "n", "weight")
     shared = regions.groupBy("g").agg(F.count("*").alias("size")).where("size > 1")
     regions = stored(regions.join(shared, "g").select(
-        "g", "node", "n", "size", F.col("node").alias("label"), F.lit(0.0).alias("d")), "jaccard-regions")
+        "g", "node", "n", "weight", "size", F.col("node").alias("label"), F.lit(0.0).alias("d")), "jaccard-regions")
     done = stored(copies.distinct(), "jaccard-copies")
     r, turn = 1 - percent / 100, 0
     while True:
@@ -165,7 +167,8 @@ def links(state: DataFrame, percent: int = PERCENT) -> DataFrame:
             F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
         if turn < ROUNDS:
             large = regions.where(F.col("size") > SMALL)
-            pivot = large.groupBy("g").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node"), "node", "n")).alias("p"))
+            pivot = large.groupBy("g").agg(
+                F.max(F.struct("weight", F.xxhash64(F.lit(turn), "node"), "node", "n")).alias("p"))
             star = large.join(pivot.select("g", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn")), "g")
             star = stored(star.where("node <> pivot").drop("d"), "jaccard-star")
             pairs = pairs.unionByName(star.select(F.col("pivot").alias("a"), F.col("node").alias("b"),
@@ -182,9 +185,9 @@ def links(state: DataFrame, percent: int = PERCENT) -> DataFrame:
         # the pivot's cell (members, linked through it, and the window around them), and the region beyond it
         member = F.when(100 * F.col("common") >= percent * F.col("either"), F.col("pivot")).otherwise(F.col("node"))
         cell = seen.where(F.col("d") <= 2 * r + 1e-9).select(
-            F.xxhash64("g", "pivot", F.lit(0)).alias("g"), "node", "n", "d", member.alias("label"))
+            F.xxhash64("g", "pivot", F.lit(0)).alias("g"), "node", "n", "weight", "d", member.alias("label"))
         rest = seen.where(F.col("d") > r - 1e-9).select(
-            F.xxhash64("g", "pivot", F.lit(1)).alias("g"), "node", "n", "d", F.col("node").alias("label"))
+            F.xxhash64("g", "pivot", F.lit(1)).alias("g"), "node", "n", "weight", "d", F.col("node").alias("label"))
         regions, turn = cell.unionByName(rest), turn + 1
         if turn >= ROUNDS:  # before the last join: what is connected by now need not be compared
             known = components(done)
@@ -192,7 +195,8 @@ def links(state: DataFrame, percent: int = PERCENT) -> DataFrame:
                 "label", F.coalesce("component", "node")).drop("component")
         open_ = (regions.groupBy("g").agg(F.count("*").alias("size"), F.min("label").alias("lo"),
                                           F.max("label").alias("hi")).where("lo <> hi").select("g", "size"))
-        regions = stored(regions.join(open_, "g").select("g", "node", "n", "size", "label", "d"), "jaccard-regions")
+        regions = stored(regions.join(open_, "g").select(
+            "g", "node", "n", "weight", "size", "label", "d"), "jaccard-regions")
         if regions.limit(1).count() == 0:
             return done
 
