@@ -37,7 +37,7 @@ from .common import ready, stored, window_hashes
 from .letters import LETTER, answers, deal, letters, part_words, parted, read_letters, sorted_rows
 
 SHINGLE, PERCENT = 5, 75
-SMALL, ROUNDS = 4, 3
+SMALL, ROUNDS = 4, 5
 STATE = "doc_id long, n long, digest binary, points binary, prefix array<long>, weight double"
 
 
