@@ -14,6 +14,8 @@ d(x, y) = 1 - |x and y| / |x or y| is a metric on the documents' shingle sets; a
    they can link further only to members with D <= 2r (the window): those boundary documents are replicated into the
    pivot's cell, and the rest of the region (D > r) is a region of its own.  A region whose documents are all linked
    through its pivot is done.  What pivots have not separated after ``ROUNDS`` rounds is joined in full inside its windows.
+   Pairs of a region are joined only if their sizes and the positions of its shingle in their rarity orders allow the
+   overlap: a linked pair always passes at the first shingle that both documents have.
 4. Documents with equal sets are one point (the smallest id); components are found by contraction of the links.
 
 At scale: texts are shuffled once, four bytes per shingle travel, sets only of documents that can link at all; a group
@@ -38,7 +40,7 @@ from .letters import LETTER, answers, deal, letters, part_words, parted, read_le
 
 SHINGLE, PERCENT = 5, 75
 SMALL, ROUNDS = 4, 5
-STATE = "doc_id long, n long, digest binary, points binary, prefix array<long>, weight double"
+STATE = "doc_id long, n long, digest binary, points binary, prefix array<long>, first long, weight double"
 
 
 def _sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -86,7 +88,7 @@ def states(docs: DataFrame, size: int, percent: int) -> DataFrame:
         for i, own in zip(ids, sets):
             r, end = rank[end:end + len(own)], end + len(own)
             if i is None or not len(own) or 100 * int((r > 0).sum()) < percent * len(own):
-                out.append((i, len(own), None, None, None, None))
+                out.append((i, len(own), None, None, None, None, None))
                 continue
             raw = own.astype("<u8").tobytes()
             digest = hashlib.blake2b(raw, digest_size=16).digest()
@@ -95,11 +97,11 @@ def states(docs: DataFrame, size: int, percent: int) -> DataFrame:
             new = digest not in seen  # equal sets of a part: one copy of the set is enough
             seen.add(digest)
             out.append((i, len(own), digest, raw if new else None, prefix.tolist() if new else None,
-                        float(r.mean())))
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.float64())
-        cols = zip(*out) if out else [[]] * 6
+                        int((r == 0).sum()), float(r.mean())))
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.float64())
+        cols = zip(*out) if out else [[]] * 7
         return pa.table([pa.array(list(c), k) for c, k in zip(cols, kinds)],
-                        names=["doc_id", "n", "digest", "points", "prefix", "weight"])
+                        names=["doc_id", "n", "digest", "points", "prefix", "first", "weight"])
 
     by_part = rows.groupBy("part")
     ranks = answers(by_part.applyInArrow(ask, LETTER), _occurrences)
@@ -151,19 +153,23 @@ def links(state: DataFrame, percent: int = PERCENT) -> DataFrame:
     copies = named.join(node, "digest").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     one = (named.where(F.col("points").isNotNull())
            .withColumn("k", F.row_number().over(Window.partitionBy("digest").orderBy("doc_id"))).where("k = 1"))
-    points = stored(one.join(node, "digest").select("node", "n", "points", "prefix", "weight"), "jaccard-points")
-    regions = points.select(F.explode("prefix").alias("g"), "node", "n", "weight")
+    points = stored(one.join(node, "digest").select("node", "n", "points", "prefix", "first", "weight"), "jaccard-points")
+    # left: shingles from g on in the rarity order, g included (those that occur once come first, outside the prefix)
+    regions = points.select(F.posexplode("prefix").alias("at", "g"), "node", "n", "first", "weight").select(
+        "g", "node", "n", "weight", (F.col("n") - F.col("first") - F.col("at")).alias("left"))
     shared = regions.groupBy("g").agg(F.count("*").alias("size")).where("size > 1")
     regions = stored(regions.join(shared, "g").select(
-        "g", "node", "n", "weight", "size", F.col("node").alias("label"), F.lit(0.0).alias("d")), "jaccard-regions")
+        "g", "node", "n", "left", "weight", "size", F.col("node").alias("label"), F.lit(0.0).alias("d")), "jaccard-regions")
     done = stored(copies.distinct(), "jaccard-copies")
     r, turn = 1 - percent / 100, 0
     while True:
         full = regions if turn >= ROUNDS else regions.where(F.col("size") <= SMALL)
         x, y = full.alias("x"), full.alias("y")
         near = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")  # sizes of linked sets
+        # where g is the first shingle that both have, they can share no more than what is left of either
+        room = (100 + percent) * F.least("x.left", "y.left") >= percent * (F.col("x.n") + F.col("y.n"))
         apart = (F.col("x.label") != F.col("y.label")) & (F.abs(F.col("x.d") - F.col("y.d")) <= r + 1e-9)
-        pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.node") < F.col("y.node")) & near & apart).select(
+        pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.node") < F.col("y.node")) & near & room & apart).select(
             F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
         if turn < ROUNDS:
             large = regions.where(F.col("size") > SMALL)
@@ -185,9 +191,9 @@ def links(state: DataFrame, percent: int = PERCENT) -> DataFrame:
         # the pivot's cell (members, linked through it, and the window around them), and the region beyond it
         member = F.when(100 * F.col("common") >= percent * F.col("either"), F.col("pivot")).otherwise(F.col("node"))
         cell = seen.where(F.col("d") <= 2 * r + 1e-9).select(
-            F.xxhash64("g", "pivot", F.lit(0)).alias("g"), "node", "n", "weight", "d", member.alias("label"))
+            F.xxhash64("g", "pivot", F.lit(0)).alias("g"), "node", "n", "left", "weight", "d", member.alias("label"))
         rest = seen.where(F.col("d") > r - 1e-9).select(
-            F.xxhash64("g", "pivot", F.lit(1)).alias("g"), "node", "n", "weight", "d", F.col("node").alias("label"))
+            F.xxhash64("g", "pivot", F.lit(1)).alias("g"), "node", "n", "left", "weight", "d", F.col("node").alias("label"))
         regions, turn = cell.unionByName(rest), turn + 1
         if turn >= ROUNDS:  # before the last join: what is connected by now need not be compared
             known = components(done)
@@ -196,7 +202,7 @@ def links(state: DataFrame, percent: int = PERCENT) -> DataFrame:
         open_ = (regions.groupBy("g").agg(F.count("*").alias("size"), F.min("label").alias("lo"),
                                           F.max("label").alias("hi")).where("lo <> hi").select("g", "size"))
         regions = stored(regions.join(open_, "g").select(
-            "g", "node", "n", "weight", "size", "label", "d"), "jaccard-regions")
+            "g", "node", "n", "left", "weight", "size", "label", "d"), "jaccard-regions")
         if regions.limit(1).count() == 0:
             return done
 
