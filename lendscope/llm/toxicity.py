@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, ready
+from .common import FOLD, ready, stored
 
 SAMPLE = 20_000
 MEMO = 1_000_000
@@ -181,7 +181,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     rows = rows.withColumn("_words", F.split(F.coalesce("text", F.lit("")), r"\s+"))
     first = F.array_min(F.transform(F.sequence(F.lit(1), F.greatest(F.size("_words") - 4, F.lit(1))),
                                     lambda i: F.xxhash64(F.slice(F.col("_words"), i, 5))))
-    return rows.withColumn("_first", first).dropDuplicates(["_first", "toxic"]).select("text", "toxic")
+    one = rows.withColumn("_first", first).groupBy("_first", "toxic").agg(F.min("text").alias("text"))
+    # read twice (lexicon, features): stored, so that both see the same texts and the join runs once
+    return stored(one.select("text", "toxic"), "toxicity-training")
 
 
 def learn_lexicon(train: DataFrame) -> Lexicon:
