@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -46,7 +47,7 @@ class Lexicon(NamedTuple):
 def edits(term: str, stem: bool) -> int:
     """Edits allowed for a term: short ones must match exactly; a stem tolerates fewer, as its ending is free."""
     n = len(term)
-    return int(n >= 8) if stem else 0 if n < 5 else 1 if n < 9 else 2
+    return int(n >= 5) if stem else 0 if n < 5 else 1 if n < 9 else 2
 
 
 class Automaton:
@@ -80,26 +81,72 @@ class Automaton:
         return state.get(len(self.word))
 
 
+def shortened(word: str, k: int) -> set[str]:
+    """The word and all it becomes when up to ``k`` letters are left out."""
+    out = last = {word}
+    for _ in range(k):
+        last = {w[:i] + w[i + 1:] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
 class Trie:
     def __init__(self, lexicon: Lexicon):
         self.root: dict = {}
         self.k = 0
-        pieces = set()
+        #: by edits allowed: the lengths that a match can have, the terms with so many letters left out
+        self.near: dict[tuple[bool, int], tuple[set[int], set[str]]] = {}
+        #: by length of the word (None: any): the pieces of terms that may stand at a place
+        places: dict[int | None, dict[tuple[int, int], set[str]]] = {}
         for term, stem in [(t, False) for t in lexicon.words] + [(t, True) for t in lexicon.stems]:
-            node = self.root
+            node, k = self.root, edits(term, stem)
             for c in term:
                 node = node.setdefault(c, {})
+                node["edits"] = max(k, node.get("edits", 0))  # most that any term below allows
             node["stem" if stem else "word"] = term
-            k = edits(term, stem)
             self.k = max(self.k, k)
+            lengths, near = self.near.setdefault((stem, k), (set(), set()))
+            lengths.update(range(len(term) - k, len(term) + k + 1))
+            near |= shortened(term, k)
             size = len(term) / (k + 1)  # of k + 1 pieces, k edits leave one whole
-            pieces.update(term[round(i * size):round((i + 1) * size)] for i in range(k + 1))
-        self.screen = re.compile("|".join(map(re.escape, sorted(pieces)))) if pieces else None
+            for i in range(k + 1):
+                a, b = round(i * size), round((i + 1) * size)
+                for n in (None,) if stem else range(len(term) - k, len(term) + k + 1):
+                    for move in range(-i, i + 1):  # one with at most i edits before and k - i behind it
+                        if a + move >= 0 and (stem or abs(n - len(term) - move) <= k - i):
+                            places.setdefault(n, {}).setdefault((a + move, b + move), set()).add(term[a:b])
+        self.places = {n: [(a, b, frozenset(p)) for (a, b), p in at.items()] for n, at in places.items()}
+
+    def screen(self, word: str) -> bool:
+        """Can the word match? First by pieces, then by ``near_term``."""
+        for n in (len(word), None):
+            for a, b, pieces in self.places.get(n, ()):
+                if word[a:b] in pieces:
+                    return self.near_term(word)
+        return False
+
+    def near_term(self, word: str) -> bool:
+        """Strings within ``k`` edits become equal when at most ``k`` letters of each are left out."""
+        for (stem, k), (lengths, near) in self.near.items():
+            if stem:
+                if any(n <= len(word) and not near.isdisjoint(shortened(word[:n], k)) for n in lengths):
+                    return True
+            elif len(word) in lengths and not near.isdisjoint(shortened(word, k)):
+                return True
+        return False
 
     def find(self, word: str) -> tuple[str, int] | None:
         """(kind, edits) of the closest term; kinds: word, stem, fuzzy."""
-        if self.screen is None or not self.screen.search(word):
+        if not self.screen(word):
             return None
+        node: dict | None = self.root
+        for c in word:  # without edits there is one path
+            if (node := node.get(c)) is None:
+                break
+            if "stem" in node:
+                return "stem", 0
+        if node is not None and "word" in node:
+            return "word", 0
         auto, best = Automaton(word, self.k), None
         stack = [(self.root, auto.start())]
         while stack:
@@ -109,17 +156,20 @@ class Trie:
                 if d is not None and d <= edits(term, False) and (best is None or d < best[1]):
                     best = ("word" if d == 0 else "fuzzy", d)
             if (term := node.get("stem")) is not None:
-                d = min((e for i, e in state.items()), default=None)
+                # a misspelled stem has an ending; without one it is a word, and words have edits of their own
+                d = min((e for i, e in state.items() if e == 0 or i < len(word)), default=None)
                 if d is not None and d <= edits(term, True) and (best is None or d < best[1]):
                     best = ("stem" if d == 0 else "fuzzy", d)
             for c, child in node.items():
-                if len(c) == 1 and (after := auto.step(state, c)):
-                    stack.append((child, after))
+                if len(c) == 1:
+                    after = {i: e for i, e in auto.step(state, c).items() if e <= child["edits"] and (best is None or e < best[1])}
+                    if after:
+                        stack.append((child, after))
         return best
 
 
 class Scanner:
-    """Finds lexicon hits of texts; one per worker."""
+    """Finds lexicon hits of texts."""
 
     def __init__(self, lexicon: Lexicon):
         self.trie = Trie(lexicon)
@@ -154,6 +204,12 @@ class Scanner:
             float(np.log1p(abuse)), min(1.0, 20 * abuse / max(1, len(words)))]
 
 
+@lru_cache(maxsize=1)
+def scanner_of(lexicon: Lexicon) -> Scanner:
+    """One per worker: the tasks of a lexicon share its trie and its memo."""
+    return Scanner(lexicon)
+
+
 def quoted(raw: bytes, start: int, end: int) -> bool:
     """Does the window around a hit show that it is a quotation?"""
     before = raw[max(0, start - SPAN):start].decode("utf-8", "ignore")
@@ -216,7 +272,8 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
         most = max((n for w, n in grams.items() if not w.endswith("*") and w.startswith(beginning)), default=0)
         if grams[g] >= max(2 * SUPPORT, 1.25 * most) and not any(beginning.startswith(s) for s in stems):
             stems.append(beginning)
-    words = [w for w in grams if not w.endswith("*") and len(w) > 3 and not any(w.startswith(s) for s in stems)]
+    # the words of a stem stay: a misspelled one is found by its own edits
+    words = [w for w in grams if not w.endswith("*") and len(w) > 3]
     return Lexicon(tuple(sorted(words)), tuple(sorted(stems)))
 
 
@@ -238,7 +295,7 @@ def _apply(df: DataFrame, lexicon: Lexicon, keep: list[str], make, schema: str)
     ready(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(lexicon)
+        scanner = scanner_of(lexicon)
         for batch in batches:
             x = np.array([scanner.features(t) for t in batch.column(0).to_pylist()], float).reshape(-1, 6)
             out = make(x)

@@ -123,3 +123,55 @@ def test_secrets_without_digits_frame(spark):
                                  "doc_id long, text string")
     out = pii.pseudonymize(docs).toPandas()
     assert out.pii_found.tolist() == [1, 0] and "CorrectHorse" not in out.text[0] and out.text[1] == docs.collect()[1].text
+
+
+def test_misspelled_stem_members():
+    trie = toxicity.Trie(toxicity.Lexicon(("idiot", "idiotic", "scum"), ("idiot", "scum", "zarvok")))
+    for w in ("idxot", "idxotic", "idioti", "idiotxyz", "zxrvoking", "xzarvoking", "scumbag", "idxotxyz"):
+        assert trie.find(w), w
+    for w in ("scam", "scambag", "zxrvxking", "zxrvok", "ixxot"):
+        assert trie.find(w) is None, w
+
+
+def family_tables(spark, terms):
+    """Toxic and clean documents; the terms are spelled right only outside the held-out fold."""
+    docs, labels, clean, bad = [], [], [], []
+    for i in range(900):
+        held, toxic = zlib.crc32(str(i).encode()) % 3 == 1, i % 3 == 0
+        words = [f"w{i * 12 + j}" for j in range(12)]
+        if toxic:
+            term = terms[i // 3 % len(terms)]
+            if held or i % 9 == 0:
+                at = 1 + i // 9 % 2  # an inner letter becomes one that no term has
+                term = term[:at] + "q" + term[at + 1:]
+            words[i % 7] = term
+        if held:
+            (bad if toxic else clean).append(i)
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    return (spark.createDataFrame(docs, "doc_id long, text string"),
+            spark.createDataFrame(labels, "doc_id long, toxic int"), clean, bad)
+
+
+def test_misspelled_stem_families_held_out(spark):
+    docs, labels, clean, bad = family_tables(spark, [f"zarvok{e}" for e in ("s", "ic", "ish", "er", "ing", "ly")])
+    out = toxicity.score(docs, labels).toPandas().set_index("doc_id")
+    assert len(bad) > 50 and out.predicted[bad].all() and not out.predicted[clean].any()
+
+
+def test_screen_loses_no_match():
+    rng = np.random.default_rng(1)
+
+    def some(low, high):
+        return "".join(rng.choice(list("abc"), rng.integers(low, high)))
+
+    words, stems = [some(3, 13) for _ in range(40)], [some(4, 7) for _ in range(4)]
+    trie = toxicity.Trie(toxicity.Lexicon(tuple(words), tuple(stems)))
+    for _ in range(1500):
+        w = some(3, 14)
+        ok = any(abs(len(t) - len(w)) < 3 and edit_distance(w, t) <= toxicity.edits(t, False) for t in words)
+        for s in stems:
+            k = toxicity.edits(s, True)
+            ok = ok or w.startswith(s) or any(edit_distance(w[:n], s) <= k for n in range(len(s) - k, len(s) + k + 1)
+                                              if n < len(w))
+        assert (trie.find(w) is not None) == ok, w
