@@ -33,6 +33,8 @@ SAMPLE = 20_000
 MEMO = 1_000_000
 #: Least toxic documents of a term, and their least share among all documents with it.
 SUPPORT, PURITY = 5, 0.9
+#: Lengths of stems; words have three letters at least.
+STEMS = (4, 5, 6)
 #: Words that report what somebody else said (fixed values, natural order).
 REPORTING = ("said", "says", "wrote", "quoted", "called", "word", "term", "dit", "dijo", "sagte")
 SPAN = 60
@@ -249,8 +251,7 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = {w.decode("utf-8", "surrogatepass")
                          for w in (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()}
-                grams = {w for w in words if len(w) > 2} | {w[:n] + "*" for w in words for n in (4, 5, 6)
-                                                            if len(w) > n}
+                grams = {w for w in words if len(w) > 2} | {w[:n] + "*" for w in words for n in STEMS if len(w) > n}
                 every.update(grams)
                 if y:
                     toxic.update(grams)
@@ -263,17 +264,23 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
     sums = (train.mapInArrow(count, "gram string, toxic long, n long").groupBy("gram")
             .agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"))
             .where((F.col("toxic") >= SUPPORT) & (F.col("toxic") >= PURITY * F.col("n"))))
-    # bounded: the sample has at most SAMPLE documents, and a term needs SUPPORT toxic ones
-    grams = {r["gram"]: r["toxic"] for r in sums.orderBy(F.desc("toxic"), "gram").limit(4000).collect()}
-    stems = []
+    # all of them: bounded, as the sample has at most SAMPLE documents and a term needs SUPPORT toxic ones
+    return choose({r["gram"]: r["toxic"] for r in sums.collect()})
+
+
+def choose(grams: dict[str, int]) -> Lexicon:
+    """The lexicon of the words and beginnings (``*`` at the end) that passed, with their toxic documents."""
+    words, most = [w for w in grams if not w.endswith("*")], Counter()
+    for w in words:
+        for n in STEMS:
+            most[w[:n]] = max(most[w[:n]], grams[w])
+    stems: set[str] = set()
     for g in sorted((g for g in grams if g.endswith("*")), key=lambda g: (len(g), g)):
         beginning = g[:-1]
         # a stem has many endings: no single word accounts for nearly all of its texts
-        most = max((n for w, n in grams.items() if not w.endswith("*") and w.startswith(beginning)), default=0)
-        if grams[g] >= max(2 * SUPPORT, 1.25 * most) and not any(beginning.startswith(s) for s in stems):
-            stems.append(beginning)
+        if grams[g] >= max(2 * SUPPORT, 1.25 * most[beginning]) and not any(beginning[:n] in stems for n in STEMS):
+            stems.add(beginning)
     # the words of a stem stay: a misspelled one is found by its own edits
-    words = [w for w in grams if not w.endswith("*") and len(w) > 3]
     return Lexicon(tuple(sorted(words)), tuple(sorted(stems)))
 
 

@@ -159,6 +159,20 @@ def test_misspelled_stem_families_held_out(spark):
     assert len(bad) > 50 and out.predicted[bad].all() and not out.predicted[clean].any()
 
 
+def test_all_passing_terms_are_kept():
+    grams = {f"t{i:05d}": 5 for i in range(6000)} | {"bad": 9, "zarv*": 30, "zarvo*": 30, "zarvos": 10, "quix*": 30,
+                                                     "quixes": 28}
+    lexicon = toxicity.choose(grams)
+    assert set(lexicon.words) == {g for g in grams if not g.endswith("*")} and lexicon.stems == ("zarv",)
+
+
+def test_rare_and_short_terms_held_out(spark):
+    docs, labels, _, _ = family_tables(spark, ["bad"])
+    assert "bad" in toxicity.learn_lexicon(toxicity.training_rows(docs, labels, toxicity.SAMPLE)).words
+    many = spark.createDataFrame([(" ".join(f"r{n:05d}" for n in range(4500)), 1)] * 5, "text string, toxic int")
+    assert len(toxicity.learn_lexicon(many).words) == 4500
+
+
 def test_screen_loses_no_match():
     rng = np.random.default_rng(1)
 
