@@ -1,7 +1,9 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
 Blocks are runs of ``BLOCK`` words that start every ``BLOCK / 2`` words, so a template of at most half a block lies
-whole in one of them.  A block meets a template when it holds at least ``threshold`` of the template's distinct words.
+whole in one of them.  A block meets a template when it holds at least ``threshold`` of the template's distinct words,
+among them all words that name a license (``NAMES``).  A template of fewer than ``SHORT`` words is met only by all of
+them, standing in a run of twice as many words: one word more or less makes another license of it.
 
 Words are ordered by their frequency in the whole corpus (ties by the word), rarest first.  A block that meets
 template T holds at least ceil(threshold * |T|) of its words, so it holds one of the |T| - ceil(threshold * |T|) + 1
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import fold_words, ready
 
-BLOCK, THRESHOLD = 64, 0.8
+BLOCK, THRESHOLD, SHORT = 64, 0.8, 10
 
 #: Base phrases and labels (fixed values).
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -49,12 +51,24 @@ TEMPLATES = {
     "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License",),
 }
 
+#: Words that tell licenses apart; a template that holds one is not met without it (fixed values).
+NAMES = frozenset(b"apache attribution by cc commons creative gnu mit mozilla nc".split())
+
 
 class Template(NamedTuple):
     label: str
     ordered: tuple[bytes, ...]  # distinct words, rarest in the corpus first
     need: int  # words a block must hold
 
+    @property
+    def names(self) -> frozenset[bytes]:
+        return NAMES.intersection(self.ordered)
+
+    @property
+    def span(self) -> int | None:
+        """Words among which all words of a short template must stand."""
+        return 2 * len(self.ordered) if len(self.ordered) < SHORT else None
+
     @property
     def prefix(self) -> tuple[bytes, ...]:
         return self.ordered[:len(self.ordered) - self.need + 1]
@@ -85,7 +99,7 @@ def frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, in
 def ordered_templates(sets: list[tuple[str, frozenset[bytes]]], seen: dict[bytes, int], threshold: float) -> list[Template]:
     out = []
     for label, words in sets:
-        need = -(-round(threshold * 1000) * len(words) // 1000)
+        need = len(words) if len(words) < SHORT else -(-round(threshold * 1000) * len(words) // 1000)
         out.append(Template(label, tuple(sorted(words, key=lambda w: (seen.get(w, 0), w))), need))
     return out
 
@@ -117,11 +131,18 @@ class Matcher:
                 if len(block) < t.need or len(t.ordered) - k < t.need:  # length and positional filters
                     continue
                 common = len(block.intersection(t.ordered))
-                if common >= t.need:
+                if common >= t.need and t.names <= block and together(words[start:start + BLOCK], t):
                     best[key] = max(best.get(key, 0.0), common / len(t.ordered))
         return best
 
 
+def together(words: list[bytes], t: Template) -> bool:
+    """Do all words of a short template stand in one run of ``span`` words?"""
+    if t.span is None:
+        return True
+    return any(frozenset(words[i:i + t.span]).issuperset(t.ordered) for i in range(max(1, len(words) - t.span + 1)))
+
+
 def phrase_places(words: list[bytes], phrases: dict[bytes, str]) -> list[tuple[int, str]]:
     """(first word, label) of every place where a phrase stands."""
     joined, out = b" " + b" ".join(words) + b" ", []

@@ -39,3 +39,24 @@ def test_scan_against_brute_force(spark):
     for r in got:
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == brute(text[r.doc_id]), r.doc_id
     assert licenses.scan(rows.limit(0)).count() == 0
+
+
+def test_look_alikes_are_told_apart(spark):
+    far = " lorem" * 12
+    lines = {
+        "Released under the MIT License": {"mit"}, "released, under the (MIT) license.": {"mit"},
+        "Released under the Apache License": set(), "Released under the GNU General Public License": {"gpl"},
+        "Licensed under CC BY-NC 4.0": {"cc-by", "cc-by-nc"}, "Licensed under CC BY 4.0": {"cc-by"},
+        "Licensed under the Apache License, Version 2.0": {"apache"},
+        "Licensed under the Mozilla Public License, Version 2.0": set(),
+        "This work is licensed under the GNU General Public License, version 3": {"gpl"},
+        "This work is licensed under the Mozilla Public License, version 3": set(),
+        "This Source Code Form is subject to the terms of the Mozilla Public License": {"mpl"},
+        "This Source Code Form is subject to the terms of the Eclipse Public License": set(),
+        "Permission granted, free of charge, to any person obtaining a copy of this software": {"mit"},
+        f"MIT{far} released under{far} the license": set(),
+        "lorem " * 30 + "Released under the MIT License" + " ipsum" * 70: {"mit"},
+    }
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r.doc_id: set(filter(None, r.labels.split(","))) for r in licenses.scan(docs).collect()}
+    assert {t: got[i] for i, t in enumerate(lines)} == lines
