@@ -576,22 +576,53 @@ def q_grid_search(spark, d):
     return spark.createDataFrame(rows, "C double, mean_recall double, best boolean")
 
 
+def _populations(models, train, test, pool):
+    """Scores of test, all labelled (with ``good_status_loan``) and pool accounts, one row per population and account."""
+    cols = [f"score_{i}" for i in range(len(models))]
+    parts = []
+    for name, df in (("test", test), ("labelled", train.unionByName(test)), ("pool", pool)):
+        label = F.col("label") if "label" in df.columns else F.lit(None)
+        parts.append(D.average_scores(ML.score(models, df), cols).select(
+            F.lit(name).alias("population"), "account_id", label.cast("int").alias("good_status_loan"), *cols, "avg_score"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def _bagged(spark, d):
+    """The populations scored by the model of every repetition."""
     train, test, pool = _model_frames(spark, d)
     fits = ML.bag(train, ML.C_GRID_SECOND)
-    models = [f.model for f in fits]
-    cols = [f"score_{i}" for i in range(len(models))]
-    return models, cols, test, pool
+    return cut_lineage(_populations([f.model for f in fits], train, test, pool))
+
+
+def _per_population(scored, evaluate):
+    """``evaluate`` of the two labelled populations, one below the other."""
+    test, labelled = (evaluate(scored.filter(F.col("population") == p)).withColumn("population", F.lit(p))
+                      for p in ("test", "labelled"))
+    return test.unionByName(labelled)
 
 
 def q_bagged_scores(spark, d):
-    models, cols, _, pool = _bagged(spark, d)
-    return D.average_scores(ML.score(models, pool), cols)
+    return _bagged(spark, d)
+
+
+def q_bagged_confusion(spark, d):
+    return _per_population(_bagged(spark, d), D.confusion)
+
+
+def q_bagged_roc(spark, d):
+    return _per_population(_bagged(spark, d), D.roc_table)
+
+
+def _report(scored):
+    return D.classification_report(D.predict(scored), "good_status_loan", "y_hat")
+
+
+def q_bagged_report(spark, d):
+    return _per_population(_bagged(spark, d), _report)
 
 
 def q_model_tiers(spark, d):
-    models, cols, _, pool = _bagged(spark, d)
-    scored = cut_lineage(D.average_scores(ML.score(models, pool), cols))
+    scored = _bagged(spark, d).filter(F.col("population") == "pool")
     return D.tier_counts(D.decide(scored))
 
 
@@ -601,6 +632,9 @@ def _model_queries() -> dict[str, Query]:
         "logit_fit": q_logit_fit,
         "grid_search": q_grid_search,
         "bagged_scores": q_bagged_scores,
+        "bagged_confusion": q_bagged_confusion,
+        "bagged_roc": q_bagged_roc,
+        "bagged_report": q_bagged_report,
         "model_tiers": q_model_tiers,
     }
 

@@ -55,3 +55,24 @@ def test_unknown_metric_and_missing_convergence_raise(spark):
         ML.grid_search(data, [0.1, 1.0], folds=2, metric="f1")
     with pytest.raises(RuntimeError, match="convergence"):
         ML.fit_logit(data, 1.0, max_iter=1)
+
+
+def test_bagged_models_score_and_judge_three_populations(spark):
+    from lendscope.checks import queries as Q
+    data = ML.assemble(_planted(spark, 300), ["x1", "x2"])
+    train, test = data.filter("account_id < 200"), data.filter("account_id >= 200")
+    pool = data.drop("label").withColumn("account_id", F.col("account_id") + 1000)
+    models = [ML.fit_logit(train, C) for C in (1.0, 100.0)]
+    scored = Q._populations(models, train, test, pool).cache()
+    rows = scored.toPandas()
+    assert rows.groupby("population").size().to_dict() == {"test": 100, "labelled": 300, "pool": 300}
+    assert np.allclose(rows.avg_score, (rows.score_0 + rows.score_1) / 2)
+    assert rows.good_status_loan.isna().equals(rows.population == "pool")
+    for r in Q._per_population(scored, Q.D.confusion).collect():
+        x = rows[rows.population == r.population]
+        assert r.true_good == ((x.good_status_loan == 1) & (x.avg_score >= 0.68)).sum()
+        assert r.true_good + r.false_good + r.true_bad + r.false_bad == len(x)
+    assert Q._per_population(scored, Q.D.roc_table).count() == 202
+    report = Q._per_population(scored, Q._report).where("class_label = 'accuracy'").collect()
+    assert {r.population: r.support for r in report} == {"test": 100, "labelled": 300}
+    assert {"bagged_confusion", "bagged_roc", "bagged_report"} <= set(Q.queries())
