@@ -108,3 +108,13 @@ def test_chat_parts(spark):
     assert out[0].formatted == "<|turn:user|>\nsee \\l|image:0|><|image:0|><|audio:1|><|document:2|><|end|>\n"
     with pytest.raises(ValueError):
         chat.flatten([{"type": "video"}])
+
+
+def test_each_capacity_binds():
+    import numpy as np
+
+    from lendscope.llm import packing
+    length = np.full(12, 10)
+    for capacity, max_docs, max_cost in ((30, 12, 10 ** 6), (1000, 3, 10 ** 6), (1000, 12, 300)):
+        seq, _ = packing.best_fit(length, capacity, max_docs, max_cost)
+        assert np.bincount(np.asarray(seq)).max() == 3 and len(set(seq)) == 4
