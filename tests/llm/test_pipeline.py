@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lendscope.llm import decontam, jaccard, rules
 from lendscope.llm.common import stored, table
@@ -36,3 +38,18 @@ def test_empty_table(spark):
         out = stage(spark, docs, SF)
         docs = stored(out, "test-empty")
         assert docs.count() == 0
+
+
+def test_repeated_and_null_ids_are_judged_by_row(spark):
+    item = next(r.text for r in table(spark, SF, "benchmark").collect() if len(r.text.split()) > 20)
+    near, other = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    docs = table(spark, SF, "documents")
+    rows = [(1, item), (1, other), (None, item), (2, near), (3, near + " end"), (3, other + " x y z")]
+    made = spark.createDataFrame(rows, "doc_id long, text string").select(
+        *[F.col(c) if c in ("doc_id", "text") else F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+
+    def left(stage):
+        return {(r.doc_id, r.text) for r in stage(spark, made, SF).collect()}
+
+    assert left(corpus_pipeline.decontamination) == set(rows) - {(1, item), (None, item)}
+    assert left(corpus_pipeline.near_duplicates) == {(1, other), (None, item), (2, near)}
