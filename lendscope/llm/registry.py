@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dac, decontam, jaccard, licenses, packing, pii, rules, substring, toxicity
+from . import (chat, dac, decontam, frames, jaccard, licenses, nskmeans, packing, pii, rules, snapshots, substring,
+               toxicity)
 from .common import table
 
 
@@ -67,10 +68,23 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_ns_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nskmeans.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.digests(frames.fill_in_middle(frames.store(table(spark, sf_dir, "documents"))))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshots.dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {"op2_decontamination": decontam.SQL, "op5_chat_formatting": chat.SQL, "op6_substring_dedup": substring.SQL,
-            "op8_jaccard_join": jaccard.SQL}
+            "op8_jaccard_join": jaccard.SQL, "op11_ns_bounds": nskmeans.sql(), "op12_fill_in_middle": frames.SQL,
+            "op13_exact_dedup": snapshots.SQL}
