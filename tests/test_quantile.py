@@ -1,11 +1,16 @@
+import math
 import random
+import struct
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lendscope.functions.birth import decode_birth
 from lendscope.functions.casts import conform
 from lendscope.operators.cutoff import before_cutoff
-from lendscope.operators.quantile import exact_quantiles, order_statistics
+from lendscope.operators import quantile
+from lendscope.operators.quantile import exact_quantiles, key_value, order_key, order_statistics
 from lendscope.operators.rollup import exact_sum, mean, txn_rollup
 from lendscope.plans.decide import class_profile, histogram
 from lendscope.plans.prep import oversample
@@ -39,6 +44,66 @@ def test_order_statistics_of_longs_and_groups(spark):
         assert got[(g,)] == {r: own[r] for r in wanted}
 
 
+def doubles(seed, n):
+    """Finite doubles of every magnitude, from random bit patterns, next to neighbours and ends of the range."""
+    rnd = random.Random(seed)
+    out = [0.0, -0.0, 5e-324, -5e-324, 2.0 ** -1022, 2.0 ** -1022 - 5e-324, 1.7976931348623157e308, -1.7976931348623157e308]
+    for e in (-1074, -1023, -1022, -1, 0, 1, 52, 53, 1023):
+        out += [2.0 ** e, -2.0 ** e, math.nextafter(2.0 ** e, math.inf), math.nextafter(2.0 ** e, 0.0)]
+    while len(out) < n:
+        x = struct.unpack("<d", rnd.randbytes(8))[0]
+        if math.isfinite(x):
+            out.append(x)
+    return out
+
+
+def test_order_keys_keep_order_and_value(spark):
+    values = [*doubles(1, 4000), math.inf, -math.inf, math.nan]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [(r.v, r._key) for r in order_key(df, "v").collect()]
+    assert all(key_value(k) == v or (v != v and math.isnan(key_value(k))) for v, k in got)
+    spark_order = [r.v for r in df.distinct().sort("v").collect()]  # NaN last
+    by_key = [key_value(k) for k in sorted({k for _, k in got})]
+    assert by_key[:-1] == spark_order[:-1] and math.isnan(by_key[-1]) and math.isnan(spark_order[-1])
+    assert all(key_value(k) == v for v, k in ((x, struct.unpack("<q", struct.pack("<d", x))[0]) for x in values if x > 0))
+
+
+@pytest.mark.parametrize("values", [
+    [1.0, 2.0, math.inf], [-1e308, 0.0, 1e308], [1.0, 2.0, math.nan], [-math.inf, math.inf], [math.nan] * 3,
+    [1.7976931348623157e308, -1.7976931348623157e308, 5e-324, -5e-324], [1.0, math.nextafter(1.0, 2.0)],
+    [0.0, -0.0, 0.0], [3.5], doubles(2, 500), [*doubles(3, 300), *[math.inf] * 50, *[math.nan] * 50, *[-math.inf] * 50]])
+def test_any_values_end_in_eight_passes(spark, monkeypatch, values):
+    passes = []
+    monkeypatch.setattr(quantile, "_pass", lambda *a, run=quantile._pass: passes.append(1) or run(*a))
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    ranks = set(range(len(values))) if len(values) < 20 else set(range(0, len(values), 7))
+    got = order_statistics(df, "v", {(): ranks})[()]
+    own = sorted(values, key=lambda v: (v != v, v if v == v else 0.0))
+    assert set(got) == ranks and all(got[r] == own[r] or (own[r] != own[r] and math.isnan(got[r])) for r in ranks)
+    assert len(passes) <= 7  # after the first
+    # neighbours that are equal need no interpolation, also where they are infinite
+    median = exact_quantiles(df, "v", [0.5])[()][0.5]
+    lo, hi = own[(len(own) - 1) // 2], own[len(own) // 2]
+    assert median == lo if lo == hi else math.isnan(median) == math.isnan(lo + (hi - lo) / 2)
+
+
+def test_windows_go_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(quantile, "WINDOWS", 3)
+    rows = [(i % 5, float(i * i % 91) - 40) for i in range(400)]
+    got = exact_quantiles(spark.createDataFrame(rows, "g int, v double"), "v", [0.1, 0.5, 0.77], ["g"])
+    for g in range(5):
+        own = [v for k, v in rows if k == g]
+        assert all(abs(got[(g,)][p] - np.quantile(own, p)) < 1e-12 for p in (0.1, 0.5, 0.77))
+
+
+def test_quantiles_of_nothing_and_of_null_groups(spark):
+    df = spark.createDataFrame([("a", None), (None, 1.0), (None, math.inf)], "g string, v double")
+    assert exact_quantiles(df, "v", [0.5, 1.0], ["g"]) == {(None,): {0.5: math.inf, 1.0: math.inf}}
+    assert exact_quantiles(df.limit(0), "v", [0.5]) == {}
+    with pytest.raises(TypeError, match="string"):
+        order_statistics(df, "g", {(): {0}})
+
+
 def jobs_of(spark, run):
     spark.sparkContext.setJobGroup("counted", "counted")
     run()
