@@ -98,8 +98,25 @@ def q(select_sql: str) -> str:
     return with_standins(select_sql, EXTRA)
 
 
+def _both_sql() -> str:
+    return f"""SELECT h.*, b.* EXCLUDE (cut_account_id) FROM ({txn_rollup_sql('trans')}) h
+      LEFT JOIN (SELECT COLUMNS('(.*)') AS 'cut_\\1' FROM ({txn_rollup_sql('trans_before')})) b
+      ON b.cut_account_id = h.account_id"""
+
+
+def _asof_sql() -> str:
+    rows = """(SELECT t.* EXCLUDE (account_id), k.loan_id AS account_id FROM trans t
+      JOIN every_loan k ON k.account_id = t.account_id AND t.date_ < k.date_)"""
+    return f""", every_loan AS (SELECT o_orderkey AS loan_id, o_custkey AS account_id, CAST(o_orderdate AS DATE) AS date_
+        FROM orders WHERE o_orderpriority = '1-URGENT')
+      SELECT k.account_id, k.loan_id, r.* EXCLUDE (account_id) FROM every_loan k
+      LEFT JOIN ({txn_rollup_sql(rows)}) r ON r.account_id = k.loan_id"""
+
+
 def rollup_oracles() -> dict[str, str]:
     return {
+        "txn_rollup_both": q(_both_sql()),
+        "asof_loan_rollup": q(_asof_sql()),
         "cutoff_txn": q("SELECT * FROM trans_before"),
         "txn_rollup": q(txn_rollup_sql("trans")),
         "cutoff_txn_rollup": q(txn_rollup_sql("trans_before")),
@@ -272,6 +289,7 @@ def qp(select_sql: str) -> str:
     return with_standins(select_sql, EXTRA + "," + MART_CTES + "," + MART_CUT + "," + S_AVG)
 
 
+# The source's feature list and its null-fill and cast lists.
 FEATURES = [
     "n_orders", "avg_orders_amount", "std_orders_amount", "n_orders_housing",
     "avg_orders_housing", "std_orders_housing", "n_orders_insur", "avg_orders_insur",
@@ -353,6 +371,12 @@ def report_sql(truth: str, pred: str) -> str:
                      CAST(sum(support) AS BIGINT) FROM pm)"""
 
 
+#: Accounts with a loan and their class, and the fold of one by its rank in the class (follows a WITH clause).
+LABELLED_MART = ", lm AS (SELECT account_id, CAST(good_status_loan AS INTEGER) AS label FROM mart WHERE loan_id IS NOT NULL)"
+_FOLD = """CAST((row_number() OVER (PARTITION BY label
+  ORDER BY md5(CAST(account_id AS VARCHAR) || '#7919'), account_id) - 1) % 5 AS INTEGER)"""
+
+
 def prep_oracles() -> dict[str, str]:
     feats = ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0) AS {c}" for c in FEATURES)
     ints = ", ".join(f"CAST(coalesce(CAST({c} AS DOUBLE), 0) AS INTEGER) AS {c}" for c in INT_FILL)
@@ -387,6 +411,17 @@ def prep_oracles() -> dict[str, str]:
                 FROM (SELECT good_status_loan, n, unnest(range(0, m - n)) AS i FROM cnt, top) GROUP BY ALL) dr
               USING (good_status_loan, k))
             , unnest(range(0, copies)) AS r(i)"""),
+        "cv_folds_stratified": qp(f"{LABELLED_MART} SELECT account_id, label, {_FOLD} AS fold FROM lm"),
+        "cv_folds_resampled": qp(f"""{LABELLED_MART},
+            lc AS (SELECT label, count(*) AS n FROM lm GROUP BY label),
+            rk AS (SELECT account_id, label, row_number() OVER (PARTITION BY label
+              ORDER BY md5(CAST(account_id AS VARCHAR) || '#0'), account_id) - 1 AS k FROM lm),
+            dr AS (SELECT label, CAST(('0x' || substr(md5(CAST(i AS VARCHAR) || '#' || CAST(label AS VARCHAR) || '#0'),
+                1, 8)) AS BIGINT) % n AS k, count(*) AS times
+              FROM (SELECT label, n, unnest(range(0, (SELECT max(n) FROM lc) - n)) AS i FROM lc) GROUP BY ALL),
+            cp AS (SELECT account_id, label FROM (SELECT account_id, label, 1 + coalesce(times, 0) AS copies
+              FROM rk LEFT JOIN dr USING (label, k)), unnest(range(0, copies)) AS r(i))
+            SELECT label, fold, count(*) AS n_rows FROM (SELECT label, {_FOLD} AS fold FROM cp) GROUP BY ALL"""),
         "class_weights": qt("""SELECT good_status_loan, n AS n_class,
               CAST(sum(n) OVER () AS DOUBLE) / (count(*) OVER () * n) AS weight FROM cnt"""),
         "predict_inverted": qp("""SELECT account_id, avg_score,

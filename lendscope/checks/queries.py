@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendscope.operators.cutoff import before_cutoff
+from lendscope.operators.daystates import asof_rollup, txn_rollup_both
 from lendscope.operators.rollup import balance_stats, card_rollup, rollup_by_category, txn_rollup
 from lendscope.plans.mart import cards_before_loan, link_cards
 from lendscope.sources import standins as S
@@ -23,7 +24,7 @@ FLAGSHIP = "mart_cutoff"
 
 def finish(df: DataFrame, digits: int = 4) -> DataFrame:
     """Round population-deviation columns (``std_*``) for comparison."""
-    return df.select(*[F.round(F.col(c), digits).alias(c) if c.startswith("std_") else F.col(c)
+    return df.select(*[F.round(F.col(c), digits).alias(c) if c.startswith(("std_", "cut_std_")) else F.col(c)
                        for c in df.columns])
 
 
@@ -43,6 +44,15 @@ def q_cutoff_txn_rollup(spark, d):
     return finish(txn_rollup(_trans_before(spark, d)))
 
 
+def q_txn_rollup_both(spark, d):
+    t = _tables(spark, d)
+    return finish(txn_rollup_both(t.trans, t.loans))
+
+
+def q_asof_loan_rollup(spark, d):
+    return finish(asof_rollup(_tables(spark, d).trans, S.standin_every_loan(spark, d)))
+
+
 def q_symbol_rollup(spark, d):
     return finish(rollup_by_category(_tables(spark, d).orders))
 
@@ -84,6 +94,8 @@ def _rollup_queries() -> dict[str, Query]:
         "cutoff_txn": q_cutoff_txn,
         "txn_rollup": q_txn_rollup,
         "cutoff_txn_rollup": q_cutoff_txn_rollup,
+        "txn_rollup_both": q_txn_rollup_both,
+        "asof_loan_rollup": q_asof_loan_rollup,
         "symbol_rollup": q_symbol_rollup,
         "balance_stats": q_balance_stats,
         "balance_stats_text": q_balance_stats_text,
@@ -538,7 +550,7 @@ def _decision_queries() -> dict[str, Query]:
 # ---------------------------------------------------------------------------
 
 from lendscope.plans import model as ML  # noqa: E402
-from lendscope.session import cut_lineage  # noqa: E402
+from lendscope.session import checkpoint_dir, cut_lineage  # noqa: E402
 
 
 def _model_frames(spark, d):
@@ -553,12 +565,18 @@ def _model_frames(spark, d):
     return train, test, pool_x
 
 
+def _forest_report(model, test):
+    return D.classification_report(model.transform(test).select("label", "prediction"), "label", "prediction", swapped=False)
+
+
 def q_forest_benchmark(spark, d):
     train, test, _ = _model_frames(spark, d)
-    weighted = P.with_class_weights(train, "label")
-    rf = ML.fit_forest(weighted, weight_col="weight")
-    pred = rf.transform(test).select("label", F.col("prediction"))
-    return D.classification_report(pred, "label", "prediction", swapped=False)
+    return _forest_report(ML.fit_forest(P.with_class_weights(train, "label"), weight_col="weight"), test)
+
+
+def q_forest_unweighted(spark, d):
+    train, test, _ = _model_frames(spark, d)
+    return _forest_report(ML.fit_forest(train), test)
 
 
 def q_logit_fit(spark, d):
@@ -569,11 +587,36 @@ def q_logit_fit(spark, d):
     return spark.createDataFrame(coefs, "feature string, coefficient double")
 
 
-def q_grid_search(spark, d):
+def _labelled_frame(spark, d):
+    """account_id and label of every account with a loan."""
+    labelled, _ = P.split_labelled(_mart(spark, d))
+    return labelled.select("account_id", F.col("good_status_loan").cast("int").alias("label"))
+
+
+def q_cv_folds_stratified(spark, d):
+    return ML.stratified_folds(_labelled_frame(spark, d), ML.DEFAULT_FOLDS, 7919, out="fold")
+
+
+def q_cv_folds_resampled(spark, d):
+    """Rows of each class in each fold after the first flow's oversampling."""
+    copies = P.oversample(_labelled_frame(spark, d), "label", "account_id", seed=0, mode="random")
+    dealt = ML.stratified_folds(copies, ML.DEFAULT_FOLDS, 7919, out="fold")
+    return dealt.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def _search_table(spark, d, flow):
     train, _, _ = _model_frames(spark, d)
-    res = ML.grid_search(train, ML.C_GRID_FIRST, metric="recall", seed=0)
-    rows = [(float(c), float(v), c == res.best_C) for c, v in res.scores.items()]
-    return spark.createDataFrame(rows, "C double, mean_recall double, best boolean")
+    res = ML.grid_search(train, flow.grid, flow.folds, flow.metric, seed=flow.seeds[0],
+                         resample_in_fold=flow.resample_in_fold, oversampling=flow.oversampling)
+    return [(float(c), float(v), c == res.best_C) for c, v in res.scores.items()]
+
+
+def q_grid_search(spark, d):
+    return spark.createDataFrame(_search_table(spark, d, ML.FLOW_SECOND), "C double, mean_recall double, best boolean")
+
+
+def q_grid_search_first(spark, d):
+    return spark.createDataFrame(_search_table(spark, d, ML.FLOW_FIRST), "C double, mean_recall_micro double, best boolean")
 
 
 def _populations(models, train, test, pool):
@@ -587,10 +630,10 @@ def _populations(models, train, test, pool):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def _bagged(spark, d):
-    """The populations scored by the model of every repetition."""
+def _bagged(spark, d, flow=ML.FLOW_SECOND):
+    """The populations scored by the model of every repetition; all queries of a flow share one stored bag."""
     train, test, pool = _model_frames(spark, d)
-    fits = ML.bag(train, ML.C_GRID_SECOND)
+    fits = ML.stored_bag(train, flow, f"{checkpoint_dir(spark)}/bags")
     return cut_lineage(_populations([f.model for f in fits], train, test, pool))
 
 
@@ -621,21 +664,53 @@ def q_bagged_report(spark, d):
     return _per_population(_bagged(spark, d), _report)
 
 
+def q_bagged_scores_first(spark, d):
+    return _bagged(spark, d, ML.FLOW_FIRST)
+
+
+def q_bagged_report_first(spark, d):
+    return _per_population(_bagged(spark, d, ML.FLOW_FIRST), _report)
+
+
+def _pool(spark, d):
+    return _bagged(spark, d).filter(F.col("population") == "pool")
+
+
 def q_model_tiers(spark, d):
-    scored = _bagged(spark, d).filter(F.col("population") == "pool")
-    return D.tier_counts(D.decide(scored))
+    return D.tier_counts(D.decide(_pool(spark, d)))
+
+
+def q_model_preapprove(spark, d):
+    return D.preapprove_list(_pool(spark, d))
+
+
+def q_model_high_confidence(spark, d):
+    return D.high_confidence(_pool(spark, d))
+
+
+def q_model_histogram(spark, d):
+    return D.histogram(_pool(spark, d), "avg_score", D.POOL_BINS)
 
 
 def _model_queries() -> dict[str, Query]:
     return {
+        "cv_folds_stratified": q_cv_folds_stratified,
+        "cv_folds_resampled": q_cv_folds_resampled,
         "forest_benchmark": q_forest_benchmark,
+        "forest_unweighted": q_forest_unweighted,
         "logit_fit": q_logit_fit,
         "grid_search": q_grid_search,
+        "grid_search_first": q_grid_search_first,
         "bagged_scores": q_bagged_scores,
+        "bagged_scores_first": q_bagged_scores_first,
         "bagged_confusion": q_bagged_confusion,
         "bagged_roc": q_bagged_roc,
         "bagged_report": q_bagged_report,
+        "bagged_report_first": q_bagged_report_first,
         "model_tiers": q_model_tiers,
+        "model_preapprove": q_model_preapprove,
+        "model_high_confidence": q_model_high_confidence,
+        "model_histogram": q_model_histogram,
     }
 
 

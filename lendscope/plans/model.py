@@ -4,10 +4,15 @@
 * logistic regression with the inverse penalty ``C`` of the source, mapped
   to Spark's ``regParam = 1 / (C * n)`` with no standardisation, which is
   the same optimisation problem;
-* grid search with k-fold cross-validation in which the oversampling runs
-  inside each training fold only (copies never leak into a held-out fold);
+* grid search with k-fold cross-validation over folds that hold the same
+  share of each class.  Two flows, as in the source's two scripts: resample
+  the training rows once and search on the copies (``FLOW_FIRST``), or
+  resample inside each training fold only, so that copies never leak into a
+  held-out fold (``FLOW_SECOND``);
 * bagging: repetitions with their own seeds, every repetition's model
-  scoring the test, labelled and pool frames in one narrow pass.
+  scoring the test, labelled and pool frames in one narrow pass;
+* stored bags: models and manifest written once for a training input and a
+  flow, and read back by everything that scores with them.
 
 The driver only loops over small parameter grids; every fit is a
 distributed job over the (checkpointed) training frame.
@@ -15,19 +20,21 @@ distributed job over the (checkpointed) training frame.
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import Model
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendscope.session import cut_lineage
-from lendscope.plans.prep import FEATURE_COLUMNS, KEY, LABEL, hash_prefix, oversample
+from lendscope.plans.prep import FEATURE_COLUMNS, KEY, LABEL, oversample, ranked_in_class
 
 # The source's penalty grids, repetitions and seeds.
 C_GRID_FIRST = [1e-5, 3e-5, 1e-4, 3e-4, 1e-3, 3e-3, .01, .03, .1, .3, 1, 3, 10]
@@ -77,7 +84,8 @@ def fit_logit(train: DataFrame, C: float, n: float | None = None, max_iter: int
     return model
 
 
-METRICS = ("recall", "accuracy")
+#: ``recall`` is that of class 1; ``recall_micro`` counts the hits of both classes over all rows.
+METRICS = ("recall", "recall_micro", "accuracy")
 
 
 def prob_good(model: Model, df: DataFrame, out: str) -> DataFrame:
@@ -107,33 +115,65 @@ class SearchResult:
     scores: dict[float, float] = field(default_factory=dict)
 
 
+@dataclass(frozen=True)
+class Flow:
+    """How a repetition searches: grid, folds, metric, and where the oversampling runs."""
+
+    grid: tuple[float, ...]
+    metric: str = "recall"
+    resample_in_fold: bool = True
+    oversampling: str = "ratio"
+    folds: int = DEFAULT_FOLDS
+    seeds: tuple[int, ...] = tuple(SEED_STEP * i for i in range(N_REPS))
+
+
+#: The source's first script: resample (draws with replacement), then search for micro-averaged recall on the copies.
+FLOW_FIRST = Flow(tuple(C_GRID_FIRST), "recall_micro", resample_in_fold=False, oversampling="random")
+#: Its second: the search resamples inside each training fold, for the recall of class 1.
+FLOW_SECOND = Flow(tuple(C_GRID_SECOND))
+
+
+def stratified_folds(df: DataFrame, folds: int, seed: int, label: str = "label", key: str = KEY,
+                     out: str = "_fold") -> DataFrame:
+    """Add ``out``: fold number ``rank in class (by key hash) mod folds``.
+
+    Every fold holds each class's share up to one row, whatever the sizes.
+    Stable under repartitioning; no class is ranked in one task.
+    """
+    fold = (F.col("_rank") % F.lit(folds)).cast("int").alias(out)
+    return ranked_in_class(df, label, key, seed).select(*df.columns, fold)
+
+
 def grid_search(train: DataFrame, grid: Sequence[float], folds: int = DEFAULT_FOLDS,
                 metric: str = "recall", seed: int = 0, resample_in_fold: bool = True,
-                key: str = KEY, parallelism: int = 8) -> SearchResult:
-    """k-fold search over ``C``; oversampling inside each training fold.
-
-    Folds come from a hash of the key (stable under recomputation).  The
-    (C, fold) fits are independent Spark jobs submitted from ``parallelism``
-    driver threads, like ``CrossValidator(parallelism=...)``.  The best ``C``
-    (ties: the smallest) is refitted on the whole (resampled) training frame.
-    With ``resample_in_fold=False`` the frame is resampled first and then
-    searched (the source's first flow).  Each fold's training frame is stored
-    and counted once.  ``train`` needs ``key``, ``features`` and ``label``.
+                key: str = KEY, parallelism: int = 8, oversampling: str = "ratio") -> SearchResult:
+    """k-fold search over ``C`` on folds stratified by class.
+
+    With ``resample_in_fold`` the oversampling runs inside each training fold
+    and on the whole frame for the refit; without it the frame is resampled
+    first, and copies are dealt to the folds like other rows (the source's
+    first flow).  The (C, fold) fits are independent Spark jobs submitted from
+    ``parallelism`` driver threads, like ``CrossValidator(parallelism=...)``.
+    The best ``C`` (ties: the smallest) is refitted on all (resampled) rows.
+    Each fold's training frame is stored and counted once.  ``train`` needs
+    ``key``, ``features`` and ``label``.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}; use one of {METRICS}")
+
+    def resampled(df: DataFrame, s: int) -> DataFrame:
+        return oversample(df, "label", key, seed=s, mode=oversampling)
+
     if not resample_in_fold:
-        train = cut_lineage(oversample(train, "label", key, seed=seed))
+        train = cut_lineage(resampled(train, seed))
+    full = resampled(train, seed) if resample_in_fold else train
     if len(grid) == 1:
-        full = oversample(train, "label", key, seed=seed) if resample_in_fold else train
         return SearchResult(grid[0], fit_logit(full, grid[0]), {})
-    fold = F.conv(hash_prefix(F.col(key), seed + 7919), 16, 10).cast("long") % folds
-    data = train.withColumn("_fold", fold)
+    data = cut_lineage(stratified_folds(train, folds, seed + 7919, "label", key))
     fit_parts, held_parts, sizes = {}, {}, {}
     for k in range(folds):
         part = data.filter(F.col("_fold") != k)
-        fit_parts[k] = cut_lineage(
-            oversample(part, "label", key, seed=seed + k) if resample_in_fold else part)
+        fit_parts[k] = cut_lineage(resampled(part, seed + k)) if resample_in_fold else part
         sizes[k] = float(fit_parts[k].count())
         # every solver step is a job: as many tasks as the rows need, not as the shuffle left
         fit_parts[k] = fit_parts[k].coalesce(max(1, int(sizes[k]) // ROWS_PER_TASK))
@@ -152,16 +192,84 @@ def grid_search(train: DataFrame, grid: Sequence[float], folds: int = DEFAULT_FO
         results.setdefault(C, 0.0)
         results[C] += v / folds
     best = max(grid, key=lambda c: (results[c], -c))
-    full = oversample(train, "label", key, seed=seed) if resample_in_fold else train
     return SearchResult(best, fit_logit(full, best), results)
 
 
 def bag(train: DataFrame, grid: Sequence[float], reps: int = N_REPS,
         seeds: Sequence[int] | None = None, folds: int = DEFAULT_FOLDS,
-        metric: str = "recall", key: str = KEY) -> list[SearchResult]:
+        metric: str = "recall", key: str = KEY, resample_in_fold: bool = True,
+        oversampling: str = "ratio") -> list[SearchResult]:
     """One grid search per repetition, each with its own seed."""
     seeds = list(seeds) if seeds is not None else [SEED_STEP * i for i in range(reps)]
-    return [grid_search(train, grid, folds, metric, seed=s, key=key) for s in seeds]
+    return [grid_search(train, grid, folds, metric, seed=s, key=key, resample_in_fold=resample_in_fold,
+                        oversampling=oversampling) for s in seeds]
+
+
+def bag_flow(train: DataFrame, flow: Flow, key: str = KEY) -> list[SearchResult]:
+    """The bag of a whole flow."""
+    return bag(train, flow.grid, seeds=flow.seeds, folds=flow.folds, metric=flow.metric, key=key,
+               resample_in_fold=flow.resample_in_fold, oversampling=flow.oversampling)
+
+
+# ---------------------------------------------------------------------------
+# stored bags
+# ---------------------------------------------------------------------------
+
+def input_digest(df: DataFrame) -> str:
+    """Digest of a frame's rows in any order and partitioning: row count and two sums of row hashes."""
+    row = F.to_json(F.struct(*[vector_to_array(c).alias(c) if df.schema[c].dataType.typeName() == "vectorudt" else F.col(c)
+                               for c in sorted(df.columns)]))
+    r = df.select(row.alias("r")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("r").cast("decimal(20,0)")).alias("a"),
+        F.sum(F.xxhash64("r", F.lit(1)).cast("decimal(20,0)")).alias("b")).first()
+    return f"{r['n']}:{r['a']}:{r['b']}"
+
+
+def _manifest_path(path: str) -> str:
+    return f"{path.rstrip('/')}/manifest"
+
+
+def save_bag(spark: SparkSession, fits: Sequence[SearchResult], path: str, about: dict) -> None:
+    """Write every repetition's model, then the manifest: a bag without manifest is not whole."""
+    reps = []
+    for i, f in enumerate(fits):
+        name = f"model-{i:03d}"
+        f.model.write().overwrite().save(f"{path.rstrip('/')}/{name}")
+        reps.append({"model": name, "best_C": f.best_C, "scores": sorted(f.scores.items())})
+    text = json.dumps({**about, "repetitions": reps}, sort_keys=True)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(_manifest_path(path))
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict | None:
+    """What a stored bag says of itself; ``None`` if there is no whole bag at ``path``."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{_manifest_path(path)}/_SUCCESS")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return json.loads("".join(r["value"] for r in spark.read.text(_manifest_path(path), wholetext=True).collect()))
+
+
+def load_bag(spark: SparkSession, path: str) -> list[SearchResult]:
+    """The repetitions of a stored bag, in order."""
+    about = read_manifest(spark, path)
+    if about is None:
+        raise FileNotFoundError(f"no whole bag at {path}")
+    return [SearchResult(r["best_C"], LogisticRegressionModel.load(f"{path.rstrip('/')}/{r['model']}"),
+                         {c: v for c, v in r["scores"]}) for r in about["repetitions"]]
+
+
+def stored_bag(train: DataFrame, flow: Flow, root: str, key: str = KEY) -> list[SearchResult]:
+    """The flow's bag for this very training input: read from ``root`` if it is there, else fitted and written.
+
+    A bag is found by a digest of rows and flow, so other rows, grids, seeds
+    or folds never meet it.  ``root`` is a folder that driver and executors share.
+    """
+    spark = train.sparkSession
+    about = {"input": input_digest(train), "flow": json.loads(json.dumps(asdict(flow)))}
+    path = f"{root.rstrip('/')}/bag-{uuid.uuid5(uuid.NAMESPACE_OID, json.dumps(about, sort_keys=True)).hex}"
+    known = read_manifest(spark, path)
+    if known is None or {k: known[k] for k in about} != about:
+        save_bag(spark, bag_flow(train, flow, key), path, about)
+    return load_bag(spark, path)
 
 
 def score(models: Sequence[Model], df: DataFrame, prefix: str = "score_") -> DataFrame:

@@ -175,6 +175,14 @@ def standin_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add_status_flags(typed)
 
 
+def standin_every_loan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All urgent orders of every customer as loans: accounts with several."""
+    o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    return o.filter(F.col("o_orderpriority") == LOAN_PRIORITY).select(
+        F.col("o_orderkey").alias("loan_id"), F.col("o_custkey").alias("account_id"),
+        parse_yymmdd(format_yymmdd("o_orderdate")).alias("date_"))
+
+
 def standin_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = raw_accounts(spark, sf_dir)
     return r.select(F.col("account_id").cast("bigint"), F.col("district_id").cast("int"),

@@ -76,3 +76,103 @@ def test_bagged_models_score_and_judge_three_populations(spark):
     report = Q._per_population(scored, Q._report).where("class_label = 'accuracy'").collect()
     assert {r.population: r.support for r in report} == {"test": 100, "labelled": 300}
     assert {"bagged_confusion", "bagged_roc", "bagged_report"} <= set(Q.queries())
+
+
+def test_folds_hold_each_class_share(spark):
+    df = _planted(spark, 503).withColumn("label", F.when(F.col("account_id") % 50 == 0, 0.0).otherwise(1.0))
+    got = ML.stratified_folds(df, 5, seed=3)
+    again = ML.stratified_folds(df.repartition(7), 5, seed=3)
+    assert got.columns == [*df.columns, "_fold"] and got.exceptAll(again.select(got.columns)).count() == 0
+    sizes = got.groupBy("label", "_fold").count().toPandas()
+    for _, part in sizes.groupby("label"):
+        assert len(part) == 5 and part["count"].max() - part["count"].min() <= 1
+    assert ML.stratified_folds(df.limit(0), 5, seed=3).count() == 0
+
+
+def _micro_recall(rows, models, C, folds):
+    """Hits of both classes over all rows of a fold, averaged over folds."""
+    out = []
+    for k in range(folds):
+        held = [r for r in rows if r["_fold"] == k]
+        hits = 0
+        for r in held:
+            w = models[(C, k)]
+            z = w.intercept + w.coefficients.dot(r["features"])
+            hits += (1.0 if z >= 0 else 0.0) == r["label"]
+        out.append(hits / len(held))
+    return sum(out) / folds
+
+
+def test_first_flow_searches_on_resampled_rows(spark, monkeypatch):
+    data = ML.assemble(_planted(spark, 240).withColumn("good_status_loan", F.when(F.col("x1") > 0.8, 1).otherwise(0)),
+                       ["x1", "x2"]).cache()
+    seen, sizes, models = [], [], {}
+    real_over, real_fit = ML.oversample, ML.fit_logit
+    monkeypatch.setattr(ML, "oversample", lambda df, *a, **k: seen.append(k["mode"]) or real_over(df, *a, **k))
+
+    def fit(df, C, n=None, **k):
+        m = real_fit(df, C, n, **k)
+        models[(C, len([1 for c, _ in models if c == C]))] = m
+        sizes.append(df.count())
+        return m
+
+    monkeypatch.setattr(ML, "fit_logit", fit)
+    res = ML.grid_search(data, [0.1, 10.0], folds=3, metric="recall_micro", seed=5, resample_in_fold=False,
+                         parallelism=1, oversampling="random")
+    assert seen == ["random"]  # once, before the search
+    counts = {r["label"]: r["count"] for r in data.groupBy("label").count().collect()}
+    full = 2 * max(counts.values())
+    assert sizes[-1] == full and sum(sizes[:3]) == 2 * full  # three folds of three, each without one
+    folds = ML.stratified_folds(real_over(data, "label", "account_id", seed=5, mode="random"), 3, 5 + 7919).collect()
+    for C in (0.1, 10.0):
+        assert abs(res.scores[C] - _micro_recall(folds, models, C, 3)) < 1e-12
+
+
+def test_second_flow_keeps_copies_out_of_held_folds(spark, monkeypatch):
+    data = ML.assemble(_planted(spark, 200), ["x1", "x2"])
+    judged = []
+    monkeypatch.setattr(ML, "_metric", lambda scored, m, run=ML._metric: judged.append(scored.count()) or run(scored, m))
+    ML.grid_search(data, [1.0, 3.0], folds=4, metric="recall", seed=1, parallelism=1)
+    assert len(judged) == 8 and sum(judged) == 2 * 200  # every row once for each C, no copy
+
+
+def test_metrics_by_hand(spark):
+    df = spark.createDataFrame([(1.0, 0.9), (1.0, 0.2), (0.0, 0.7), (0.0, 0.1), (0.0, 0.2)], "label double, p1 double")
+    assert [ML._metric(df, m) for m in ("recall", "recall_micro", "accuracy")] == [0.5, 0.6, 0.6]
+
+
+FLOW = ML.Flow((0.1, 10.0), folds=2, seeds=(0, 105))
+
+
+def test_stored_bag_is_fitted_once_and_scores_alike(spark, tmpdir_path, monkeypatch):
+    data = ML.assemble(_planted(spark, 200), ["x1", "x2"])
+    fits = []
+    monkeypatch.setattr(ML, "bag_flow", lambda *a, run=ML.bag_flow: fits.append(1) or run(*a))
+    first = ML.stored_bag(data, FLOW, tmpdir_path)
+    second = ML.stored_bag(data.repartition(5), FLOW, tmpdir_path)  # same rows in another order
+    assert len(fits) == 1 and len(first) == len(second) == 2
+    fresh = ML.bag(data, FLOW.grid, seeds=FLOW.seeds, folds=2)
+    scores = [sorted(map(tuple, ML.score([f.model for f in b], data).drop("label").collect())) for b in (first, second, fresh)]
+    assert scores[0] == scores[1] == scores[2]
+    assert [(f.best_C, f.scores) for f in second] == [(f.best_C, f.scores) for f in fresh]
+    # other rows, and another flow, have bags of their own
+    ML.stored_bag(data.filter("account_id > 0"), FLOW, tmpdir_path)
+    ML.stored_bag(data, ML.Flow((0.1,), folds=2, seeds=(0,)), tmpdir_path)
+    assert len(fits) == 3
+
+
+def test_a_bag_without_manifest_is_not_read(spark, tmpdir_path):
+    data = ML.assemble(_planted(spark, 100), ["x1", "x2"])
+    with pytest.raises(FileNotFoundError):
+        ML.load_bag(spark, f"{tmpdir_path}/none")
+    fits = ML.bag(data, [1.0], seeds=[0, 1])
+    ML.save_bag(spark, fits, f"{tmpdir_path}/b", {"made": "here"})
+    about = ML.read_manifest(spark, f"{tmpdir_path}/b")
+    assert about["made"] == "here" and [r["best_C"] for r in about["repetitions"]] == [1.0, 1.0]
+
+
+def test_input_digest_sees_rows_not_order(spark):
+    data = ML.assemble(_planted(spark, 50), ["x1", "x2"])
+    a = ML.input_digest(data)
+    assert a == ML.input_digest(data.repartition(3)) != ML.input_digest(data.filter("account_id <> 7"))
+    assert a != ML.input_digest(data.unionByName(data.limit(1)))

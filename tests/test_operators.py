@@ -97,3 +97,65 @@ def test_exact_quantiles_match_numpy_linear(spark):
         arr = np.array([v for i, v in enumerate(vals) if i % 3 == g])
         for p in (0.25, 0.5, 0.95):
             assert abs(got[(g,)][p] - np.quantile(arr, p)) < 1e-12
+
+
+def _loan_rows(spark, n=400):
+    import random
+    from decimal import Decimal
+    rnd = random.Random(8)
+    day = lambda k: f"199{k // 300}-{1 + k % 12:02d}-{1 + k % 28:02d}"
+    rows = [(rnd.choice([1, 1, 1, 2, 3, None]), None if rnd.random() < 0.05 else day(rnd.randrange(2000)),
+             rnd.choice(["credit", "withdrawl", "other", None]), rnd.choice(["cash_credit", "card_withdrawl", "x"]),
+             None if rnd.random() < 0.1 else Decimal(rnd.randrange(-10 ** 14, 10 ** 14)) / 100,
+             rnd.choice(["900.00", "1000.5", "-3", "", "abc", None])) for _ in range(n)]
+    t = spark.createDataFrame([(*r[:1], r[1], *r[2:]) for r in rows],
+                              "account_id int, date_ string, type_ string, operation string, amount decimal(15,2), balance string")
+    loans = [(10 + i, a, d) for i, (a, d) in enumerate([(1, day(700)), (1, day(100)), (1, day(1900)), (1, day(700)), (2, None),
+                                                        (3, "1980-01-01"), (4, day(5))])]
+    l = spark.createDataFrame(loans, "loan_id int, account_id int, date_ string")
+    return t.withColumn("date_", F.to_date("date_")), l.withColumn("date_", F.to_date("date_"))
+
+
+def _rounded(rows):
+    return sorted(([None if v is None else round(float(v), 3) if not isinstance(v, int) else v for v in r] for r in rows), key=repr)
+
+
+def test_day_states_merge_to_both_rollups(spark):
+    from lendscope.operators.cutoff import before_cutoff
+    from lendscope.operators.daystates import day_states, rollup_states, txn_rollup_both
+    from lendscope.operators.rollup import txn_rollup
+    t, loans = _loan_rows(spark)
+    one = loans.filter("loan_id in (10, 14, 15)")
+    for literal in (False, True):
+        want = txn_rollup(t, literal_balance=literal)
+        assert _rounded(rollup_states(day_states(t), literal_balance=literal).collect()) == _rounded(want.collect())
+        both = txn_rollup_both(t, one, literal_balance=literal)
+        assert _rounded(both.select(want.columns).collect()) == _rounded(want.collect())
+        cut = both.select("account_id", *[F.col(f"cut_{c}").alias(c) for c in want.columns[1:]]).where("n_trans is not null")
+        assert _rounded(cut.collect()) == _rounded(txn_rollup(before_cutoff(t, one), literal_balance=literal).collect())
+
+
+def test_asof_rollup_sees_every_loan(spark):
+    from lendscope.operators.daystates import asof_rollup
+    from lendscope.operators.rollup import txn_rollup
+    t, loans = _loan_rows(spark)
+    got = {r["loan_id"]: r for r in asof_rollup(t, loans).collect()}
+    assert sorted(got) == list(range(10, 17))
+    for loan_id, account, date in loans.collect():
+        before = t.where((F.col("account_id") == account) & (F.col("date_") < F.coalesce(F.lit(date), F.to_date(F.lit("1999-12-31")))))
+        want = txn_rollup(before).collect()
+        if want:
+            assert _rounded([got[loan_id][1:][1:]]) == _rounded([want[0][1:]])
+        else:
+            assert all(v is None for v in got[loan_id][2:])
+    assert asof_rollup(t, loans.limit(0)).count() == 0 and asof_rollup(t.limit(0), loans).count() == 7
+
+
+def test_day_states_read_the_transactions_once(spark):
+    from lendscope.checks import queries as Q
+    from conftest import SF_SMALL
+    plan = Q.q_txn_rollup_both(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1
+    with __import__("pytest").raises(TypeError):
+        from lendscope.operators.daystates import day_states
+        day_states(spark.range(3).selectExpr("id as account_id", "current_date() as date_", "1.0D as amount"))
