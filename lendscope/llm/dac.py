@@ -119,8 +119,10 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0, segment_
     spark = docs.sparkSession
     ready(spark)
     parts = shuffle_parts(spark, text_bytes(docs), PART_BYTES)
+    # the text's hash lets the rows of one id (or of none) spread over parts
     ordered = (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-               .repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text"))
+               .repartitionByRange(parts, "doc_id", F.xxhash64("text"))
+               .sortWithinPartitions("doc_id", F.xxhash64("text"), "text"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -137,11 +139,11 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0, segment_
                                               names=[c.split()[0] for c in SEGMENT.split(", ")])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, own in zip(batch.column(0).to_pylist(), enc.stream(batch.column(1).to_pylist())):
                 if held >= segment_tokens:
                     yield segment()
                     seq, first, held, ids, docs_ = seq + 1, first + held, 0, [], []
-                ids.append(enc.encode([text])[0] + end)
+                ids.append(own + end)
                 docs_.append(NULL_ID if doc is None else doc)
                 held += len(ids[-1]) // 4
         if ids:

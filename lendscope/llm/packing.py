@@ -46,7 +46,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, shards: int, end_id:
         enc, end, turn = encoder(vocabulary), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         for batch in batches:
             rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1).to_pylist())):
+            for doc, ids in zip(batch.column(0).to_pylist(), enc.stream(batch.column(1).to_pylist())):
                 ids += end
                 for k in range(0, len(ids), 4 * capacity):
                     part = ids[k:k + 4 * capacity]

@@ -1,95 +1,133 @@
-"""Token ids of whole texts by the ``tokenizers`` library, with a memo of words.
+"""Token ids of whole texts by the ``tokenizers`` library, with memos of words and of their parts.
 
 Both public vocabularies cut a text at a single space between two visible characters before they merge, so the ids
-of a text are the ids of its pieces in order.  Each distinct piece is encoded once per worker and kept; a text with
-other white space next to a space is encoded whole.  The memo is bounded: when full it starts anew.
+of a text are the ids of its words in order.  A word of plain characters (printable ASCII, line feeds, Latin-1 letters)
+is cut into the parts that the vocabulary's own pattern gives, and each part goes to the library's merge model, which
+works on one part at a time; normalising such a word is lower-casing letter by letter, so parts are independent.  Any other
+word is encoded by the library as it stands, and a text in which white space meets a space is encoded whole.
+
+Memos hold a bounded number of short entries, in two generations: when the young one is full it becomes the old one, and
+what is used again moves on, so frequent words stay.  Words over ``LONG`` characters are not kept.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-MEMO = 1_200_000
+WORDS, PARTS, LONG = 250_000, 300_000, 200
+CHUNK = 1 << 20
+# The letters below, and the patterns of the two vocabularies for them.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PLAIN = re.compile(f"[!-~\\n{_LETTERS}]+")
+_WORD_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s0-9{_LETTERS}]+")
+_BYTE_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s0-9{_LETTERS}]+|\\s+(?!\\S)|\\s+")
+_SPECIAL = "<|"
+
+
+def _byte_names() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: itself if visible, else the next one from 256."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_NAMES = _byte_names()
 
 
 class Encoder:
-    def __init__(self, path: str, memo: int = MEMO):
+    def __init__(self, path: str, words: int = WORDS, parts: int = PARTS):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        pre = self.tok.pre_tokenizer
-        self.byte_level = type(pre).__name__ == "ByteLevel"  # white space is part of the next word's ids
-        self.limit = memo
-        self.memo: dict[str, bytes | None] = {}
+        self.model = self.tok.model
+        self.byte_level = type(self.tok.pre_tokenizer).__name__ == "ByteLevel"  # white space is part of the next word's ids
+        self.limits = words, parts
+        # ids of words (None: white space touches it) and of parts; the young and the old generation
+        self.words: tuple[dict[str, bytes | None], dict[str, bytes | None]] = {}, {}
+        self.parts: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _pieces(self, text: str) -> list[str]:
-        if self.byte_level:
-            head, *rest = text.split(" ")
-            return ["\0" + head, *rest]  # the first word has no space before it
-        return text.replace("\n", " ").split(" ")
-
-    def _plain(self, piece: str) -> str:
-        if not self.byte_level:
-            return piece
-        return piece[1:] if piece[:1] == "\0" else " " + piece
-
-    def _learn(self, new: set[str]) -> None:
-        if len(self.memo) + len(new) > self.limit:
-            self.memo.clear()
-        core, split = set(), {}
-        for p in new:
-            body = p.lstrip("\0") if self.byte_level else p
-            if not body or "\0" in body or body[0].isspace() or body[-1].isspace():
-                # an empty piece adds nothing where white space is dropped; else the text is encoded whole
-                self.memo[p] = b"" if not body and (not self.byte_level or p == "\0") else None
-                continue
-            stem = p.rstrip(".,")
-            if stem != p and stem and stem[-1].isalnum():
-                split[p] = (stem, "\0" + p[len(stem):] if self.byte_level else p[len(stem):])
-                core.update(split[p])
-            else:
-                core.add(p)
-        todo = [p for p in core if p not in self.memo]
-        folded = {p: p.lower() if not self.byte_level and p.isascii() else p for p in todo}
-        ask = [p for p in dict.fromkeys(folded.values()) if p not in self.memo]
-        for p, e in zip(ask, self.tok.encode_batch_fast([self._plain(p) for p in ask], add_special_tokens=False)):
-            self.memo[p] = np.array(e.ids, "<u4").tobytes()
-        for p, q in folded.items():
-            self.memo[p] = self.memo[q]
-        for p, (stem, tail) in split.items():
-            self.memo[p] = self.memo[stem] + self.memo[tail]
+    def _cut(self, text: str) -> bytes:
+        """Ids of a plain word (byte-level: with the space before it), part by part."""
+        out, (young, old) = [], self.parts
+        for p in _BYTE_LEVEL.findall(text) if self.byte_level else _WORD_LEVEL.findall(text.lower()):
+            ids = young.get(p)
+            if ids is None:
+                ids = old.get(p)
+                if ids is None:
+                    named = p.encode().decode("latin-1").translate(_NAMES)
+                    ids = array("I", [t.id for t in self.model.tokenize(named)]).tobytes()
+                if len(p) <= LONG:
+                    if len(young) >= self.limits[1]:
+                        self.parts = young, old = {}, young
+                    young[p] = ids
+            out.append(ids)
+        return out[0] if len(out) == 1 else b"".join(out)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        for text in texts:
+    def _word(self, word: str, space: str) -> bytes | None:
+        if not word:
+            return None if self.byte_level else b""
+        if self.byte_level and (word[0].isspace() or word[-1].isspace()):
+            return None
+        if _PLAIN.fullmatch(word) and _SPECIAL not in word:
+            return self._cut(space + word)
+        return self.whole(space + word)
+
+    def _learn(self, words: set[str]) -> list[str]:
+        """Let the young generation know all of these; those too long to keep are returned."""
+        new, space = words.difference(self.words[0]), " " if self.byte_level else ""
+        if len(self.words[0]) + len(new) > self.limits[0]:
+            self.words = {}, self.words[0]
+            new = words
+        young, old = self.words
+        for w in new:
+            young[w] = old[w] if w in old else self._word(w, space)
+        return [w for w in new if len(w) > LONG]
+
+    def _together(self, texts: list[str]) -> list[bytes]:
+        if self.byte_level:
+            cut = [t.split(" ") for t in texts]
+            heads = [self._word(c.pop(0), "") for c in cut]  # the first word has no space before it
+        else:
+            cut, heads = [t.replace("\n", " ").split(" ") for t in texts], [b""] * len(texts)
+        long = self._learn(set().union(*cut))
+        known, out = self.words[0].__getitem__, []
+        for text, head, words in zip(texts, heads, cut):
             if not text:
                 out.append(b"")
                 continue
-            pieces = self._pieces(text)
-            for _ in range(2):
-                try:
-                    out.append(b"".join(map(self.memo.__getitem__, pieces)))
-                    break
-                except KeyError:
-                    new = {p for p in pieces if p not in self.memo}
-                    if len(self.memo) + len(new) > self.limit:
-                        new = set(pieces)  # the memo is about to be emptied
-                    self._learn(new)
-                except TypeError:
-                    out.append(self.whole(text))
-                    break
-            else:
+            try:
+                out.append(head + b"".join(map(known, words)))
+            except TypeError:
                 out.append(self.whole(text))
+        for w in long:
+            del self.words[0][w]
         return out
 
+    def stream(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers, some megabytes of text at a time."""
+        held, size = [], 0
+        for t in texts:
+            held.append(t or "")
+            size += len(held[-1])
+            if size >= CHUNK:
+                yield from self._together(held)
+                held, size = [], 0
+        if held:
+            yield from self._together(held)
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        return list(self.stream(texts))
+
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:

@@ -13,11 +13,35 @@ TEXTS = ["", None, " ", "a  b", "It's the end.\nOf, the line...", " lead", "trai
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_memo_equals_whole_encoding(name):
-    enc = Encoder(registry.vocabulary(name), memo=50)
+    enc = Encoder(registry.vocabulary(name), words=50, parts=20)
     for _ in range(2):
         assert enc.encode(TEXTS) == [enc.whole(t or "") for t in TEXTS]
 
 
+# letters whose lower case is longer, marks that combine, white space of all kinds, control characters, special strings
+ODD = ["İ", "ß", "ẞ", "Å", "Å", "ſ", "ﬁ", "µ", "ª", "²", "é", "É", "e\u0301", "\u0301", "\u0307", "Σ", "ς", "ŉ", "語", "😀", "한", "\u200b",
+       "\0", "\x1c", "\x85", "\u2028", "\u3000", "\xa0", "\t", "\r", "\n", "\n\n", " ", " ", " ", "  ", ".", ",", "'s", "'S", "'ll", "'",
+       '"', "!", "$$", "0", "12", "٣", "a", "B", "word", "The", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "×", "÷", "ÿ", "Ÿ"]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_odd_strings_equal_whole_encodings(name):
+    rng = np.random.default_rng(11)
+    enc = Encoder(registry.vocabulary(name), words=5000, parts=2000)
+    size = rng.integers(1, 12, 100_000)
+    pick = rng.integers(0, len(ODD), int(size.sum()))
+    texts, at = [], 0
+    for n in size.tolist():
+        texts.append("".join(ODD[i] for i in pick[at:at + n]))
+        at += n
+    texts += ["İ,.", "K \0", "a" * 100_000, ". " * 5000, "x" * 300 + " y", " ".join("é" * k for k in range(250))]
+    whole = [np.array(e.ids, "<u4").tobytes() for e in enc.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    got = enc.encode(texts)
+    wrong = [t for t, g, w in zip(texts, got, whole) if g != w]
+    assert not wrong, wrong[:5]
+    assert sum(len(m) for m in enc.parts) <= 4000 and not any(len(w) > 200 for m in enc.words for w in m)
+
+
 def frame(spark, texts, ids=None):
     ids = range(len(texts)) if ids is None else ids
     return spark.createDataFrame([(i, t, "x") for i, t in zip(ids, texts)], "doc_id long, text string, piece string")
