@@ -11,10 +11,12 @@ necessary shingle is enough to find it, and the rarest in the corpus is the chea
 3. Offsets at which no whole window lies inside the document are dropped (length and position bounds).
 4. The rest is verified word by word, window by window, against the whole document.
 
-At scale: one pass of the texts with a hash join to a broadcast table (only if the benchmark has at most
-``BROADCAST_ROWS`` distinct shingles, else a shuffled join), the matches stored in the shared folder, then one shuffle
-of the texts by ``doc_id`` to meet their candidates.  Work per document is bound by its own length times the items
-that truly share its rarest words; nothing is collected, no pair of documents is ever formed.
+At scale: words are cut from every text once, in one pass that keeps a row for each document (its number of words) and
+the shingles found in a broadcast table (only if the benchmark has at most ``BROADCAST_ROWS`` distinct shingles, else by a
+shuffled join), stored in the shared folder.  Only documents with candidates are read again; their keys are broadcast
+under the same bound, else joined by a shuffle.  A document meets an item's words once, with all offsets, and work on it is
+bound by its own length times the items that truly share its rarest words; nothing is collected, no pair of documents is
+ever formed.  A row is known by its id and two independent 64-bit hashes of its text.
 
 Null or empty text: no words, not contaminated.  An item without words (or null) never occurs.  Null ``doc_id``: a
 document of its own.  Rows that repeat a ``doc_id`` are judged one by one.  Items that repeat an ``item_id`` are
@@ -23,8 +25,6 @@ one item with the windows of all its texts; a null ``item_id`` is the empty stri
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,28 +67,87 @@ def item_windows(items: DataFrame, window: int, k: int) -> DataFrame:
     return own.select("key", "len", "shingle", "at", F.explode(F.sequence(first, last)).alias("start"))
 
 
-def candidates(docs: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame:
-    """(doc, key, diagonal): where a window of the item can lie in the document."""
-    wins = stored(item_windows(items, window, k), "decontam-windows")
+def small(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``BROADCAST_ROWS`` rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+KEY = ["doc_id", "d1", "d2"]
+
+
+def same_key(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["d1"] == b["d1"]) & (a["d2"] == b["d2"])
+
+
+def matches(docs: DataFrame, wins: DataFrame) -> DataFrame:
+    """One row for each document (``pos`` -1, with ``n_words``) and one for each of its shingles that the windows have."""
     bench = wins.select("shingle", "len").distinct()
-    sizes = [r["len"] for r in bench.select("len").distinct().collect()]  # at most k values
-    if not sizes:
-        return wins.select(F.lit(0).cast("long").alias("doc"), "key", F.col("at").alias("diagonal")).where("false")
-    own = docs.select("doc", words(F.col("text")).alias("w"))
-    small = bench.select("shingle").distinct()
-    if small.count() <= BROADCAST_ROWS:
-        small = F.broadcast(small)
-    exploded = reduce(DataFrame.unionByName, [
-        own.select("doc", F.posexplode(shingles(F.col("w"), n)).alias("pos", "shingle")) for n in sorted(sizes)])
-    found = stored(exploded.join(small, "shingle"), "decontam-matches")
+    sizes = sorted(r["len"] for r in bench.select("len").distinct().collect())  # at most k values
+    cut = docs.select(*KEY, words(F.col("text")).alias("w"))
+    # element 0 stands for the document; its own hash keeps it from being a hot key where the join is shuffled
+    every = cut.select(*KEY, F.size("w").cast("long").alias("n_words"),
+                       F.concat(F.array("d1"), *[shingles(F.col("w"), n) for n in sizes]).alias("every"))
+    # outer, though never empty: Spark would put a filter on the array's size below the extraction and cut all words anew
+    # for every shingle that the filter counts
+    rows = every.select(*KEY, "n_words", F.posexplode_outer("every").alias("i", "shingle"))
+    known = small(bench.select("shingle").distinct().withColumn("known", F.lit(True)))
+    pos, start = F.lit(-1).cast("long"), F.lit(1).cast("long")
+    for n in sizes:  # the shingles of each size follow each other
+        pos = F.when(F.col("i") >= start, F.col("i") - start).otherwise(pos)
+        start = start + F.greatest(F.col("n_words") - (n - 1), F.lit(0).cast("long"))
+    return rows.join(known, "shingle", "left").where((F.col("i") == 0) | F.col("known")).select(
+        *KEY, "n_words", pos.cast("long").alias("pos"), "shingle")
+
+
+def candidates(found: DataFrame, wins: DataFrame) -> DataFrame:
+    """doc key, item key, diagonals: where windows of the item can lie in the document."""
+    found = found.where("pos >= 0")
     rarity = found.groupBy("shingle").count()
     # a window whose shingles do not all occur somewhere cannot occur: its rarest one has no row here
-    prefix = (wins.join(rarity, "shingle", "left").groupBy("key", "start")
-              .agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "shingle", "at")).alias("p"))
-              .where("p.count > 0").select("key", "p.shingle", "p.at").distinct())
-    if prefix.count() <= BROADCAST_ROWS:
-        prefix = F.broadcast(prefix)
-    return found.join(prefix, "shingle").select("doc", "key", (F.col("pos") - F.col("at")).alias("diagonal")).distinct()
+    prefix = small(wins.join(rarity, "shingle", "left").groupBy("key", "start")
+                   .agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "shingle", "at")).alias("p"))
+                   .where("p.count > 0").select("key", "p.shingle", "p.at").distinct())
+    return found.join(prefix, "shingle").groupBy(*KEY, "key").agg(F.collect_set(F.col("pos") - F.col("at")).alias("diagonals"))
+
+
+def verified(rows: DataFrame, window: int) -> DataFrame:
+    """Document key, ``n_hit`` and ``names`` of documents (``text``) beside their candidate items (``beside``)."""
+    w, n = F.col("w"), F.size("w")
+
+    def at_offset(c: Column, d: Column) -> Column:
+        """Word by word: a 1 for each item word that equals the document's at this offset, over their overlap."""
+        first = F.greatest(F.lit(0).cast("long"), -d)
+        over = F.greatest(F.least(F.size(c["iw"]).cast("long"), n - d) - first, F.lit(0).cast("long"))
+        # element by element: a slice would copy the whole document's array for every offset
+        same = F.when(over > 0, F.transform(
+            F.sequence(F.lit(0).cast("long"), F.greatest(over - 1, F.lit(0).cast("long"))),
+            lambda j: F.when(F.element_at(w, (first + d + j + 1).cast("int"))
+                             == F.element_at(c["iw"], (first + j + 1).cast("int")), "1").otherwise("0"))
+        ).otherwise(F.array().cast("array<string>"))
+        return F.struct((first + d).alias("at"), over.alias("over"), F.array_join(same, "").alias("same"))
+
+    def starts(c: Column, x: Column) -> Column:
+        """Document positions where a whole window stands, times ``window + 1``, plus the window's size."""
+        size = F.least(F.lit(window), F.size(c["iw"]))
+        hits = F.filter(F.sequence(F.lit(0).cast("long"), F.greatest(x["over"] - size, F.lit(0).cast("long"))),
+                        lambda s: F.substring(x["same"], (s + 1).cast("int"), size) == F.repeat(F.lit("1"), size))
+        code = F.transform(hits, lambda s: (x["at"] + s) * (window + 1) + size)
+        return F.when(x["over"] >= size, code).otherwise(F.array().cast("array<bigint>"))
+
+    over = F.transform("beside", lambda c: F.struct(
+        c["item"].alias("item"), c["iw"].alias("iw"),
+        F.transform(c["diagonals"], lambda d: at_offset(c, d)).alias("offsets")))
+    found = F.transform("over", lambda c: F.struct(
+        c["item"].alias("item"), F.flatten(F.transform(c["offsets"], lambda x: starts(c, x))).alias("starts")))
+    hit = F.filter("found", lambda c: F.size(c["starts"]) > 0)
+    # a window's place counts once, however many items stand there
+    places = F.array_distinct(F.flatten(F.transform("hit", lambda c: c["starts"])))
+    covered = F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(
+        F.floor(p / (window + 1)), F.floor(p / (window + 1)) + p % (window + 1) - 1))))
+    return (rows.select(*KEY, "beside", words(F.col("text")).alias("w")).withColumn("over", over).drop("beside", "w")
+            .withColumn("found", found).drop("over").withColumn("hit", hit)
+            .select(*KEY, F.size(covered).cast("long").alias("n_hit"),
+                    F.array_sort(F.array_distinct(F.transform("hit", lambda c: c["item"]))).alias("names")))
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = SHINGLE) -> DataFrame:
@@ -96,38 +155,22 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     items = (benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
                               words(F.col("text")).alias("iw"))
              .where(F.size("iw") > 0).distinct().withColumn("key", F.xxhash64("item", "iw")))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-                            F.xxhash64("doc_id", "text").alias("doc"))
-    near = candidates(docs, items, window, k).join(items, "key")
-    beside = near.groupBy("doc").agg(F.collect_list(F.struct("item", "diagonal", "iw")).alias("beside"))
-
-    w, n = F.col("w"), F.col("n_words")
-
-    def hits(c: Column) -> Column:
-        """Starts of the item's windows that stand in the document at this offset."""
-        size = F.least(F.lit(window), F.size(c["iw"]))
-        first = F.greatest(F.lit(0), -c["diagonal"])
-        last = F.least(F.size(c["iw"]), n - c["diagonal"]) - size
-        return F.when(first <= last, F.filter(
-            F.sequence(first, F.greatest(first, last)),
-            lambda s: F.slice(w, s + c["diagonal"] + 1, size) == F.slice(c["iw"], s + 1, size)).cast("array<int>")
-        ).otherwise(F.array().cast("array<int>"))
-
-    found = F.filter(F.transform("beside", lambda c: F.struct(
-        c["item"].alias("item"), c["diagonal"].alias("diagonal"),
-        F.least(F.lit(window), F.size(c["iw"])).alias("size"), hits(c).alias("starts"))),
-        lambda c: F.size(c["starts"]) > 0)
-    covered = F.array_distinct(F.flatten(F.transform("found", lambda c: F.flatten(F.transform(
-        c["starts"], lambda s: F.sequence(s + c["diagonal"], s + c["diagonal"] + c["size"] - 1))))))
-    names = F.array_sort(F.array_distinct(F.transform("found", lambda c: c["item"])))
-    out = (docs.join(beside, "doc", "left")
-           .select("doc_id", "beside", words(F.col("text")).alias("w"))
-           .withColumn("n_words", F.size("w").cast("long"))
-           .withColumn("found", F.when(F.col("beside").isNotNull(), found))
-           .withColumn("n_hit", F.coalesce(F.size(covered).cast("long"), F.lit(0)))
-           .withColumn("names", names))
-    out = out.select("doc_id", "n_words", F.when(F.col("found").isNull(), 0).otherwise(F.col("n_hit")).cast("long")
-                     .alias("n_hit"), F.coalesce("names", F.array().cast("array<string>")).alias("names"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumns({"d1": F.xxhash64("doc_id", "text"), "d2": F.xxhash64(F.lit(window), F.col("text"))})
+    wins = stored(item_windows(items, window, k), "decontam-windows")
+    found = stored(matches(docs, wins), "decontam-matches")
+    near = candidates(found, wins).join(items, "key")
+    beside = stored(near.groupBy(*KEY).agg(F.collect_list(F.struct("item", "diagonals", "iw")).alias("beside")),
+                    "decontam-beside")
+    asked = small(beside.select(*KEY))
+    again = docs.join(asked, same_key(docs, asked), "left_semi")
+    rows = again.join(beside, same_key(again, beside)).select(*[again[c] for c in KEY], "text", "beside")
+    # rows that repeat id and text have one verdict
+    verdict = verified(rows, window).dropDuplicates(KEY)
+    every = found.where("pos = -1").select(*KEY, "n_words")
+    out = every.join(verdict, same_key(every, verdict), "left").select(
+        every["doc_id"], "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce("names", F.array().cast("array<string>")).alias("names"))
     return out.select(
         "doc_id", "n_words", "n_hit", F.size("names").cast("long").alias("n_items"),
         F.sha2(F.array_join("names", ",").cast("binary"), 256).alias("items_sha256"),

@@ -148,6 +148,22 @@ def test_decontamination_against_brute_force(spark):
     assert decontam.decontaminate(docs.where("doc_id = -5"), bench).count() == 0
 
 
+def test_decontamination_of_repeats_ties_and_long_texts(spark):
+    item = " ".join(f"v{i}" for i in range(20))
+    same = "same " * 6000
+    rows = [(1, item), (1, item), (1, "other text"), (None, item), (None, None), (2, same), (3, f"x {item} " + "pad " * 30_000),
+            (4, "é" * 200_000), (5, item.upper())]
+    docs = spark.createDataFrame([(i, t, 7, "w", True) for i, t in rows],
+                                 "doc_id long, text string, n_words int, key string, contaminated boolean").repartition(4)
+    bench = spark.createDataFrame([("a", item, "z"), ("a", item, "z"), ("b", "same " * 200, "z"), (None, "pad pad", "z")],
+                                  "item_id string, text string, doc string")
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_words, r.n_hit, r.n_items, r.contaminated)
+                 for r in decontam.decontaminate(docs, bench).collect())
+    assert got == sorted([(True, 1, 20, 20, 1, True)] * 2 + [(True, 1, 2, 0, 0, False), (False, 0, 20, 20, 1, True),
+                         (False, 0, 0, 0, 0, False), (True, 2, 6000, 6000, 1, True), (True, 3, 30_021, 30_020, 2, True),
+                         (True, 4, 1, 0, 0, False), (True, 5, 20, 20, 1, True)])
+
+
 def test_rules_counts_and_accuracy(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     odd = spark.createDataFrame([(-1, None, None, None, None), (-2, "", "", "", 0), (-3, "a b c d e a b c d e f " * 3, "", "", 0),
@@ -175,4 +191,4 @@ def test_queries_are_registered():
     names = defaultdict(list)
     for k in registry.queries():
         names[int(k[2:].split("_")[0])].append(k)
-    assert sorted(names) == list(range(1, 11)) and all(len(v) == 1 for v in names.values())
+    assert sorted(names) == list(range(1, 14)) and all(len(v) == 1 for v in names.values())
