@@ -33,7 +33,7 @@ def _balance_sql(literal: bool = False) -> str:
       {lo} AS min_balance, {hi} AS max_balance, count_if({b} < 0) AS n_neg_balance"""
 
 
-def txn_rollup_sql(src: str) -> str:
+def txn_rollup_sql(src: str, literal: bool = False) -> str:
     cr = "CASE WHEN type_ = 'credit' THEN amount END"
     wd = "CASE WHEN type_ = 'withdrawl' THEN amount END"
     ops = [("n_cash_deposit", "cash_credit"), ("n_bank_collection", "bank_collection"),
@@ -53,7 +53,7 @@ def txn_rollup_sql(src: str) -> str:
       {op_sql},
       CAST(sum({cr}) AS DECIMAL(25,2)) AS total_credits_amount,
       CAST(sum({wd}) AS DECIMAL(25,2)) AS total_withdrawls_amount,
-      {_balance_sql()}
+      {_balance_sql(literal)}
     FROM {src} GROUP BY account_id"""
 
 
@@ -160,6 +160,9 @@ MART_CTES = ",".join([
     f"\n    trans_before_account AS ({txn_rollup_sql('trans_before')})",
     f"\n    cards_account AS ({card_rollup_sql('cards_linked')})",
     f"\n    cards_before_account AS ({card_rollup_sql('cards_before')})",
+    f"\n    client_account_literal AS ({pair_sql(literal=True)})",
+    f"\n    trans_account_literal AS ({txn_rollup_sql('trans', literal=True)})",
+    f"\n    cards_account_literal AS ({card_rollup_sql('cards_linked', per_type=True)})",
 ])
 
 
@@ -167,10 +170,13 @@ def qm(select_sql: str) -> str:
     return with_standins(select_sql, EXTRA + "," + MART_CTES)
 
 
-def mart_sql(root: str = "accounts", cutoff: bool = True) -> str:
+def mart_sql(root: str = "accounts", cutoff: bool = True, literal: bool = False) -> str:
     tenure = root == "accounts"
     trans = "trans_before_account" if cutoff else "trans_account"
     cards = "cards_before_account" if cutoff else "cards_account"
+    pairs, counted = "client_account", "ca.n_clients, "
+    if literal:
+        trans, cards, pairs, counted = "trans_account_literal", "cards_account_literal", "client_account_literal", ""
     key = "a.account_id" if root == "accounts" else "l.account_id"
     frm = ("accounts a LEFT JOIN loans l ON l.account_id = a.account_id" if root == "accounts"
            else "loans l LEFT JOIN accounts a ON a.account_id = l.account_id")
@@ -185,12 +191,12 @@ def mart_sql(root: str = "accounts", cutoff: bool = True) -> str:
       {days}
       ca.client_district_id, ca.birth_date AS bday_client,
       {age}
-      ca.sex AS sex_client, ca.n_clients, ca.user_client_id, ca.user_district_id,
+      ca.sex AS sex_client, {counted}ca.user_client_id, ca.user_district_id,
       ca.user_bday, ca.user_sex,
       o.* EXCLUDE (account_id), t.* EXCLUDE (account_id), c.* EXCLUDE (account_id),
       d.district_id AS district_id_demo, d.district_name, d.region, d.n_inhab, d.n_cities
     FROM {frm}
-    LEFT JOIN client_account ca ON ca.account_id = {key}
+    LEFT JOIN {pairs} ca ON ca.account_id = {key}
     LEFT JOIN orders_account o ON o.account_id = {key}
     LEFT JOIN {trans} t ON t.account_id = {key}
     LEFT JOIN {cards} c ON c.account_id = {key}
@@ -228,6 +234,13 @@ def more_oracles() -> dict[str, str]:
               CAST(o_orderkey % 3 = 0 AS INTEGER) AS _rejects FROM orders""",
         "conform_bad_numbers": """SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 5 = 4 THEN o_orderkey + 1 ELSE 0 END
               AS INTEGER) AS n, CAST(o_orderkey % 5 < 3 AS INTEGER) AS _rejects FROM orders""",
+        "conform_float32": """SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(CAST(CAST(
+              CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR) AS FLOAT) AS DOUBLE) END AS amount,
+              CAST(o_orderkey % 7 = 0 AS INTEGER) AS _rejects FROM orders""",
+        "conform_char": """SELECT o_orderkey, rtrim(substr(o_orderpriority, 1, 8)) AS fixed, o_orderstatus AS padded,
+              substr(o_orderpriority, 1, 5) AS varying,
+              CAST(length(o_orderpriority) > 8 AS INTEGER) + CAST(length(o_orderpriority) > 5 AS INTEGER) AS _rejects
+            FROM orders""",
         "birth_parse_bad": """SELECT o_orderkey, CASE k WHEN 0 THEN '' WHEN 3 THEN '70ab13'
                 ELSE strftime(dt, '%y') || lpad(CAST(month(dt) + CASE WHEN woman THEN 50 ELSE 0 END AS VARCHAR), 2, '0')
                   || strftime(dt, '%d') END AS birth_number,
@@ -252,6 +265,9 @@ def more_oracles() -> dict[str, str]:
         "mart_loans": qm(mart_sql("loans", cutoff=False)),
         "mart_accounts": qm(mart_sql("accounts", cutoff=False)),
         "mart_cutoff": qm(mart_sql("accounts", cutoff=True)),
+        "mart_accounts_literal": qm(mart_sql("accounts", cutoff=False, literal=True)),
+        "mart_loans_literal": qm(mart_sql("loans", cutoff=False, literal=True)),
+        "mart_bucketed": qm(mart_sql("accounts", cutoff=True)),
         "mart_sorted": qm(mart_sql("accounts", cutoff=True) + " ORDER BY 1"),
         "mart_head": qm(mart_sql("accounts", cutoff=True) + " ORDER BY 1 LIMIT 5"),
         "mart_roundtrip": qm(mart_sql("accounts", cutoff=True)),
@@ -266,6 +282,11 @@ def more_oracles() -> dict[str, str]:
               CAST(datediff('day', ca.birth_date, l.date_) / 365 AS DECIMAL(12,4)) AS age_at_loan
             FROM accounts a LEFT JOIN loans l ON l.account_id = a.account_id
             LEFT JOIN client_account ca ON ca.account_id = a.account_id"""),
+        "tenure_age_pool": qm("""SELECT a.account_id,
+              CAST(datediff('day', a.date_, coalesce(l.date_, DATE '1999-01-01')) AS INTEGER) AS days_with_bank,
+              CAST(datediff('day', ca.birth_date, coalesce(l.date_, DATE '1999-01-01')) / 365 AS DECIMAL(12,4)) AS age_at_loan
+            FROM accounts a LEFT JOIN loans l ON l.account_id = a.account_id
+            LEFT JOIN client_account ca ON ca.account_id = a.account_id"""),
     }
 
 

@@ -7,6 +7,7 @@ library's operators over them whole.  Population deviations are rounded to
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -120,6 +121,7 @@ from lendscope.operators.audit import match_audit  # noqa: E402
 from lendscope.operators.dedup import dedup_first  # noqa: E402
 from lendscope.operators.entities import link_clients, pair_roles, role_filter  # noqa: E402
 from lendscope.plans import mart as M  # noqa: E402
+from lendscope.sources.bucketed import load_bucketed, mart_bucketed, save_bucketed  # noqa: E402
 from lendscope.sources.marts import load_mart, profile, save  # noqa: E402
 from lendscope.session import scratch_path  # noqa: E402
 
@@ -200,6 +202,22 @@ def q_conform_bad_numbers(spark, d):
     return conform(raw, {"o_orderkey": "bigint", "n": "int"})
 
 
+def q_conform_float32(spark, d):
+    """Order totals as text, kept in single precision; every seventh is no number."""
+    o = S.read_table(spark, d, "orders", "o_orderkey", "o_totalprice")
+    text = F.col("o_totalprice").cast("decimal(15,2)").cast("string")
+    raw = o.select("o_orderkey", F.when(F.col("o_orderkey") % 7 == 0, "n/a").otherwise(text).alias("amount"))
+    return conform(raw, {"amount": "float32"})
+
+
+def q_conform_char(spark, d):
+    """Text cut to the lengths of the source's fixed and variable character types."""
+    o = S.read_table(spark, d, "orders", "o_orderkey", "o_orderpriority", "o_orderstatus")
+    raw = o.select("o_orderkey", F.col("o_orderpriority").alias("fixed"),
+                   F.concat("o_orderstatus", F.lit("      ")).alias("padded"), F.col("o_orderpriority").alias("varying"))
+    return conform(raw, {"fixed": "char(8)", "padded": "char(3)", "varying": "varchar(5)"})
+
+
 def q_birth_parse_bad(spark, d):
     """Birth numbers of all orders, every third one empty or malformed."""
     o = S.read_table(spark, d, "orders", "o_orderkey", "o_orderdate")
@@ -274,6 +292,21 @@ def q_mart_cutoff(spark, d):
     return finish(M.mart_cutoff(_tables(spark, d)))
 
 
+def q_mart_accounts_literal(spark, d):
+    return finish(M.mart_accounts(_tables(spark, d), literal=True))
+
+
+def q_mart_loans_literal(spark, d):
+    return finish(M.mart_loans(_tables(spark, d), literal=True))
+
+
+def q_mart_bucketed(spark, d):
+    """The cutoff mart over tables written bucketed by account."""
+    name = f"lendscope_{uuid.uuid4().hex[:12]}"
+    save_bucketed(_tables(spark, d), scratch_path(spark, "bucketed"), name, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return finish(mart_bucketed(load_bucketed(spark, name)))
+
+
 def q_mart_sorted(spark, d):
     return q_mart_cutoff(spark, d).orderBy("account_id")
 
@@ -303,6 +336,10 @@ def q_tenure_age(spark, d):
     return M.tenure_age(t)
 
 
+def q_tenure_age_pool(spark, d):
+    return M.tenure_age(_tables(spark, d), pool_date="1999-01-01")
+
+
 def _entity_queries() -> dict[str, Query]:
     return {
         "birth_parse": q_birth_parse,
@@ -317,6 +354,8 @@ def _entity_queries() -> dict[str, Query]:
         "conform_lenient": q_conform_lenient,
         "conform_large_ids": q_conform_large_ids,
         "conform_bad_numbers": q_conform_bad_numbers,
+        "conform_float32": q_conform_float32,
+        "conform_char": q_conform_char,
         "birth_parse_bad": q_birth_parse_bad,
         "recode_trans_symbol": q_recode_trans_symbol,
         "account_zeros": q_account_zeros,
@@ -328,12 +367,16 @@ def _entity_queries() -> dict[str, Query]:
         "mart_loans": q_mart_loans,
         "mart_accounts": q_mart_accounts,
         "mart_cutoff": q_mart_cutoff,
+        "mart_accounts_literal": q_mart_accounts_literal,
+        "mart_loans_literal": q_mart_loans_literal,
+        "mart_bucketed": q_mart_bucketed,
         "mart_sorted": q_mart_sorted,
         "mart_head": q_mart_head,
         "mart_roundtrip": q_mart_roundtrip,
         "mart_shape": q_mart_shape,
         "district_match": q_district_match,
         "tenure_age": q_tenure_age,
+        "tenure_age_pool": q_tenure_age_pool,
     }
 
 

@@ -15,7 +15,7 @@ from lendscope.functions.dates import NO_LOAN_CUTOFF, date_literal
 
 def before_cutoff(events: DataFrame, cutoffs: DataFrame, key: str = "account_id",
                   ts: str = "date_", cut: str = "date_",
-                  default: str = NO_LOAN_CUTOFF) -> DataFrame:
+                  default: str = NO_LOAN_CUTOFF, colocated: bool = False) -> DataFrame:
     """Rows of ``events`` with ``ts < coalesce(cutoff(key), default)``.
 
     A left equi-join on ``key`` followed by a filter; the coalesce keeps the
@@ -28,13 +28,13 @@ def before_cutoff(events: DataFrame, cutoffs: DataFrame, key: str = "account_id"
     join's tasks, which adaptive execution may then split for a hot key, and
     only partial aggregates are shuffled.  (With the plain key the rollup
     would run in the join's tasks, unsplit, on all rows of the key.)
+    ``colocated`` keeps the plain key, for inputs that are stored bucketed by
+    it: then neither join nor rollup moves a row.
     """
     c = cutoffs.select(F.col(key), F.col(cut).alias("_cutoff"))
     limit = F.coalesce(F.col("_cutoff"), date_literal(default))
-    return (events.join(c, on=key, how="left")
-                  .filter(F.col(ts) < limit)
-                  .drop("_cutoff")
-                  .withColumn(key, F.array_max(F.array(F.col(key)))))
+    kept = events.join(c, on=key, how="left").filter(F.col(ts) < limit).drop("_cutoff")
+    return kept if colocated else kept.withColumn(key, F.array_max(F.array(F.col(key))))
 
 
 def assert_one_cutoff(cutoffs: DataFrame, key: str = "account_id") -> None:

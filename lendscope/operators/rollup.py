@@ -167,19 +167,37 @@ def balance_stats(df: DataFrame, key: str = "account_id", literal: bool = False)
     return df.groupBy(key).agg(*balance_aggs("balance", literal))
 
 
+#: log2 of a distinct-count sketch's registers: a relative error of about 0.8 %, 8 KB at most.
+SKETCH_LG = 14
+
+
+def distinct_sketch(df: DataFrame, keys: list[str], value: str, out: str = "sketch", lg: int = SKETCH_LG) -> DataFrame:
+    """One mergeable sketch of the distinct ``value`` for each group, e.g. by account and month."""
+    return df.groupBy(*keys).agg(F.hll_sketch_agg(F.col(value), F.lit(lg)).alias(out))
+
+
+def merge_sketches(sketches: DataFrame, keys: list[str], out: str = "n_distinct", sketch: str = "sketch") -> DataFrame:
+    """Distinct counts of wider groups from stored sketches, without the rows they were made of."""
+    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg(sketch)).alias(out))
+
+
 def card_rollup(cards: DataFrame, links: DataFrame | None = None, key: str = "account_id",
-                link_key: str = "disp_id", per_type: bool = False) -> DataFrame:
+                link_key: str = "disp_id", per_type: bool = False, approximate: bool = False) -> DataFrame:
     """Distinct cards and cards per type, per account.
 
     Cards are left-joined to their link rows for the account (pass
     ``links=None`` when ``cards`` already carry ``key``).  With
     ``per_type=True`` the grouping also includes the card type, which yields
     one row per (account, type) as the source's grouping does.
+    ``approximate`` counts distinct cards by a sketch of bounded size instead
+    of shuffling every distinct id (error about 0.8 %; off by default).
     """
     joined = (cards if links is None
               else cards.join(links.select(link_key, key), on=link_key, how="left"))
     t = F.col("type_")
-    aggs = [F.count_distinct(F.col("card_id")).alias("n_cards")]
+    distinct = (F.hll_sketch_estimate(F.hll_sketch_agg("card_id", F.lit(SKETCH_LG))) if approximate
+                else F.count_distinct(F.col("card_id")))
+    aggs = [distinct.alias("n_cards")]
     aggs += [count_when(t == ct).alias(f"n_cards_{ct}") for ct in CARD_TYPES]
     group = [key, "type_"] if per_type else [key]
     out = joined.groupBy(*group).agg(*aggs)

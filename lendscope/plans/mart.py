@@ -8,10 +8,10 @@ broadcast, and only after its row count is checked.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lendscope.functions.dates import days_between, years_between
+from lendscope.functions.dates import date_literal, days_between, years_between
 from lendscope.operators.cutoff import assert_one_cutoff, before_cutoff
 from lendscope.operators.entities import link_clients, pair_roles
 from lendscope.operators.rollup import card_rollup, rollup_by_category, txn_rollup
@@ -39,12 +39,12 @@ def link_cards(cards: DataFrame, links: DataFrame, link_key: str = "disp_id") ->
     return cards.join(l, on=link_key, how="left")
 
 
-def cards_before_loan(linked_cards: DataFrame, loans: DataFrame) -> DataFrame:
+def cards_before_loan(linked_cards: DataFrame, loans: DataFrame, colocated: bool = False) -> DataFrame:
     """Cards issued before the account's loan (or the default cutoff).
 
     Cards without a link row have no cutoff at all and are dropped.
     """
-    return before_cutoff(linked_cards.filter(F.col("_linked")), loans, KEY, ts="issued")
+    return before_cutoff(linked_cards.filter(F.col("_linked")), loans, KEY, ts="issued", colocated=colocated)
 
 
 def client_account(t: BankTables, literal: bool = False) -> DataFrame:
@@ -71,9 +71,15 @@ LOAN_COLUMNS = [
 ]
 
 
+def as_of(loan_date: str, pool_date: str | None) -> Column:
+    """The loan's date, or the pool's reference date where there is no loan."""
+    return F.col(loan_date) if pool_date is None else F.coalesce(F.col(loan_date), date_literal(pool_date))
+
+
 def build_mart(t: BankTables, root: str = "accounts", cutoff: bool = True,
                literal: bool = False, tenure: bool | None = None,
-               district_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+               district_max_rows: int = BROADCAST_MAX_ROWS, rolled: dict[str, DataFrame] | None = None,
+               pool_date: str | None = None) -> DataFrame:
     """Wide feature mart.
 
     root     ``'accounts'`` (every account, loan or not) or ``'loans'``
@@ -81,11 +87,15 @@ def build_mart(t: BankTables, root: str = "accounts", cutoff: bool = True,
     literal  source-text quirks: the client count replaces the user id, and
              cards are grouped per (account, type)
     tenure   add ``days_with_bank`` and ``age_at_loan`` (default: account root)
+    rolled   the rollups, where they are made elsewhere (default: :func:`rollups`)
+    pool_date  date as of which tenure and age of accounts without a loan are
+             taken (default: none, they stay NULL as in the source, and the
+             fill plan turns them into 0, which no training row has)
     """
     tenure = (root == "accounts") if tenure is None else tenure
     if cutoff:
         assert_one_cutoff(t.loans, KEY)  # several loans would repeat the account's rows
-    r = rollups(t, cutoff, literal)
+    r = rollups(t, cutoff, literal) if rolled is None else rolled
     loans = t.loans.select(KEY, *[F.col(a).alias(b) for a, b in LOAN_COLUMNS])
     accts = t.accounts.select(KEY, "district_id", F.col("frequency").alias("freq_dep_acc"),
                               F.col("date_").alias("date_account"))
@@ -103,11 +113,11 @@ def build_mart(t: BankTables, root: str = "accounts", cutoff: bool = True,
             "good_status_loan", "freq_dep_acc", "date_account"]
     cols = [F.col(c) for c in head]
     if tenure:
-        cols.append(days_between("date_loan", "date_account").alias("days_with_bank"))
+        cols.append(days_between(as_of("date_loan", pool_date), "date_account").alias("days_with_bank"))
     cols.append(F.col("client_district_id"))
     cols.append(F.col("birth_date").alias("bday_client"))
     if tenure:
-        cols.append(years_between("date_loan", "birth_date").alias("age_at_loan"))
+        cols.append(years_between(as_of("date_loan", pool_date), "birth_date").alias("age_at_loan"))
     cols.append(F.col("sex").alias("sex_client"))
     cols += [F.col(c) for c in ca
              if c not in ("client_id", "client_district_id", "birth_date", "sex")]
@@ -132,11 +142,12 @@ def mart_cutoff(t: BankTables, literal: bool = False) -> DataFrame:
     return build_mart(t, root="accounts", cutoff=True, literal=literal)
 
 
-def tenure_age(t: BankTables) -> DataFrame:
-    """Days with the bank and owner's age at the loan, per account."""
+def tenure_age(t: BankTables, pool_date: str | None = None) -> DataFrame:
+    """Days with the bank and owner's age at the loan (or at ``pool_date``), per account."""
     ca = client_account(t).select(KEY, "birth_date")
     j = (t.accounts.select(KEY, F.col("date_").alias("date_account"))
          .join(t.loans.select(KEY, F.col("date_").alias("date_loan")), KEY, "left")
          .join(ca, KEY, "left"))
-    return j.select(KEY, days_between("date_loan", "date_account").alias("days_with_bank"),
-                    years_between("date_loan", "birth_date").alias("age_at_loan"))
+    until = as_of("date_loan", pool_date)
+    return j.select(KEY, days_between(until, "date_account").alias("days_with_bank"),
+                    years_between(until, "birth_date").alias("age_at_loan"))

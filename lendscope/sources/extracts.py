@@ -8,9 +8,10 @@ double quotes stay inside the text fields and the recodes match quoted codes.
 
 from __future__ import annotations
 
-from collections.abc import Collection
+from collections.abc import Callable, Collection
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -57,9 +58,26 @@ EXTRACT_TYPES = {
                  "unemploy_95": "decimal(5,2)", "unemploy_96": "decimal(4,2)",
                  "n_entre_p1000": "int", "n_crimes_95": "int", "n_crimes_96": "int"},
 }
+# Types that the source's tables give to fields and that change a value: single precision and cut text.
+LITERAL_TYPES = {
+    "loan": {"status_": "char(3)"},
+    "account": {"frequency": "varchar(20)"},
+    "disp": {"type_": "varchar(12)"},
+    "client": {"birth_number": "varchar(10)"},
+    "order": {"bank_to": "char(5)", "account_to": "varchar(10)", "amount": "float32", "k_symbol": "varchar(12)"},
+    "trans": {"type_": "varchar(16)", "operation": "varchar(17)", "balance": "varchar(15)", "k_symbol": "varchar(15)",
+              "bank": "char(4)", "account_": "char(10)"},
+    "card": {"type_": "varchar(10)"},
+    "district": {"district_name": "char(25)", "region": "char(20)"},
+}
 NO_QUOTE = "\u0000"
 
 
+def extract_types(name: str, literal: bool = False) -> dict[str, str]:
+    """Target types of an extract's fields; ``literal`` also keeps single precision and text lengths."""
+    return {**EXTRACT_TYPES[name], **(LITERAL_TYPES[name] if literal else {})}
+
+
 def read_extract(spark: SparkSession, path: str, columns: list[str], sep: str = ";",
                  literal: bool = False, encoding: str = "UTF-8") -> DataFrame:
     """Scan a delimited extract as text columns named ``columns``.
@@ -93,11 +111,12 @@ _ORDER = ["_metadata.file_path", "_metadata.file_block_start"]
 
 
 def load_extract(spark: SparkSession, data_dir: str, name: str, literal: bool = False,
-                 rejects: str | None = None, order: str | None = None) -> DataFrame:
+                 rejects: str | None = None, order: str | None = None, details: str | None = None) -> DataFrame:
     """Read and leniently type one extract by its file name.
 
     ``rejects`` adds the number of fields of a row that did not convert,
-    ``order`` the row's position in file order.
+    ``details`` their names and raw text, ``order`` the row's position in
+    file order.
     """
     raw = read_extract(spark, _path(data_dir, name), EXTRACT_COLUMNS[name], literal=literal)
     if order:
@@ -109,7 +128,7 @@ def load_extract(spark: SparkSession, data_dir: str, name: str, literal: bool =
         last = EXTRACT_COLUMNS[name][-1]
         if last in EXTRACT_TYPES[name]:
             raw = raw.withColumn(last, strip_chars(last, "\r"))
-    return conform(raw, EXTRACT_TYPES[name], rejects=rejects)
+    return conform(raw, extract_types(name, literal), rejects=rejects, details=details)
 
 
 def load_rejects(spark: SparkSession, data_dir: str, literal: bool = False) -> DataFrame:
@@ -125,12 +144,58 @@ def load_rejects(spark: SparkSession, data_dir: str, literal: bool = False) -> D
     return out
 
 
+@dataclass
+class LoadReport:
+    """What a load read and what it could not convert.
+
+    metrics   extract -> ``n_rows, n_rejected_rows, n_rejects``
+    rejects   extract, row (position in the extract), column, raw text
+    """
+
+    metrics: dict[str, dict[str, int]]
+    rejects: DataFrame
+
+
+def load_checked(spark: SparkSession, data_dir: str, path: str, literal: bool = False,
+                 allow_missing: Collection[str] = ()) -> tuple[BankTables, LoadReport]:
+    """Load all extracts once, with their rejects.
+
+    Every extract is read in one pass that types it, observes the counts and
+    writes the typed rows (with what did not convert) as Parquet under
+    ``path``; tables and rejects are read from there, so no file is parsed
+    twice and a lost executor costs no second parse.
+    """
+    metrics: dict[str, dict[str, int]] = {}
+    kept: dict[str, DataFrame] = {}
+    for name in EXTRACT_COLUMNS:
+        if not _exists(spark, _path(data_dir, name)):
+            continue
+        seen = Observation(f"load-{name}")
+        typed = load_extract(spark, data_dir, name, literal, rejects="_rejects", order="_seq", details="_failed")
+        typed.observe(seen, F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("_rejects") > 0).alias("n_rejected_rows"),
+                      F.coalesce(F.sum("_rejects"), F.lit(0)).alias("n_rejects")).write.parquet(f"{path.rstrip('/')}/{name}")
+        metrics[name] = dict(seen.get)
+        kept[name] = spark.read.schema(typed.schema).parquet(f"{path.rstrip('/')}/{name}")
+    none = spark.createDataFrame([], "extract string, row struct<_0:string,_1:bigint,_row:bigint>, column string, raw string")
+    rejects = none
+    for name, df in kept.items():
+        failed = df.where("_rejects > 0").select("_seq", F.explode("_failed").alias("f"))
+        rejects = rejects.unionByName(failed.select(F.lit(name).alias("extract"), F.col("_seq").alias("row"), "f.column", "f.raw"))
+    tables = load_bank_tables(spark, data_dir, literal, allow_missing,
+                              read=lambda name, order: kept[name].withColumn(order, F.col("_seq")).drop(
+                                  "_rejects", "_failed", *([] if order == "_seq" else ["_seq"])) if order
+                              else kept[name].drop("_rejects", "_failed", "_seq"))
+    return tables, LoadReport(metrics, rejects)
+
+
 def load_bank_tables(spark: SparkSession, data_dir: str, literal: bool = False,
-                     allow_missing: Collection[str] = ()) -> BankTables:
+                     allow_missing: Collection[str] = (),
+                     read: Callable[[str, str | None], DataFrame] | None = None) -> BankTables:
     """All extracts in ``data_dir`` as typed, recoded :class:`BankTables`.
 
     Every extract must be there; ``allow_missing={'trans'}`` accepts an absent
-    transactions file (it is not always shipped) as an empty table.
+    transactions file (it is not always shipped) as an empty table.  ``read``
+    gives typed extracts from elsewhere (name, order column or ``None``).
     """
     absent = [n for n in EXTRACT_COLUMNS if not _exists(spark, _path(data_dir, n))]
     if set(absent) - (set(allow_missing) & {"trans"}):
@@ -138,8 +203,10 @@ def load_bank_tables(spark: SparkSession, data_dir: str, literal: bool = False,
     seq = "_load_seq"
 
     def load(name: str) -> DataFrame | None:
-        return None if name in absent else load_extract(
-            spark, data_dir, name, literal, order=seq if name in ("loan", "client") else None)
+        order = seq if name in ("loan", "client") else None
+        if name in absent:
+            return None
+        return read(name, order) if read else load_extract(spark, data_dir, name, literal, order=order)
 
     loans = load("loan")
     loans = dedup_first(loans, ["loan_id"], [seq]).drop(seq)
