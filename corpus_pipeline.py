@@ -2,14 +2,14 @@
 
 Every stage takes all rows its predecessor kept and returns the columns of ``documents``; the last returns the packed
 pieces.  Null texts are dropped by the quality rules (no words).  A null ``doc_id`` is an id like others, the smallest;
-rows that repeat an id with different texts are judged each by its own text.
+rows that repeat an id are judged each by its own text, and of exact copies, also of a whole row, one stays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendscope.llm import decontam, jaccard, packing, pii, registry, rules
@@ -21,33 +21,36 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rules.keep(docs, table(spark, sf_dir, "labels"))
 
 
-#: Name of the column with a row's own key.
-ROW = "_row"
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a number of their own for each row, stored, and the name of that column.
 
-
-def row_key() -> Column:
-    """Never null; rows share it only if both id and text are equal."""
-    return F.xxhash64("doc_id", "text")
+    Stored, as a number must not change when a lost task is repeated; no column of the documents has that name."""
+    name = "_row"
+    while name in docs.columns:
+        name = "_" + name
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "pipeline-rows"), name
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 2: of each group of linked documents the one with the smallest id stays (copies of that very row too)."""
-    rows = docs.withColumn(ROW, row_key())
-    groups = jaccard.jaccard_groups(rows.select(F.col(ROW).alias("doc_id"), "text"))
-    groups = stored(groups.select(F.col("doc_id").alias(ROW), "component_id").distinct(), "pipeline-groups")
-    first = (groups.join(rows.select(ROW, "doc_id").distinct(), ROW).groupBy("component_id")
-             .agg(F.min(F.struct("doc_id", ROW)).alias("first")).select(f"first.{ROW}"))
-    gone = groups.select(ROW).join(first, ROW, "left_anti")
-    return rows.join(gone, ROW, "left_anti").select(docs.columns)
+    """Stage 2: of each group of linked documents the row with the smallest id (then row number) stays."""
+    rows, row = numbered(docs)
+    groups = stored(jaccard.jaccard_groups(rows.select(F.col(row).alias("doc_id"), "text"))
+                    .select(F.col("doc_id").alias(row), "component_id"), "pipeline-groups")
+    # a group of one needs no look at its id
+    shared = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
+    members = groups.join(shared, "component_id").join(rows.select(row, "doc_id"), row)
+    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", row)).alias("first")).select(f"first.{row}")
+    gone = members.select(row).join(first, row, "left_anti")
+    return rows.join(gone, row, "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 3: contaminated documents go."""
-    rows = docs.withColumn(ROW, row_key())
-    judged = decontam.decontaminate(rows.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    rows, row = numbered(docs)
+    judged = decontam.decontaminate(rows.select(F.col(row).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     # stored before it filters: the filter would be pushed below the verification and repeat it
-    gone = stored(judged.select(F.col("doc_id").alias(ROW), "contaminated"), "pipeline-contaminated").where("contaminated")
-    return rows.join(gone.select(ROW).distinct(), ROW, "left_anti").select(docs.columns)
+    gone = stored(judged.select(F.col("doc_id").alias(row), "contaminated"), "pipeline-contaminated").where("contaminated")
+    return rows.join(gone.select(row), row, "left_anti").select(docs.columns)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
