@@ -148,9 +148,10 @@ def phrase_places(words: list[bytes], phrases: dict[bytes, str]) -> list[tuple[i
     joined, out = b" " + b" ".join(words) + b" ", []
     for phrase, label in phrases.items():
         find = b" " + phrase + b" "
-        at = joined.find(find)
+        at, seen, before = joined.find(find), 0, 0
         while at >= 0:
-            out.append((joined.count(b" ", 0, at), label))
+            before, seen = before + joined.count(b" ", seen, at), at  # words before it, counted on from the last place
+            out.append((before, label))
             at = joined.find(find, at + 1)
     return out
 

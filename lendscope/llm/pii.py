@@ -3,8 +3,8 @@
 Numbers and dates that pass their own validation (Luhn, mod 97, ranges, calendar) are replaced by another valid value
 of the same format; addresses and secrets keep their character classes.  A value is mapped to its rank within its
 format, the rank goes through a keyed Feistel network with cycle walking, so the mapping is a permutation of the
-format: equal values get equal pseudonyms in every document, different values never meet, and the holder of the key
-can invert it.  Separators do not matter: ``4111-1111 ...`` and ``41111111...`` stay linked.
+format: equal values get equal pseudonyms in every document, different values of a format never meet, and the holder of
+the key can invert it.  (One date written with and without leading zeros is two formats.)  Separators do not matter: ``4111-1111 ...`` and ``41111111...`` stay linked.
 
 Map-only: every whole text is read once in Arrow batches, one pattern pass over texts that hold a digit, ``@``, ``=``,
 ``:`` or the beginning of a key; no shuffle, no state between rows.
@@ -68,8 +68,14 @@ class Permutation:
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
+#: Longer strings are permuted block by block: a rank of a million letters would be a number of a million digits.
+BLOCK = 64
+
+
 def permute_text(text: str, move: Callable[[int, int, bytes], int], kind: bytes, classes=_CLASSES) -> str:
     """Permute a string within its character classes; other characters stay."""
+    if len(text) > BLOCK:
+        return "".join(permute_text(text[i:i + BLOCK], move, kind + b"@%d" % i, classes) for i in range(0, len(text), BLOCK))
     rank, size, sets = 0, 1, []
     for c in text:
         alphabet = next((a for a in classes if c in a), None)
@@ -173,6 +179,10 @@ _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 3
 
 
 def date(text: str, move) -> str | None:
+    """A date of the same format: order of its parts, separator, and one or two digits for day and month.
+
+    ``a/b/yyyy`` is day first where that is a date, else month first; the latter (its day is over 12) has a
+    permutation of its own, so that no pseudonym can be read the other way."""
     sep = re.search(r"\D", text)[0]
     parts = text.split(sep)
     if len(parts[0]) == 4:
@@ -180,7 +190,7 @@ def date(text: str, move) -> str | None:
     elif sep == ".":
         orders = [(2, 1, 0)]
     else:
-        orders = [(2, 1, 0), (2, 0, 1)]  # day first where both readings are valid
+        orders = [(2, 1, 0), (2, 0, 1)]
     for y, m, d in orders:
         try:
             n = datetime.date(int(parts[y]), int(parts[m]), int(parts[d])).toordinal()
@@ -188,9 +198,16 @@ def date(text: str, move) -> str | None:
             continue
         if not _FIRST <= n <= _LAST:
             continue
-        new = datetime.date.fromordinal(_FIRST + move(n - _FIRST, _LAST - _FIRST + 1, b"date"))
+        short, swapped = (len(parts[d]) == 1, len(parts[m]) == 1), d == 1
+        kind = b"date" + b"%d%d%d" % (*short, swapped) * any((*short, swapped))
+        while True:  # cycle walking among the dates of that format
+            n = _FIRST + move(n - _FIRST, _LAST - _FIRST + 1, kind)
+            new = datetime.date.fromordinal(n)
+            if (new.day < 10 or not short[0]) and (new.month < 10 or not short[1]) and (new.day > 12 or not swapped):
+                break
         out = list(parts)
-        out[y], out[m], out[d] = f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"
+        out[y] = f"{new.year:04d}"
+        out[m], out[d] = f"{new.month:0{len(parts[m])}d}", f"{new.day:0{len(parts[d])}d}"
         return sep.join(out)
     return None
 
@@ -209,7 +226,8 @@ def secret(text: str, move) -> str | None:
 
 #: Kind, pattern of the value (the named group is what is replaced), rule.
 RULES: tuple[tuple[str, str, Callable], ...] = (
-    ("email", r"(?P<email>[A-Za-z0-9][\w.+-]*@[A-Za-z0-9](?:[\w-]*\.)+[A-Za-z]{2,})", email),
+    # a name has at most 64 characters: without a bound every letter of a long word would be read to its end
+    ("email", r"(?P<email>[A-Za-z0-9][\w.+-]{0,63}@[A-Za-z0-9](?:[\w-]*\.)+[A-Za-z]{2,})", email),
     ("secret", r"(?i:(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)"
                r"(?P<secret>[A-Za-z0-9_+/.-]{8,})", secret),
     ("key", r"\b(?P<key>(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,})\b", secret),

@@ -64,8 +64,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: Setting with the secret of the pseudonyms; the public default is for tests.
+PII_KEY = "spark.lendscope.pseudonymKey"
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                            spark.conf.get(PII_KEY, pii.DEFAULT_KEY))
 
 
 def op11_ns_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from lendscope.llm import pii, toxicity
 
@@ -189,3 +190,57 @@ def test_screen_loses_no_match():
             ok = ok or w.startswith(s) or any(edit_distance(w[:n], s) <= k for n in range(len(s) - k, len(s) + k + 1)
                                               if n < len(w))
         assert (trie.find(w) is not None) == ok, w
+
+
+@pytest.mark.parametrize("shape", ["{y:04d}-{m:02d}-{d:02d}", "{d:02d}.{m:02d}.{y:04d}", "{d:02d}/{m:02d}/{y:04d}", "{d}/{m}/{y:04d}",
+                                   "{m:02d}/{d:02d}/{y:04d}"])
+def test_dates_of_a_format_are_permuted(shape):
+    import datetime
+    import hashlib
+
+    move = pii.Permutation(hashlib.blake2b(b"k", digest_size=32).digest()).forward
+    days = [datetime.date(1900, 1, 1) + datetime.timedelta(i) for i in range(0, 73049)][::1 if shape.startswith("{m") else 7]
+    texts = {shape.format(y=x.year, m=x.month, d=x.day) for x in days}
+    if shape.startswith("{m"):  # month first is read as such only where it cannot be day first
+        texts = {t for t in texts if int(t[3:5]) > 12}
+    out = {t: pii.date(t, move) for t in texts}
+    assert len(set(out.values())) == len(texts)
+    assert all([len(p) for p in a.replace(".", "/").replace("-", "/").split("/")]
+               == [len(p) for p in b.replace(".", "/").replace("-", "/").split("/")] for a, b in out.items())
+    if shape.startswith("{m"):
+        assert all(int(v[3:5]) > 12 and int(v[:2]) <= 12 for v in out.values())
+        assert set(out.values()) == texts  # all of them: a permutation of the whole format
+
+
+def test_dates_of_two_readings_never_meet():
+    import hashlib
+
+    move = pii.Permutation(hashlib.blake2b(b"k", digest_size=32).digest()).forward
+    texts = [f"{a:02d}/{b:02d}/{y}" for y in range(1950, 2000) for a in range(1, 32) for b in range(1, 32)]
+    out = {t: pii.date(t, move) for t in texts}
+    valid = [v for v in out.values() if v]
+    assert len(set(valid)) == len(valid)
+
+
+@pytest.mark.parametrize("text", ["a" * 400_000, "a." * 100_000, "x@" + "a." * 100_000, "1" * 300_000, "password=" + "aZ9" * 60_000,
+                                  "1-" * 100_000, "a@" * 100_000, "AB12 " * 50_000])
+def test_long_texts_take_linear_time(text):
+    import time
+
+    move = pii.Permutation(b"k" * 32).forward
+    took = []
+    for part in (text[:len(text) // 4], text):
+        start = time.process_time()
+        pii.pseudonymize_text(part, move)
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0] + 0.5, took
+
+
+def test_phrase_places_of_many_hits():
+    import time
+
+    from lendscope.llm.licenses import phrase_places
+    words = [b"cc", b"by"] * 100_000
+    start = time.process_time()
+    places = phrase_places(words, {b"cc by": "cc-by"})
+    assert [p for p, _ in places] == list(range(0, 200_000, 2)) and time.process_time() - start < 3
