@@ -5,10 +5,10 @@ range of document keys, some megabytes of text) writes one letter per bucket of
 hashes, back to back.  The bucket answers with one byte per hash in the same order, so positions and ids need not
 travel: the part derives the same order again when it reads the answer.
 
-The texts are shuffled once by part; that exchange serves every later step of the same plan.  Parts and buckets have
-a fixed size whatever the input (their number grows), and a letter is made of hashes of many documents, so a third of
-all rows sharing one passage adds only its own windows to a bucket, spread as evenly as any others.  Everything is a
-function of the part's sorted rows, so a lost task is repeated with the same letters.
+The texts are shuffled once by part; that exchange serves every later step of the same plan.  Parts have a fixed size
+whatever the input and buckets grow in number with them, but all uses of one hash meet in one bucket: a passage that a
+third of all rows share makes its buckets' letters larger than others, by one hash of four bytes for each use.
+Everything is a function of the part's sorted rows, so a lost task is repeated with the same letters.
 """
 
 from __future__ import annotations

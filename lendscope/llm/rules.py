@@ -45,7 +45,7 @@ Rule = tuple[Condition, ...]
 
 
 def statistics(docs: DataFrame, window: int = 5) -> DataFrame:
-    """The base counts and the features of every text; all columns of ``docs`` are kept."""
+    """The base counts and the features of every text; columns of ``docs`` with other names are kept."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     taken = [c for c in docs.columns if c.lower() not in {*COUNTS, *FEATURES, "base_failed", "kept", "_w", "_g", "_r",
                                                             "_lines"}]
