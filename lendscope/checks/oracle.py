@@ -398,6 +398,28 @@ _FOLD = """CAST((row_number() OVER (PARTITION BY label
   ORDER BY md5(CAST(account_id AS VARCHAR) || '#7919'), account_id) - 1) % 5 AS INTEGER)"""
 
 
+def newton_sql(steps: int = 12) -> str:
+    """Newton's method for a penalised logistic regression on one feature (C = 1), a common expression for each step."""
+    parts = ["""xy AS MATERIALIZED (SELECT coalesce(days_with_bank, 0) / CAST(1000 AS DOUBLE) AS x,
+        CAST(good_status_loan AS DOUBLE) AS y FROM mart WHERE loan_id IS NOT NULL)""",
+             "b0 AS MATERIALIZED (SELECT CAST(0 AS DOUBLE) AS w, CAST(0 AS DOUBLE) AS b)"]
+    for k in range(steps):
+        parts.append(f"""b{k + 1} AS MATERIALIZED (SELECT w - (hbb * gw - hwb * gb) / (hww * hbb - hwb * hwb) AS w,
+          b - (hww * gb - hwb * gw) / (hww * hbb - hwb * hwb) AS b
+        FROM (SELECT w, b, sum((p - y) * x) + w AS gw, sum(p - y) AS gb, sum(p * (1 - p) * x * x) + 1 AS hww,
+                sum(p * (1 - p) * x) AS hwb, sum(p * (1 - p)) AS hbb
+              FROM (SELECT w, b, x, y, 1 / (1 + exp(-(w * x + b))) AS p FROM xy, b{k}) GROUP BY w, b))""")
+    return f", {', '.join(parts)} SELECT round(w, 4) AS coefficient, round(b, 4) AS intercept FROM b{steps}"
+
+
+def _fixed_sql() -> str:
+    z = " + ".join(f"{1e-7 / (i + 1)!r} * {c}" for i, c in enumerate(FEATURES))
+    xs = ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0) AS {c}" for c in FEATURES)
+    return f"""SELECT account_id, round(s0, 9) AS score_0, round(s1, 9) AS score_1, round((s0 + s1) / 2, 9) AS avg_score
+      FROM (SELECT account_id, 1 / (1 + exp(-({z} - 0.5))) AS s0, 1 / (1 + exp(({z}) - 0.25)) AS s1
+            FROM (SELECT account_id, {xs} FROM prepared))"""
+
+
 def prep_oracles() -> dict[str, str]:
     feats = ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0) AS {c}" for c in FEATURES)
     ints = ", ".join(f"CAST(coalesce(CAST({c} AS DOUBLE), 0) AS INTEGER) AS {c}" for c in INT_FILL)
@@ -432,6 +454,10 @@ def prep_oracles() -> dict[str, str]:
                 FROM (SELECT good_status_loan, n, unnest(range(0, m - n)) AS i FROM cnt, top) GROUP BY ALL) dr
               USING (good_status_loan, k))
             , unnest(range(0, copies)) AS r(i)"""),
+        "assemble_sum": qt(f"""SELECT account_id, CAST({len(FEATURES)} AS INTEGER) AS n_features, {" + ".join(
+            f"coalesce(CAST({c} AS DOUBLE), 0)" for c in FEATURES)} AS total FROM prepared"""),
+        "fixed_scores": qt(_fixed_sql()),
+        "logit_one_feature": qp(newton_sql()),
         "cv_folds_stratified": qp(f"{LABELLED_MART} SELECT account_id, label, {_FOLD} AS fold FROM lm"),
         "cv_folds_resampled": qp(f"""{LABELLED_MART},
             lc AS (SELECT label, count(*) AS n FROM lm GROUP BY label),

@@ -592,6 +592,8 @@ def _decision_queries() -> dict[str, Query]:
 # models (no SQL equivalent: checked by row counts and by unit tests)
 # ---------------------------------------------------------------------------
 
+from pyspark.ml.functions import vector_to_array  # noqa: E402
+
 from lendscope.plans import model as ML  # noqa: E402
 from lendscope.session import checkpoint_dir, cut_lineage  # noqa: E402
 
@@ -647,6 +649,37 @@ def q_cv_folds_resampled(spark, d):
     return dealt.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def _assembled(spark, d):
+    """Every account's feature vector."""
+    return ML.assemble(P.select_features(P.prepare_mart(_mart(spark, d))), label=None)
+
+
+def q_assemble_sum(spark, d):
+    """Elements of each feature vector, added in their order."""
+    x = vector_to_array("features")
+    return _assembled(spark, d).select("account_id", F.size(x).alias("n_features"),
+                                       F.aggregate(x, F.lit(0.0), lambda a, v: a + v).alias("total"))
+
+
+#: Coefficients of the scoring check: 10^-7 / (position + 1).
+FIXED_COEFFICIENTS = [1e-7 / (i + 1) for i in range(len(P.FEATURE_COLUMNS))]
+
+
+def q_fixed_scores(spark, d):
+    models = [ML.fixed_logit(spark, FIXED_COEFFICIENTS, -0.5), ML.fixed_logit(spark, [-c for c in FIXED_COEFFICIENTS], 0.25)]
+    scored = D.average_scores(ML.score(models, _assembled(spark, d)), ["score_0", "score_1"])
+    return scored.select("account_id", *[F.round(c, 9).alias(c) for c in ("score_0", "score_1", "avg_score")])
+
+
+def q_logit_one_feature(spark, d):
+    """Penalised logistic regression of the loan's class on one feature, solved to the fourth decimal."""
+    labelled, _ = P.split_labelled(P.prepare_mart(_mart(spark, d)))
+    rows = labelled.select("account_id", (F.coalesce("days_with_bank", F.lit(0)) / F.lit(1000.0)).alias("x"), "good_status_loan")
+    m = ML.fit_logit(cut_lineage(ML.assemble(rows, ["x"])), C=1.0, tol=1e-12)
+    return spark.createDataFrame([(round(float(m.coefficients[0]), 4), round(float(m.intercept), 4))],
+                                 "coefficient double, intercept double")
+
+
 def _search_table(spark, d, flow):
     train, _, _ = _model_frames(spark, d)
     res = ML.grid_search(train, flow.grid, flow.folds, flow.metric, seed=flow.seeds[0],
@@ -739,6 +772,9 @@ def _model_queries() -> dict[str, Query]:
     return {
         "cv_folds_stratified": q_cv_folds_stratified,
         "cv_folds_resampled": q_cv_folds_resampled,
+        "assemble_sum": q_assemble_sum,
+        "fixed_scores": q_fixed_scores,
+        "logit_one_feature": q_logit_one_feature,
         "forest_benchmark": q_forest_benchmark,
         "forest_unweighted": q_forest_unweighted,
         "logit_fit": q_logit_fit,

@@ -73,17 +73,31 @@ def reg_param(C: float, n: float) -> float:
     return 1.0 / (C * n)
 
 
-def fit_logit(train: DataFrame, C: float, n: float | None = None, max_iter: int = 2000) -> Model:
+def fit_logit(train: DataFrame, C: float, n: float | None = None, max_iter: int = 2000, tol: float = 1e-6) -> Model:
     """L2 logistic regression with inverse penalty ``C``; raises if it does not converge."""
     n = float(train.count()) if n is None else n
     lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=reg_param(C, n),
-                            elasticNetParam=0.0, standardization=False, maxIter=max_iter)
+                            elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol)
     model = lr.fit(train)
     if model.summary.totalIterations >= max_iter:
         raise RuntimeError(f"no convergence within {max_iter} iterations for C={C}")
     return model
 
 
+def fixed_logit(spark: SparkSession, coefficients: Sequence[float], intercept: float) -> Model:
+    """A logistic model with given coefficients, e.g. of a scorecard, to score with like a fitted one."""
+    vector = spark._jvm.org.apache.spark.ml.linalg.Vectors.dense(_doubles(spark, coefficients))
+    return LogisticRegressionModel(spark._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(
+        "fixed-logit", vector, float(intercept)))
+
+
+def _doubles(spark: SparkSession, values: Sequence[float]):
+    out = spark.sparkContext._gateway.new_array(spark._jvm.double, len(values))
+    for i, v in enumerate(values):
+        out[i] = float(v)
+    return out
+
+
 #: ``recall`` is that of class 1; ``recall_micro`` counts the hits of both classes over all rows.
 METRICS = ("recall", "recall_micro", "accuracy")
 
