@@ -171,8 +171,25 @@ def test_a_bag_without_manifest_is_not_read(spark, tmpdir_path):
     assert about["made"] == "here" and [r["best_C"] for r in about["repetitions"]] == [1.0, 1.0]
 
 
-def test_input_digest_sees_rows_not_order(spark):
+def test_input_facts_see_rows_not_order(spark):
     data = ML.assemble(_planted(spark, 50), ["x1", "x2"])
-    a = ML.input_digest(data)
-    assert a == ML.input_digest(data.repartition(3)) != ML.input_digest(data.filter("account_id <> 7"))
-    assert a != ML.input_digest(data.unionByName(data.limit(1)))
+
+    def same(a, b):
+        (x, p), (y, q) = ML.input_facts(a), ML.input_facts(b)
+        return x == y and ML._alike(p, q)
+
+    assert same(data, data.repartition(3))
+    assert not same(data, data.filter("account_id <> 7")) and not same(data, data.unionByName(data.limit(1)))
+    # the same values at other rows, and other labels
+    swapped = ML.assemble(_planted(spark, 50).withColumn("x1", ((49 - F.col("account_id")) * 37 % 101) / 101.0), ["x1", "x2"])
+    assert not same(data, swapped) and not same(data, data.withColumn("label", 1 - F.col("label")))
+    assert ML.input_facts(data.limit(0))[0]["rows"] == 0
+
+
+def test_bags_of_other_features_lie_side_by_side(spark, tmpdir_path):
+    base = _planted(spark, 120)
+    flow = ML.Flow((1.0,), folds=2, seeds=(0,))
+    frames = [ML.assemble(base.withColumn("x2", F.col("x2") * k), ["x1", "x2"]) for k in (1.0, 2.0, 1.0)]
+    got = [ML.stored_bag(f.withColumn("label", F.col("account_id") % 2 * 1.0), flow, tmpdir_path)[0].model for f in frames]
+    a, b, c = (m.coefficients.toArray().tolist() for m in got)
+    assert a == c != b and len(__import__("os").listdir(tmpdir_path)) == 2
