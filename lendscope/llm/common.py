@@ -8,6 +8,8 @@ an empty table gives an empty result with the same columns.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -59,12 +61,31 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         top = tempfile.mkdtemp(prefix="lendscope-llm-")
         spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for made in _SCRATCH[-1:]:
+        made.append(path)
+    return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Paths made inside the innermost ``scratch`` block that is open.
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside the block are deleted when it ends: what is needed later must be written to a path of before."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write to the shared folder and read back: the lineage ends there, and a lost executor costs no recomputation."""
-    path = shared_dir(df.sparkSession, name)
+    path = path or shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
