@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendscope.llm import decontam, jaccard, packing, pii, registry, rules
-from lendscope.llm.common import stored, table
+from lendscope.llm.common import scratch, shared_dir, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,26 +31,34 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return stored(docs.withColumn(name, F.monotonically_increasing_id()), "pipeline-rows"), name
 
 
+def without(rows: DataFrame, gone: DataFrame, row: str) -> DataFrame:
+    """Rows whose number is not in ``gone``: its keys are broadcast under a checked bound, else shuffled."""
+    return rows.join(decontam.small(gone.select(row)), row, "left_anti").drop(row)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 2: of each group of linked documents the row with the smallest id (then row number) stays."""
     rows, row = numbered(docs)
-    groups = stored(jaccard.jaccard_groups(rows.select(F.col(row).alias("doc_id"), "text"))
-                    .select(F.col("doc_id").alias(row), "component_id"), "pipeline-groups")
-    # a group of one needs no look at its id
-    shared = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
-    members = groups.join(shared, "component_id").join(rows.select(row, "doc_id"), row)
-    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", row)).alias("first")).select(f"first.{row}")
-    gone = members.select(row).join(first, row, "left_anti")
-    return rows.join(gone, row, "left_anti").select(docs.columns)
+    path = shared_dir(spark, "pipeline-copies")
+    with scratch(spark):
+        groups = stored(jaccard.jaccard_groups(rows.select(F.col(row).alias("doc_id"), "text"))
+                        .select(F.col("doc_id").alias(row), "component_id"), "pipeline-groups")
+        # a group of one needs no look at its id
+        shared = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component_id")
+        members = groups.join(shared, "component_id").join(rows.select(row, "doc_id"), row)
+        first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", row)).alias("first")).select(f"first.{row}")
+        gone = stored(members.select(row).join(first, row, "left_anti"), "pipeline-copies", path)
+    return without(rows, gone, row).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 3: contaminated documents go."""
     rows, row = numbered(docs)
-    judged = decontam.decontaminate(rows.select(F.col(row).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    # stored before it filters: the filter would be pushed below the verification and repeat it
-    gone = stored(judged.select(F.col("doc_id").alias(row), "contaminated"), "pipeline-contaminated").where("contaminated")
-    return rows.join(gone.select(row), row, "left_anti").select(docs.columns)
+    path = shared_dir(spark, "pipeline-contaminated")
+    with scratch(spark):
+        judged = decontam.decontaminate(rows.select(F.col(row).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+        gone = stored(judged.where("contaminated").select(F.col("doc_id").alias(row)), "pipeline-contaminated", path)
+    return without(rows, gone, row).select(docs.columns)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
