@@ -60,6 +60,13 @@ def assemble(df: DataFrame, cols: Sequence[str] = FEATURE_COLUMNS, label: str |
     return out.select(*sel)
 
 
+def _without_summary(model: Model, spark: SparkSession) -> Model:
+    """The model alone.  Its training summary holds the session, and with it, once a frame was observed in that session
+    (``load_checked``), what cannot be sent to tasks: scoring would fail."""
+    model._java_obj.setSummary(spark._jvm.scala.Option.empty())
+    return model
+
+
 def fit_forest(train: DataFrame, weight_col: str | None = None, seed: int = FOREST_SEED,
                num_trees: int = 100) -> Model:
     """Random-forest benchmark (``weight_col`` for balanced class weights)."""
@@ -67,7 +74,7 @@ def fit_forest(train: DataFrame, weight_col: str | None = None, seed: int = FORE
                                 numTrees=num_trees)
     if weight_col:
         rf.setWeightCol(weight_col)
-    return rf.fit(train)
+    return _without_summary(rf.fit(train), train.sparkSession)
 
 
 def reg_param(C: float, n: float) -> float:
@@ -83,7 +90,7 @@ def fit_logit(train: DataFrame, C: float, n: float | None = None, max_iter: int
     model = lr.fit(train)
     if model.summary.totalIterations >= max_iter:
         raise RuntimeError(f"no convergence within {max_iter} iterations for C={C}")
-    return model
+    return _without_summary(model, train.sparkSession)
 
 
 def fixed_logit(spark: SparkSession, coefficients: Sequence[float], intercept: float) -> Model:

@@ -193,3 +193,13 @@ def test_bags_of_other_features_lie_side_by_side(spark, tmpdir_path):
     got = [ML.stored_bag(f.withColumn("label", F.col("account_id") % 2 * 1.0), flow, tmpdir_path)[0].model for f in frames]
     a, b, c = (m.coefficients.toArray().tolist() for m in got)
     assert a == c != b and len(__import__("os").listdir(tmpdir_path)) == 2
+
+
+def test_models_score_in_a_session_that_has_observed(spark):
+    from pyspark.sql import Observation
+    seen = Observation("before-scoring")
+    spark.range(5).observe(seen, F.count(F.lit(1)).alias("n")).count()
+    assert seen.get == {"n": 5}
+    data = ML.assemble(_planted(spark, 60), ["x1", "x2"])
+    assert ML.score([ML.fit_logit(data, 1.0)], data).where("score_0 between 0 and 1").count() == 60
+    assert ML.fit_forest(data, num_trees=3).transform(data).where("prediction in (0.0, 1.0)").count() == 60
