@@ -14,8 +14,8 @@
 * stored bags: models and manifest written once for a training input and a
   flow, and read back by everything that scores with them.
 
-The driver only loops over small parameter grids; every fit is a
-distributed job over the (checkpointed) training frame.
+The driver only loops over small parameter grids; the fits of a grid are
+solved together, a distributed job for a step of them all (``solver``).
 """
 
 from __future__ import annotations
@@ -27,16 +27,18 @@ import uuid
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.ml import Model
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendscope.session import cut_lineage
-from lendscope.plans.prep import FEATURE_COLUMNS, KEY, LABEL, oversample, ranked_in_class
+from lendscope.plans.prep import FEATURE_COLUMNS, KEY, LABEL, copies_of, oversample, ranked_in_class, repeated
+from lendscope.plans.solver import Solution, solve_logits
 
 # The source's penalty grids, repetitions and seeds.
 C_GRID_FIRST = [1e-5, 3e-5, 1e-4, 3e-4, 1e-3, 3e-3, .01, .03, .1, .3, 1, 3, 10]
@@ -46,6 +48,7 @@ SEED_STEP = 105
 FOREST_SEED = 400
 DEFAULT_FOLDS = 5
 ROWS_PER_TASK = 50_000
+REPS_AT_ONCE = 4
 
 
 def assemble(df: DataFrame, cols: Sequence[str] = FEATURE_COLUMNS, label: str | None = LABEL,
@@ -82,8 +85,14 @@ def reg_param(C: float, n: float) -> float:
     return 1.0 / (C * n)
 
 
-def fit_logit(train: DataFrame, C: float, n: float | None = None, max_iter: int = 2000, tol: float = 1e-6) -> Model:
-    """L2 logistic regression with inverse penalty ``C``; raises if it does not converge."""
+def fit_logit(train: DataFrame, C: float, n: float | None = None, max_iter: int = 2000, tol: float = 1e-6,
+              solved: Solution | None = None) -> Model:
+    """L2 logistic regression with inverse penalty ``C``; raises if it does not converge.
+
+    ``solved``: this problem's coefficients and intercept, where :func:`solve_logits` has found them with others'.
+    """
+    if solved is not None:
+        return fixed_logit(train.sparkSession, *solved)
     n = float(train.count()) if n is None else n
     lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=reg_param(C, n),
                             elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol)
@@ -167,6 +176,21 @@ def stratified_folds(df: DataFrame, folds: int, seed: int, label: str = "label",
     return ranked_in_class(df, label, key, seed).select(*df.columns, fold)
 
 
+def _weighted(data: DataFrame, taken: dict[int, DataFrame], copies: dict[int, Column], narrow: bool) -> DataFrame:
+    """Rows of ``data`` with ``copies``, an array of how often each fold's training set holds the row.
+
+    ``narrow``: every ``copies[k]`` is an expression on ``data``'s own columns; else each training set's rows follow
+    one another, each with copies in its own set only."""
+    def row(k: int, n: Column) -> Column:
+        return F.array(*[n if j == k else F.lit(0) for j in copies])
+
+    if narrow:
+        own = [F.when(F.col("_fold") != k, n).otherwise(0) for k, n in copies.items()]
+        return data.select("features", "label", F.array(*own).alias("copies"))
+    parts = [taken[k].select("features", "label", row(k, n).alias("copies")) for k, n in copies.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def grid_search(train: DataFrame, grid: Sequence[float], folds: int = DEFAULT_FOLDS,
                 metric: str = "recall", seed: int = 0, resample_in_fold: bool = True,
                 key: str = KEY, parallelism: int = 8, oversampling: str = "ratio") -> SearchResult:
@@ -175,11 +199,12 @@ def grid_search(train: DataFrame, grid: Sequence[float], folds: int = DEFAULT_FO
     With ``resample_in_fold`` the oversampling runs inside each training fold
     and on the whole frame for the refit; without it the frame is resampled
     first, and copies are dealt to the folds like other rows (the source's
-    first flow).  The (C, fold) fits are independent Spark jobs submitted from
-    ``parallelism`` driver threads, like ``CrossValidator(parallelism=...)``.
-    The best ``C`` (ties: the smallest) is refitted on all (resampled) rows.
-    Each fold's training frame is stored and counted once.  ``train`` needs
-    ``key``, ``features`` and ``label``.
+    first flow).  All (C, fold) fits are solved together (:func:`solve_logits`),
+    copies as weights; fits left out there, and the scoring of the held-out
+    folds, are independent Spark jobs from ``parallelism`` driver threads, like
+    ``CrossValidator(parallelism=...)``.  The best ``C`` (ties: the smallest) is
+    refitted on all (resampled) rows.  ``train`` needs ``key``, ``features`` and
+    ``label``.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}; use one of {METRICS}")
@@ -193,18 +218,25 @@ def grid_search(train: DataFrame, grid: Sequence[float], folds: int = DEFAULT_FO
     if len(grid) == 1:
         return SearchResult(grid[0], fit_logit(full, grid[0]), {})
     data = cut_lineage(stratified_folds(train, folds, seed + 7919, "label", key))
-    fit_parts, held_parts, sizes = {}, {}, {}
+    held_parts = {k: data.filter(F.col("_fold") == k) for k in range(folds)}
+    taken = {k: data.filter(F.col("_fold") != k) for k in range(folds)}
+    copies = {k: F.lit(1) for k in range(folds)}
+    if resample_in_fold:
+        for k in range(folds):
+            taken[k], copies[k] = copies_of(taken[k], "label", key, seed + k, oversampling)
+    fit_parts = {k: repeated(taken[k], copies[k], data.columns) for k in range(folds)}
+    weighted = _weighted(data, taken, copies, narrow=not resample_in_fold or oversampling == "ratio")
+    row = weighted.agg(F.count(F.lit(1)), *[F.sum(F.col("copies")[k]) for k in range(folds)]).first()
+    sizes = {k: float(row[k + 1] or 0) for k in range(folds)}
+    solved = solve_logits(weighted, folds, grid, row[0])
     for k in range(folds):
-        part = data.filter(F.col("_fold") != k)
-        fit_parts[k] = cut_lineage(resampled(part, seed + k)) if resample_in_fold else part
-        sizes[k] = float(fit_parts[k].count())
-        # every solver step is a job: as many tasks as the rows need, not as the shuffle left
-        fit_parts[k] = fit_parts[k].coalesce(max(1, int(sizes[k]) // ROWS_PER_TASK))
-        held_parts[k] = data.filter(F.col("_fold") == k)
+        if any((C, k) not in solved for C in grid):
+            # every solver step is a job: as many tasks as the rows need, not as the shuffle left
+            fit_parts[k] = cut_lineage(fit_parts[k]).coalesce(max(1, int(sizes[k]) // ROWS_PER_TASK))
 
     def one(task: tuple[float, int]) -> float:
         C, k = task
-        m = fit_logit(fit_parts[k], C, sizes[k])
+        m = fit_logit(fit_parts[k], C, sizes[k], solved=solved.get(task))
         return _metric(prob_good(m, held_parts[k], "p1"), metric)
 
     tasks = [(C, k) for C in grid for k in range(folds)]
@@ -222,10 +254,11 @@ def bag(train: DataFrame, grid: Sequence[float], reps: int = N_REPS,
         seeds: Sequence[int] | None = None, folds: int = DEFAULT_FOLDS,
         metric: str = "recall", key: str = KEY, resample_in_fold: bool = True,
         oversampling: str = "ratio") -> list[SearchResult]:
-    """One grid search per repetition, each with its own seed."""
+    """One grid search per repetition, each with its own seed; ``REPS_AT_ONCE`` of them run side by side."""
     seeds = list(seeds) if seeds is not None else [SEED_STEP * i for i in range(reps)]
-    return [grid_search(train, grid, folds, metric, seed=s, key=key, resample_in_fold=resample_in_fold,
-                        oversampling=oversampling) for s in seeds]
+    with ThreadPoolExecutor(max_workers=REPS_AT_ONCE) as pool:
+        return list(pool.map(lambda s: grid_search(train, grid, folds, metric, seed=s, key=key, oversampling=oversampling,
+                                                   resample_in_fold=resample_in_fold), seeds))
 
 
 def bag_flow(train: DataFrame, flow: Flow, key: str = KEY) -> list[SearchResult]:

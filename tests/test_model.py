@@ -203,3 +203,43 @@ def test_models_score_in_a_session_that_has_observed(spark):
     data = ML.assemble(_planted(spark, 60), ["x1", "x2"])
     assert ML.score([ML.fit_logit(data, 1.0)], data).where("score_0 between 0 and 1").count() == 60
     assert ML.fit_forest(data, num_trees=3).transform(data).where("prediction in (0.0, 1.0)").count() == 60
+
+
+def test_fits_of_a_grid_share_their_jobs_and_agree_with_single_fits(spark):
+    data = ML.assemble(_planted(spark, 400), ["x1", "x2"])
+    rows = data.withColumn("copies", F.array(F.when(F.col("account_id") % 3 > 0, 1).otherwise(0),
+                                             (F.col("account_id") % 4).cast("int"))).cache()
+    sets = [data.where("account_id % 3 > 0"),
+            rows.withColumn("again", F.explode(F.expr("sequence(1, copies[1])"))).where("copies[1] > 0")]
+    tracker, grid = spark.sparkContext.statusTracker(), [0.01, 0.1, 1.0, 10.0]
+    rows.count()
+    spark.sparkContext.setJobGroup("together", "together")
+    got = ML.solve_logits(rows, 2, grid, 400)
+    jobs = len(tracker.getJobIdsForGroup("together"))
+    spark.sparkContext.setJobGroup("single", "single")
+    for (C, k), (coefficients, intercept) in got.items():
+        m = ML.fit_logit(sets[k], C)
+        assert np.allclose([*coefficients, intercept], [*m.coefficients.toArray(), m.intercept], rtol=1e-4, atol=1e-5)
+    assert set(got) == {(C, k) for C in grid for k in (0, 1)}
+    assert jobs < len(tracker.getJobIdsForGroup("single")) / 3
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_sets_that_cannot_be_solved_together_are_left_to_the_library(spark):
+    data = ML.assemble(_planted(spark, 60), ["x1", "x2"])
+    one = F.when(F.col("label") == 1, 1).otherwise(0)
+    got = ML.solve_logits(data.withColumn("copies", F.array(one, F.lit(0), F.lit(1))), 3, [1.0], 60)
+    assert set(got) == {(1.0, 2)}
+    assert ML.solve_logits(data.withColumn("copies", F.array(F.lit(1))).limit(0), 1, [1.0], 0) == {}
+    with pytest.raises(RuntimeError, match="convergence"):
+        ML.solve_logits(data.withColumn("copies", F.array(F.lit(1))), 1, [1.0], 60, max_iter=1)
+
+
+@pytest.mark.parametrize("mode", ["ratio", "exact", "random"])
+def test_copies_as_weights_search_like_copied_rows(spark, monkeypatch, mode):
+    planted = _planted(spark, 240).withColumn("good_status_loan", F.when(F.col("x1") > 0.7, 1).otherwise(0))
+    data = ML.assemble(planted, ["x1", "x2"])
+    together = ML.grid_search(data, [0.1, 10.0], folds=3, seed=2, oversampling=mode)
+    monkeypatch.setattr(ML, "solve_logits", lambda *a: {})
+    single = ML.grid_search(data, [0.1, 10.0], folds=3, seed=2, oversampling=mode)
+    assert together.best_C == single.best_C and together.scores == pytest.approx(single.scores, abs=1e-9)
