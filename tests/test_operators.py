@@ -159,3 +159,53 @@ def test_day_states_read_the_transactions_once(spark):
     with __import__("pytest").raises(TypeError):
         from lendscope.operators.daystates import day_states
         day_states(spark.range(3).selectExpr("id as account_id", "current_date() as date_", "1.0D as amount"))
+
+
+def test_cutoffs_through_links_keep_the_rows_of_the_plain_join(spark):
+    from lendscope.operators.cutoff import before_cutoff_linked
+    events = spark.sql("""SELECT id AS event, IF(id % 11 = 0, NULL, id % 9) AS link,
+        IF(id % 13 = 0, NULL, date_add(DATE'1999-12-01', CAST(id % 60 AS INT))) AS date_ FROM range(300)""")
+    # link 7 and 8 miss, 3 is there twice, 5 has no account; account 2 has two cutoffs, 3 a null one, 4 none
+    links = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 4), (3, 1), (4, 4), (5, None), (6, 2)], "link long, account_id long")
+    cuts = spark.createDataFrame([(1, "1999-12-20"), (2, "1999-12-05"), (2, "2000-01-15"), (3, None)],
+                                 "account_id long, day string").selectExpr("account_id", "CAST(day AS DATE) AS date_")
+    plain = before_cutoff(events.join(links, "link"), cuts).select("account_id", *events.columns)
+    got = before_cutoff_linked(events, links, cuts, "link")
+    assert got.columns == plain.columns and got.count() > 50
+    assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
+
+
+def test_dates_are_decoded_as_by_patterns(spark):
+    from lendscope.functions.dates import format_yymmdd, format_yymmdd_time, parse_yymmdd
+    days = spark.sql("""SELECT date_add(DATE'1969-12-25', CAST(id * 7 AS INT)) AS d, timestamp_seconds(id * 604811) AS t
+                        FROM range(5300)""")
+    assert days.filter(~(format_yymmdd("d") == F.date_format("d", "yyMMdd"))).count() == 0
+    assert days.filter(~(format_yymmdd_time("t") == F.date_format("t", "yyMMdd HH:mm:ss"))).count() == 0
+    texts = spark.sql("SELECT lpad(CAST(id AS STRING), 6, '0') AS s FROM range(0, 1000000, 7) UNION ALL SELECT NULL UNION ALL SELECT ' 99123'")
+    century = F.when(F.substring("s", 1, 2).cast("int") >= 70, "19").otherwise("20")
+    pattern = F.when(F.col("s").rlike("^[0-9]{6}$"), F.try_to_date(F.concat(century, "s"), "yyyyMMdd"))
+    assert texts.filter(~parse_yymmdd("s").eqNullSafe(pattern)).count() == 0
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_cutoff_decodes_each_date_once(spark):
+    from lendscope.functions.dates import parse_yymmdd
+    from lendscope.operators.cutoff import before_cutoff_linked
+    events = spark.range(100).select((F.col("id") % 9).alias("link"), (F.col("id") % 5).alias("account_id"),
+                                     F.lpad((F.col("id") + 990100).cast("string"), 6, "0").alias("text"))
+    events = events.withColumn("date_", parse_yymmdd("text")).drop("text")
+    cuts = spark.range(5).select(F.col("id").alias("account_id"), F.expr("DATE'1999-12-20'").alias("date_"))
+    links = spark.range(9).select(F.col("id").alias("link"), (F.col("id") % 5).alias("account_id"))
+    assert _optimized(before_cutoff(events.drop("link"), cuts)).count("RLIKE") == 1
+    assert _optimized(before_cutoff_linked(events.drop("account_id"), links, cuts, "link")).count("RLIKE") == 1
+
+
+def test_ranking_moves_k_rows_of_a_key_and_task_once(spark):
+    df = spark.range(0, 4000, 1, 4).select((F.col("id") % 2).alias("k"), (-F.col("id")).alias("o"))
+    plan = first_k_per_key(df, "k", ["o"], 2)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and "WindowGroupLimit" in text
+    assert sorted(map(tuple, plan.select("k", "o", "rank").collect())) == [(0, -3998, 1), (0, -3996, 2), (1, -3999, 1), (1, -3997, 2)]
