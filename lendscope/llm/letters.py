@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_parts, text_bytes, word_hashes
+from .tokens import release
 
 PART_BYTES = 8 << 20
 LETTER = "bucket int, part int, data binary"
@@ -46,6 +47,7 @@ def sorted_rows(table: pa.Table) -> tuple[list[int | None], list[bytes]]:
 
 def part_words(texts: list[bytes], block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts in order, and how many each text has; bounded scratch memory."""
+    release()
     out, counts, held, size = [], [], [], 0
 
     def flush() -> None:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ready
-from .tokens import encoder
+from .tokens import encoder, release
 
 PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, shard int")
 PACKED = ("doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
@@ -114,6 +114,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, max_docs: int =
     limit = capacity ** 2 if max_cost is None else max_cost
 
     def place(key: tuple[Any, ...], group: pd.DataFrame) -> pd.DataFrame:
+        release()
         # arrival order after a shuffle is not fixed: sort, so that a repeated task gives the same result
         group = group.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable", ignore_index=True)
         seq, off = best_fit(group["length"].to_numpy(), capacity, max_docs, limit, score)

@@ -142,3 +142,12 @@ def test_each_capacity_binds():
     for capacity, max_docs, max_cost in ((30, 12, 10 ** 6), (1000, 3, 10 ** 6), (1000, 12, 300)):
         seq, _ = packing.best_fit(length, capacity, max_docs, max_cost)
         assert np.bincount(np.asarray(seq)).max() == 3 and len(set(seq)) == 4
+
+
+def test_workers_forget_vocabularies_where_no_ids_are_cut():
+    from lendscope.llm.letters import part_words
+    from lendscope.llm.tokens import encoder
+    path = registry.vocabulary("word_bpe_49k.json")
+    assert encoder(path).encode(["one two"]) and encoder.cache_info().currsize == 1
+    words, counts = part_words([b"one two"])
+    assert counts.tolist() == [2] and encoder.cache_info().currsize == 0
