@@ -243,3 +243,21 @@ def test_copies_as_weights_search_like_copied_rows(spark, monkeypatch, mode):
     monkeypatch.setattr(ML, "solve_logits", lambda *a: {})
     single = ML.grid_search(data, [0.1, 10.0], folds=3, seed=2, oversampling=mode)
     assert together.best_C == single.best_C and together.scores == pytest.approx(single.scores, abs=1e-9)
+
+
+@pytest.mark.parametrize("flow", [
+    ML.Flow((0.1, 10.0), folds=2, seeds=(0, 105, 210)),
+    ML.Flow((0.1, 10.0), "recall_micro", resample_in_fold=False, oversampling="random", folds=2, seeds=(0, 105, 210))])
+def test_repetitions_of_a_bag_share_their_jobs_and_search_like_single_ones(spark, monkeypatch, flow):
+    calls = []
+    monkeypatch.setattr(ML, "solve_logits", lambda *a, run=ML.solve_logits: calls.append(a) or run(*a))
+    data = ML.assemble(_planted(spark, 200).withColumn("good_status_loan", F.when(F.col("x1") > 0.7, 1).otherwise(0)),
+                       ["x1", "x2"]).cache()
+    together = ML.bag_flow(data, flow)
+    assert len(calls) == 2  # the searches of all repetitions, then their refits
+    assert calls[0][0].count() == 200  # copies are weights, not rows
+    for seed, got in zip(flow.seeds, together):
+        one = ML.grid_search(data, flow.grid, flow.folds, flow.metric, seed, resample_in_fold=flow.resample_in_fold,
+                             oversampling=flow.oversampling)
+        assert got.best_C == one.best_C and got.scores == pytest.approx(one.scores, abs=1e-9)
+        assert np.allclose(got.model.coefficients.toArray(), one.model.coefficients.toArray(), rtol=1e-6)
