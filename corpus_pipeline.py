@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lendscope.llm import decontam, jaccard, packing, pii, registry, rules
 from lendscope.llm.common import scratch, shared_dir, stored, table
+from lendscope.llm.tokens import SMALL
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,8 +69,8 @@ def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 5: best-fit packing of what is left."""
-    return packing.pack(docs, registry.vocabulary("word_bpe_49k.json"))
+    """Stage 5: best-fit packing of what is left; its workers keep small memos, as the executors' heap has grown by now."""
+    return packing.pack(docs, registry.vocabulary("word_bpe_49k.json"), memos=SMALL)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

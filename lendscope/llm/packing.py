@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ready
-from .tokens import encoder, release
+from .tokens import PARTS, WORDS, encoder, release
 
 PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, shard int")
 PACKED = ("doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
@@ -36,14 +36,16 @@ SHARD_DOCS = 16_384
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int, shards: int, end_id: int = 1,
-           with_ids: bool = False) -> DataFrame:
-    """One row per piece of at most ``capacity`` tokens; ``with_ids`` adds the token ids (``ids binary``)."""
+           with_ids: bool = False, memos: tuple[int, int] = (WORDS, PARTS)) -> DataFrame:
+    """One row per piece of at most ``capacity`` tokens; ``with_ids`` adds the token ids (``ids binary``).
+
+    ``memos``: words and parts that a generation of a worker's memos holds; smaller ones take less memory and more time."""
     ready(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, end, turn = encoder(vocabulary), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        enc, end, turn = encoder(vocabulary, *memos), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         for batch in batches:
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), enc.stream(batch.column(1).to_pylist())):
@@ -103,14 +105,15 @@ def best_fit(length: np.ndarray, capacity: int, max_docs: int, max_cost: int, sc
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, max_docs: int = 4096, max_cost: int | None = None,
-         score: str = "norm", end_id: int = 1, shard_docs: int = SHARD_DOCS, with_ids: bool = False) -> DataFrame:
+         score: str = "norm", end_id: int = 1, shard_docs: int = SHARD_DOCS, with_ids: bool = False,
+         memos: tuple[int, int] = (WORDS, PARTS)) -> DataFrame:
     """Pieces of all documents with their sequence and offset.
 
     ``max_docs`` pieces and ``max_cost`` attention units at most go to a sequence (default: the square of the
     capacity, which no sequence of one document exceeds).  ``with_ids`` carries the token ids for writing.
     """
     shards = max(1, -(-docs.count() // shard_docs))
-    rows = pieces(docs, vocabulary, capacity, shards, end_id, with_ids)
+    rows = pieces(docs, vocabulary, capacity, shards, end_id, with_ids, memos)
     limit = capacity ** 2 if max_cost is None else max_cost
 
     def place(key: tuple[Any, ...], group: pd.DataFrame) -> pd.DataFrame:

@@ -1,8 +1,9 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lendscope.llm import decontam, jaccard, rules
+from lendscope.llm import decontam, jaccard, packing, registry, rules
 from lendscope.llm.common import stored, table
+from lendscope.llm.tokens import PARTS, SMALL, WORDS, encoder, release
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +58,19 @@ def test_repeated_and_null_ids_are_judged_by_row(spark):
     assert left(corpus_pipeline.decontamination) == sorted((r for r in rows if r[1] != item), key=repr)
     # one row of each group stays, also of rows that are the same in every column
     assert left(corpus_pipeline.near_duplicates) == sorted([(1, other), (None, item), (2, near), (4, "alone it is")], key=repr)
+
+
+def test_last_stage_packs_with_small_memos_as_with_large_ones(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(packing, "pieces", lambda *a, run=packing.pieces: seen.append(a[-1]) or run(*a))
+    docs = table(spark, SF, "documents")
+    small, large = corpus_pipeline.pack_sequences(spark, docs, SF), packing.pack(docs, registry.vocabulary("word_bpe_49k.json"))
+    assert seen == [SMALL, (WORDS, PARTS)] and all(4 * s < w for s, w in zip(SMALL, (WORDS, PARTS)))
+    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+
+
+def test_workers_hold_one_set_of_memos():
+    path = registry.vocabulary("word_bpe_49k.json")
+    assert encoder(path, *SMALL).limits == SMALL and encoder(path).limits == (WORDS, PARTS)
+    assert encoder.cache_info().currsize <= 2
+    release()
