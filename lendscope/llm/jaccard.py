@@ -40,17 +40,25 @@ from .letters import LETTER, answers, deal, letters, part_words, parted, read_le
 
 SHINGLE, PERCENT = 5, 75
 SMALL, ROUNDS = 4, 5
+BLOCK_BYTES = 1 << 20
 STATE = "doc_id long, n long, digest binary, points binary, prefix array<long>, first long, weight double"
 
 
 def _sets(texts: list[bytes], size: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
-    words, counts = part_words([t.lower() for t in texts])  # bytes: A-Z only
-    every, out, end = window_hashes(words, size, 3), [], 0
-    for c in counts.tolist():
-        own = every[end:end + c - size + 1] if c >= size else window_hashes(words[end:end + c], c, 3) if c else every[:0]
-        out.append(np.unique(own))
-        end += c
+    """Sorted distinct shingle hashes of each text; scratch memory for a block of texts at a time."""
+    out, block, held = [], [], 0
+    for k, t in enumerate(texts, 1):
+        block.append(t.lower())  # bytes: A-Z only
+        held += len(t)
+        if held < BLOCK_BYTES and k < len(texts):
+            continue
+        words, counts = part_words(block)
+        every, end = window_hashes(words, size, 3), 0
+        for c in counts.tolist():
+            own = every[end:end + c - size + 1] if c >= size else window_hashes(words[end:end + c], c, 3) if c else every[:0]
+            out.append(np.unique(own))
+            end += c
+        block, held = [], 0
     return out
 
 

@@ -45,7 +45,7 @@ def sorted_rows(table: pa.Table) -> tuple[list[int | None], list[bytes]]:
     return [r[0] for r in rows], [r[1] for r in rows]
 
 
-def part_words(texts: list[bytes], block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def part_words(texts: list[bytes], block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts in order, and how many each text has; bounded scratch memory."""
     release()
     out, counts, held, size = [], [], [], 0

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import ready, sliced
 from .tokens import PARTS, WORDS, encoder, release
 
 PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, shard int")
@@ -46,7 +46,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, shards: int, end_id:
         from pyspark import TaskContext
 
         enc, end, turn = encoder(vocabulary, *memos), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole)):
             rows = []
             for doc, ids in zip(batch.column(0).to_pylist(), enc.stream(batch.column(1).to_pylist())):
                 ids += end

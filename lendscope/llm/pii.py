@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import ready, sliced
 
 DEFAULT_KEY = "lendscope pseudonyms"  # a parameter: give a secret key in production
 ROUNDS = 8
@@ -284,7 +284,7 @@ def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         move = Permutation(secret_key).forward
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole)):
             texts, kinds = [], []
             for t in batch.column(batch.num_columns - 1).to_pylist():
                 new, found = (t, []) if t is None else pseudonymize_text(t, move)

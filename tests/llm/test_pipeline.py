@@ -74,3 +74,35 @@ def test_workers_hold_one_set_of_memos():
     assert encoder(path, *SMALL).limits == SMALL and encoder(path).limits == (WORDS, PARTS)
     assert encoder.cache_info().currsize <= 2
     release()
+
+
+def test_batches_of_texts_are_bounded_in_bytes(spark):
+    from lendscope.llm.common import ready, sliced
+
+    ready(spark)
+    docs = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"))
+
+    def sizes(batches):
+        import pyarrow as pa
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    n = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+    assert sum(n) == 3000 and max(n) <= 1500  # 10 KB each
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1100))], names=["n"])
+    assert [b.num_rows for b in sliced(batch)] == [500, 500, 100] and not list(sliced(batch.slice(0, 0)))
+    assert [v for b in sliced(batch) for v in b.column(0).to_pylist()] == list(range(1100))
+
+
+def test_blocks_of_texts_give_the_same_sets(monkeypatch):
+    import numpy as np
+
+    texts = [b"", b"one", b"a b c d e f g", b" ".join(b"w%d" % (k % 37) for k in range(400)), b"A B C D E", b"\n", b"x y z v w"]
+    sizes, part_words = [], jaccard.part_words
+    monkeypatch.setattr(jaccard, "part_words", lambda t: sizes.append(sum(map(len, t))) or part_words(t))
+    whole = jaccard._sets(texts, 5)
+    sizes.clear()
+    monkeypatch.setattr(jaccard, "BLOCK_BYTES", 4)
+    parts = jaccard._sets(texts, 5)
+    assert len(sizes) > 2 and len(parts) == len(texts) and all(np.array_equal(a, b) for a, b in zip(whole, parts))
