@@ -151,3 +151,23 @@ def test_workers_forget_vocabularies_where_no_ids_are_cut():
     assert encoder(path).encode(["one two"]) and encoder.cache_info().currsize == 1
     words, counts = part_words([b"one two"])
     assert counts.tolist() == [2] and encoder.cache_info().currsize == 0
+
+
+def test_plain_texts_are_cut_at_once():
+    texts = ["It's the end.\nOf, the  line...", "ÉCOLE été. Über\n\n 1,234.5 ", "a\n", " lead", "'s x 's", "word " * 300]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        enc = Encoder(registry.vocabulary(name))
+        expected = [enc.whole(t) for t in texts]
+        enc.whole = None  # no text goes to the library whole, and no words are looked up
+        assert enc.encode(texts) == expected and not any(enc.words)
+
+
+def test_a_segment_is_decoded_once(monkeypatch):
+    calls, run = [], dac.Codes.run
+    monkeypatch.setattr(dac.Codes, "run", lambda self, a, b: calls.append((a, b)) or run(self, a, b))
+    ids = np.arange(0, 90_000, 9, dtype=np.uint32)
+    size = np.array([0, 4000, 1, 0, 5999])
+    crc = dac.checksums(dac.Codes(dac.encode(ids)), size)
+    ends = np.cumsum(size)
+    assert crc == [zlib.crc32(ids[b - n:b].astype("<u4").tobytes()) for n, b in zip(size, ends)]
+    assert calls == [(0, 10_000)]
