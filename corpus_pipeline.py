@@ -25,11 +25,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """The documents with a number of their own for each row, stored, and the name of that column.
 
-    Stored, as a number must not change when a lost task is repeated; no column of the documents has that name."""
+    Stored, as a number must not change when a lost task is repeated; no column of the documents has that name.  The copy
+    stays beside all tables of the operator, so its texts are compressed well."""
     name = "_row"
     while name in docs.columns:
         name = "_" + name
-    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "pipeline-rows"), name
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "pipeline-rows", compression="zstd"), name
 
 
 def without(rows: DataFrame, gone: DataFrame, row: str) -> DataFrame:

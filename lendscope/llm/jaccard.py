@@ -18,8 +18,9 @@ d(x, y) = 1 - |x and y| / |x or y| is a metric on the documents' shingle sets; a
    overlap: a linked pair always passes at the first shingle that both documents have.
 4. Documents with equal sets are one point (the smallest id); components are found by contraction of the links.
 
-At scale: texts are shuffled once, four bytes per shingle travel, sets only of documents that can link at all; a group
-of n near copies costs n distances to its pivot, not n^2 pairs.  Rounds end in tables in the shared folder.
+At scale: texts are shuffled once, three bytes per shingle travel, sets only of documents that can link at all; a group
+of n near copies costs n distances to its pivot, not n^2 pairs.  Rounds end in tables in the shared folder, and the
+shuffle files of a round go before the next.
 
 Null or empty text: an empty set, linked with nothing.  Null ``doc_id``: the row is returned with its set size and no
 component, as it has no name to link by.  Rows that repeat a ``doc_id`` are one node with the links of all its texts.
@@ -35,12 +36,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ready, stored, window_hashes
+from .common import ready, stored, swept, window_hashes
 from .letters import LETTER, answers, deal, letters, part_words, parted, read_letters, sorted_rows
 
 SHINGLE, PERCENT = 5, 75
 SMALL, ROUNDS = 4, 5
 BLOCK_BYTES = 1 << 20
+#: Bytes of a shingle's hash in a letter, besides the bucket it names.  A bucket holds about as many shingles as a part (a
+#: million or two) whatever the input, so of 2^24 values about one in ten is taken by chance: such a shingle is looked at in
+#: vain (regions and distances compare 64 bits), but none that occurs elsewhere is overlooked.
+HASH_BYTES = 3
 STATE = "doc_id long, n long, digest binary, points binary, prefix array<long>, first long, weight double"
 
 
@@ -62,10 +67,21 @@ def _sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     return out
 
 
+def _pack(low: np.ndarray) -> bytes:
+    """The low ``HASH_BYTES`` bytes of each hash (of four), back to back."""
+    return low.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :HASH_BYTES].tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // HASH_BYTES, 4), np.uint8)
+    out[:, :HASH_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, HASH_BYTES)
+    return out.view("<u4").reshape(-1)
+
+
 def _occurrences(_: list[int], data: list[bytes]) -> list[bytes | None]:
     """A byte per shingle: 0 if it occurs once, else 4 log2 of its number of documents."""
-    sizes = [len(d) // 4 for d in data]
-    entry = np.frombuffer(b"".join(data), "<u4")
+    sizes = [len(d) // HASH_BYTES for d in data]
+    entry = _unpack(b"".join(data))
     _, group, count = np.unique(entry, return_inverse=True, return_counts=True)
     rank = np.minimum(255, 4 * np.log2(count)).astype(np.uint8)[group]
     return [pa.compress(r.tobytes(), "zstd", asbytes=True) if r.any() else None
@@ -81,7 +97,7 @@ def states(docs: DataFrame, size: int, percent: int) -> DataFrame:
         keys = np.concatenate([np.empty(0, np.uint64), *_sets(sorted_rows(table)[1], size)])
         order, edges = deal(keys, n)
         low = keys.astype("<u4")[order]
-        return letters(table["part"][0].as_py(), n, edges, lambda a, b: low[a:b].tobytes())
+        return letters(table["part"][0].as_py(), n, edges, lambda a, b: _pack(low[a:b]))
 
     def settle(table: pa.Table, mail: pa.Table) -> pa.Table:
         ids, texts = sorted_rows(table) if table.num_rows else ([], [])
@@ -158,10 +174,12 @@ def links(state: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) that connect all documents with a link between them, equal sets included."""
     named = state.where(F.col("digest").isNotNull())
     node = stored(named.groupBy("digest").agg(F.min("doc_id").alias("node")), "jaccard-nodes")
+    swept(state.sparkSession)  # of texts and letters; right after their last task Spark's listeners may still hold the plan
     copies = named.join(node, "digest").where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     one = (named.where(F.col("points").isNotNull())
            .withColumn("k", F.row_number().over(Window.partitionBy("digest").orderBy("doc_id"))).where("k = 1"))
     points = stored(one.join(node, "digest").select("node", "n", "points", "prefix", "first", "weight"), "jaccard-points")
+    swept(state.sparkSession)
     # left: shingles from g on in the rarity order, g included (those that occur once come first, outside the prefix)
     regions = points.select(F.posexplode("prefix").alias("at", "g"), "node", "n", "first", "weight").select(
         "g", "node", "n", "weight", (F.col("n") - F.col("first") - F.col("at")).alias("left"))
@@ -188,6 +206,7 @@ def links(state: DataFrame, percent: int = PERCENT) -> DataFrame:
             pairs = pairs.unionByName(star.select(F.col("pivot").alias("a"), F.col("node").alias("b"),
                                                   F.col("pn").alias("na"), F.col("n").alias("nb")))
         measured = stored(distances(pairs.distinct(), points), "jaccard-distances")
+        swept(state.sparkSession)
         linked = 100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))
         done = done.unionByName(measured.where(linked).select("a", "b"))
         if turn >= ROUNDS or star.limit(1).count() == 0:

@@ -106,3 +106,46 @@ def test_blocks_of_texts_give_the_same_sets(monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_BYTES", 4)
     parts = jaccard._sets(texts, 5)
     assert len(sizes) > 2 and len(parts) == len(texts) and all(np.array_equal(a, b) for a, b in zip(whole, parts))
+
+
+def test_quality_stores_no_copy_of_the_texts(spark, monkeypatch, capsys):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    columns = []
+    monkeypatch.setattr(rules, "stored", lambda df, *a: columns.append(df.columns) or stored(df, *a))
+    out = rules.keep(docs, labels)
+    assert columns and not any({"text", "_row"} & set(c) for c in columns)
+    capsys.readouterr()
+    out.explain()
+    assert capsys.readouterr().out.count("regexp_extract_all") == 1  # the filter does not compute the words anew
+    assert 0 < out.count() < docs.count()
+
+
+def test_numbered_rows_are_compressed_well(spark):
+    rows, row = corpus_pipeline.numbered(spark.range(10).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")))
+    assert all(f.endswith(".zstd.parquet") for f in rows.inputFiles())
+    assert rows.select(row).distinct().count() == 10
+
+
+def test_jaccard_letters_take_three_bytes_and_overlook_no_shingle():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    low = rng.integers(0, 1 << 32, 4000, dtype=np.uint64).astype("<u4")
+    low[:4] = [0, 1, (1 << 24) - 1, (1 << 32) - 1]
+    assert len(jaccard._pack(low)) == 3 * len(low) and jaccard._pack(low[:0]) == b""
+    assert np.array_equal(jaccard._unpack(jaccard._pack(low)), low & 0xFFFFFF)
+    other = np.concatenate([low[:100], rng.integers(0, 1 << 32, 50, dtype=np.uint64).astype("<u4")])
+    one, two, none = jaccard._occurrences([0, 1, 2], [jaccard._pack(a) for a in (low, other, low[:0])])
+    ranks = [np.frombuffer(pa.decompress(z, len(a), "zstd", asbytes=True), np.uint8) for z, a in ((one, low), (two, other))]
+    assert (ranks[0][:100] >= 4).all() and (ranks[1][:100] >= 4).all() and none is None
+    assert (ranks[0][100:] > 0).mean() < 0.01
+
+
+def test_jaccard_sweeps_between_rounds(spark, monkeypatch):
+    seen, swept = [], jaccard.swept
+    monkeypatch.setattr(jaccard, "stored", lambda df, name: seen.append(name) or stored(df, name))
+    monkeypatch.setattr(jaccard, "swept", lambda s: seen.append("swept") or swept(s))
+    jaccard.jaccard_groups(table(spark, SF, "documents")).count()
+    after = [b for a, b in zip(seen, seen[1:]) if a in ("jaccard-nodes", "jaccard-points", "jaccard-distances")]
+    assert len(after) >= 3 and set(after) == {"swept"}
